@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .op1_packing import op1_packing
+from .op2_simple8b import op2_simple8b
+from .op4_bpe import op4_bpe
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_simple8b": op2_simple8b,
+    "op4_bpe": op4_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
