@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -36,46 +37,82 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin-1 letters, maybe with marks at its end: the tokenizer splits it there,
+#: and its lower case has as many letters.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)").fullmatch
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, for tokenizers that drop white space."""
+    """Ids of whole texts as little-endian uint32 bytes, for tokenizers that drop white space.
+
+    New words are split into letters and end marks where that is the tokenizer's own split;
+    the letters go to the library many at a time, and come apart again at the ids that end
+    a word. All other words go to it one by one.
+    """
 
     def __init__(self, path: str, most_words: int = 250_000, longest_word: int = 48):
         self.library = tokenizer(path)
         self.known: dict[bytes, bytes] = {}
         self.most_words, self.longest_word = most_words, longest_word
-
-    def _learn(self, words) -> dict[bytes, bytes]:
-        """Ids of words not in the table; long ones are returned, not kept."""
-        words = list(words)
-        got = self.library.encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        ids = [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-        if len(self.known) + len(words) > self.most_words:
-            self.known.clear()
-        self.known.update((w, i) for w, i in zip(words, ids) if len(w) <= self.longest_word)
-        return dict(zip(words, ids))
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        got = self.library.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+
+    def _letters(self, words: list[str], group: int = 256) -> list[bytes]:
+        """Ids of words of letters only."""
+        groups = [words[i : i + group] for i in range(0, len(words), group)]
+        out: list[bytes] = []
+        for some, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                out += self._each(some)
+                continue
+            raw, cut = ids.tobytes(), (4 * cut).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cut], cut)]
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        split, stems, others = [], set(), []
+        for w in new:
+            text = w.decode("utf-8", "surrogatepass")
+            if m := PLAIN(text):
+                stem, marks = m.groups()
+                split.append((w, stem.encode(), marks.encode()))
+                stems.update(split[-1][1:])
+            else:
+                others.append((w, text))
+        stems.discard(b"")
+        stems.difference_update(known.keys())
+        letters = [s for s in stems if s.decode().isalpha()]
+        marks = [s for s in stems if not s.decode().isalpha()]
+        known.update(zip(letters, self._letters([s.decode() for s in letters])))
+        known.update(zip(marks, self._each([s.decode() for s in marks])))
+        known.update((w, known[s] + known[m] if m else known[s]) for w, s, m in split)
+        known.update(zip((w for w, _ in others), self._each([t for _, t in others])))
 
     def encode(self, texts) -> list[bytes]:
-        split = [utf8(t).split() for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.known.keys())
-        extra = self._learn(new) if new else {}
-        if extra:
-            known = self.known
-            if any(w not in known for words in split for w in words):
-                # the table was emptied, or long words are present: look in both
-                return [b"".join([known.get(w) or extra.get(w) or self._one(w, extra) for w in words]) for words in split]
+        raw = [utf8(t) for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        words = set()
+        for some in split:
+            words.update(some)
+        new = words.difference(self.known.keys())
+        if new:
+            if len(self.known) + len(new) > self.most_words:
+                known = self.known
+                self.known = {w: known[w] for w in words if w in known}
+            self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _one(self, word: bytes, extra: dict[bytes, bytes]) -> bytes:
-        if word in self.known:
-            return self.known[word]
-        if word not in extra:
-            e = self.library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False)
-            extra[word] = np.array(e.ids, dtype="<u4").tobytes()
-        return extra[word]
+        out = [b"".join(map(get, some)) for some in split]
+        for w in new:
+            if len(w) > self.longest_word:
+                del self.known[w]
+        return out
 
 
 @functools.lru_cache(maxsize=4)
