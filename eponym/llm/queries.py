@@ -5,11 +5,15 @@ from __future__ import annotations
 from .op1_packing import op1_packing
 from .op2_simple8b import op2_simple8b
 from .op4_bpe import op4_bpe
+from . import op6_quality_rules as op6
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simple8b": op2_simple8b,
     "op4_bpe": op4_bpe,
+    "op6_quality_rules": op6.op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": op6.ORACLE,
+}
