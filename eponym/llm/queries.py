@@ -5,13 +5,17 @@ from __future__ import annotations
 from .op1_packing import op1_packing
 from .op2_simple8b import op2_simple8b
 from .op4_bpe import op4_bpe
+from .op3_toxicity import op3_toxicity
+from .op7_quality import op7_quality
 from . import op6_quality_rules as op6
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simple8b": op2_simple8b,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op6_quality_rules": op6.op6_quality_rules,
+    "op7_quality": op7_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
