@@ -7,6 +7,7 @@ from .op2_simple8b import op2_simple8b
 from .op4_bpe import op4_bpe
 from .op3_toxicity import op3_toxicity
 from .op7_quality import op7_quality
+from .op8_licenses import op8_licenses
 from . import op6_quality_rules as op6
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_quality_rules": op6.op6_quality_rules,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
