@@ -8,6 +8,7 @@ from .op4_bpe import op4_bpe
 from .op3_toxicity import op3_toxicity
 from .op7_quality import op7_quality
 from .op8_licenses import op8_licenses
+from .op9_urls import op9_urls
 from . import op6_quality_rules as op6
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_quality_rules": op6.op6_quality_rules,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
+    "op9_urls": op9_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {
