@@ -37,9 +37,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: A word of Latin-1 letters, maybe with marks at its end: the tokenizer splits it there,
-#: and its lower case has as many letters.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)").fullmatch
+#: Marks that the tokenizer splits from the letters before them.
+MARKS = ".,!?;:|"
+#: Letters whose lower case is one letter again.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class WordEncoder:
@@ -50,7 +51,7 @@ class WordEncoder:
     a word. All other words go to it one by one.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000, longest_word: int = 48):
+    def __init__(self, path: str, most_words: int = 500_000, longest_word: int = 48):
         self.library = tokenizer(path)
         self.known: dict[bytes, bytes] = {}
         self.most_words, self.longest_word = most_words, longest_word
@@ -77,22 +78,26 @@ class WordEncoder:
 
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
-        split, stems, others = [], set(), []
+        split, stems, tails, others = [], {}, set(), []
         for w in new:
             text = w.decode("utf-8", "surrogatepass")
-            if m := PLAIN(text):
-                stem, marks = m.groups()
-                split.append((w, stem.encode(), marks.encode()))
-                stems.update(split[-1][1:])
+            stem = text.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or LATIN(stem)):
+                if marks := len(text) - len(stem):
+                    stem_bytes, tail = w[:-marks], w[-marks:]
+                    split.append((w, stem_bytes, tail))
+                    tails.add(tail)
+                    if stem_bytes not in known:
+                        stems[stem_bytes] = stem
+                else:
+                    stems[w] = stem
             else:
                 others.append((w, text))
-        stems.discard(b"")
-        stems.difference_update(known.keys())
-        letters = [s for s in stems if s.decode().isalpha()]
-        marks = [s for s in stems if not s.decode().isalpha()]
-        known.update(zip(letters, self._letters([s.decode() for s in letters])))
-        known.update(zip(marks, self._each([s.decode() for s in marks])))
-        known.update((w, known[s] + known[m] if m else known[s]) for w, s, m in split)
+        known.update(zip(stems, self._letters(list(stems.values()))))
+        tails.difference_update(known.keys())
+        known.update(zip(tails, self._each([t.decode() for t in tails])))
+        for w, s, t in split:
+            known[w] = known[s] + known[t]
         known.update(zip((w for w, _ in others), self._each([t for _, t in others])))
 
     def encode(self, texts) -> list[bytes]:
