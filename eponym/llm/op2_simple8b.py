@@ -44,6 +44,10 @@ COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = 13
 NO_ID = -(2**63)
+SELECTORS = np.full(61, ESCAPE, dtype=np.uint8)
+SELECTORS[COUNTS] = np.arange(len(COUNTS))
+#: Bit lengths of small ids.
+WIDTHS = np.frexp(np.arange(65_536, dtype=np.float64))[1].astype(np.uint8)
 CODED = "doc_id long, n_tokens long, words binary, shard int"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -54,25 +58,30 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(ids)
     if not n:
         return np.zeros(0, dtype="<u8"), np.zeros(len(lengths), dtype=np.int64)
-    ids = ids.astype(np.uint64)
-    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     ends = np.cumsum(lengths)
-    left = np.minimum(np.repeat(ends, lengths) - np.arange(n), 61).astype(np.uint8)
-    most = {1: width}
+    width = WIDTHS[ids] if ids.max() < len(WIDTHS) else np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    ids = ids.astype(np.uint64)
+    most = {1: np.concatenate([width, np.zeros(60, dtype=np.uint8)])}
     for k, half in ((2, 1), (3, 2), (4, 2), (5, 4), (6, 4), (7, 4), (8, 4), (10, 8), (12, 8), (15, 8), (20, 15), (30, 15), (60, 30)):
-        a = most[half]
-        shifted = np.zeros_like(a)
-        shifted[: n - (k - half)] = a[k - half :] if n > k - half else 0
-        most[k] = np.maximum(a, shifted)
-    selector = np.full(n, ESCAPE, dtype=np.uint8)
-    for s in range(12, -1, -1):
-        selector[(most[COUNTS[s]] <= BITS[s]) & (left >= COUNTS[s])] = s
-    step = np.array(COUNTS, dtype=np.uint8)[selector].tolist()
+        most[k] = np.maximum(most[half][: half - k], most[half][k - half :])
+    step = np.ones(n, dtype=np.uint8)
+    for count, bits in zip(COUNTS[-2::-1], BITS[-2::-1]):
+        np.putmask(step, most[count][:n] <= bits, count)
+    near = ends[:, None] - np.arange(1, 60)[None, :]  # near a document's end only shorter runs fit
+    room = np.broadcast_to(np.arange(1, 60, dtype=np.uint8), near.shape)
+    inside = near >= (ends - lengths)[:, None]
+    near, room = near[inside], room[inside]
+    fits = np.ones(len(near), dtype=np.uint8)
+    for count, bits in zip(COUNTS[-2::-1], BITS[-2::-1]):
+        np.putmask(fits, (most[count][near] <= bits) & (room >= count), count)
+    step[near] = fits
+    jumps = step.tolist()
     starts, i = [], 0
     put = starts.append
     while i < n:
         put(i)
-        i += step[i]
+        i += jumps[i]
+    selector = SELECTORS[step]
     at = np.array(starts, dtype=np.int64)
     chosen = selector[at]
     words = chosen.astype(np.uint64) << np.uint64(60)

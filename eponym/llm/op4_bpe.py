@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, utf8
-from .tokens import BYTE_TOKENIZER, tokenizer, tokenizer_path
+from .tokens import BYTE_TOKENIZER, no_collector, tokenizer, tokenizer_path
 
 #: Code points that the tokenizer's \s matches (fixed values).
 SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
@@ -87,6 +87,10 @@ class ChunkEncoder:
         return [text[a:b] for a, b in zip(places, places[1:])]
 
     def encode(self, texts) -> list[bytes]:
+        with no_collector():
+            return self._encode(texts)
+
+    def _encode(self, texts) -> list[bytes]:
         split = [self.segments(t or "") for t in texts]
         new = {s for parts in split for s in parts if s not in self.known}
         if new:

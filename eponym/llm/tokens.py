@@ -7,7 +7,9 @@ words it has met in a bounded table; only new ones go to the library, in batches
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import os
 import re
 
@@ -37,6 +39,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@contextlib.contextmanager
+def no_collector():
+    """Millions of small objects without cycles: the cycle collector would only walk them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 #: Marks that the tokenizer splits from the letters before them.
 MARKS = ".,!?;:|"
 #: Letters whose lower case is one letter again.
@@ -101,23 +115,28 @@ class WordEncoder:
         known.update(zip((w for w, _ in others), self._each([t for _, t in others])))
 
     def encode(self, texts) -> list[bytes]:
+        with no_collector():
+            return self._encode(texts)
+
+    def _encode(self, texts) -> list[bytes]:
         raw = [utf8(t) for t in texts]
         split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        words = set()
-        for some in split:
-            words.update(some)
-        new = words.difference(self.known.keys())
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        gaps = [[k for k, ids in enumerate(some) if ids is None] for some in found]
+        new = {words[k] for words, ks in zip(split, gaps) for k in ks}
         if new:
             if len(self.known) + len(new) > self.most_words:
-                known = self.known
-                self.known = {w: known[w] for w in words if w in known}
+                self.known = {}
             self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, some)) for some in split]
-        for w in new:
-            if len(w) > self.longest_word:
-                del self.known[w]
-        return out
+            known = self.known
+            for words, some, ks in zip(split, found, gaps):
+                for k in ks:
+                    some[k] = known[words[k]]
+            for w in new:
+                if len(w) > self.longest_word:
+                    del known[w]
+        return [b"".join(some) for some in found]
 
 
 @functools.lru_cache(maxsize=4)
