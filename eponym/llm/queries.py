@@ -9,6 +9,7 @@ from .op3_toxicity import op3_toxicity
 from .op7_quality import op7_quality
 from .op8_licenses import op8_licenses
 from .op9_urls import op9_urls
+from .op10_fingerprints import op10_fingerprints
 from . import op6_quality_rules as op6
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_urls": op9_urls,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
