@@ -31,6 +31,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,6 +226,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 4,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+
+    @F.pandas_udf("double")
+    def value(text: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(text.tolist()), dtype=float)
+
+    return docs.where(value(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 20_000) -> Model:
     return fit(labelled_sample(docs, labels, "toxic", 4, 2, per_class, most_chars))
 

@@ -107,6 +107,14 @@ def judge(docs: DataFrame, max_docs: int = 20, line_words: int = 24, min_words:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__key", "__bad")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "source") else f"__own_{k}") for k, c in enumerate(names)])
+    kept = judge(plain).where("kept")
+    return kept.select(*[F.col(c if c in ("doc_id", "text", "source") else f"__own_{k}").alias(c) for k, c in enumerate(names)])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return judge(docs).select("doc_id", *STATS, "base_failed", "kept")

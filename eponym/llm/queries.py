@@ -10,6 +10,7 @@ from .op7_quality import op7_quality
 from .op8_licenses import op8_licenses
 from .op9_urls import op9_urls
 from .op10_fingerprints import op10_fingerprints
+from .op5_jaccard import op5_jaccard
 from . import op6_quality_rules as op6
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_simple8b": op2_simple8b,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_jaccard": op5_jaccard,
     "op6_quality_rules": op6.op6_quality_rules,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
