@@ -57,3 +57,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut to at most ``rows`` rows, so few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

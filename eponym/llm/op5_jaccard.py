@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, table, utf8
+from .common import checkpointed, slices, table, utf8
 
 SCANNED = "kind int, doc_id long, n long, k1 long, k2 long, part int, counts binary"
 PARTS = 64
@@ -57,9 +57,9 @@ PARTS = 64
 class Shingles:
     """Sets of shingle hashes of texts; words are hashed once per worker while the table has room."""
 
-    def __init__(self, words: int = 3, most_words: int = 400_000):
+    def __init__(self, words: int = 3, most_words: int = 150_000):
         self.words, self.most_words = words, most_words
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def of(self, text: str | None) -> np.ndarray:
         import xxhash
@@ -67,24 +67,26 @@ class Shingles:
         words = utf8(text).lower().split()
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        get = self.known.get
-        found = list(map(get, words))
+        known = self.known
+        found = list(map(known.get, words))
         if None in found:
-            if len(self.known) > self.most_words:
-                self.known.clear()
+            if len(known) > self.most_words:
+                known.clear()
             for k, h in enumerate(found):
                 if h is None:
                     w = words[k]
-                    found[k] = h = xxhash.xxh3_64_intdigest(w)
-                    if len(w) <= 48:
-                        self.known[w] = h
-        h = np.array(found, dtype=np.uint64)
+                    found[k] = h = xxhash.xxh3_64_digest(w)
+                    if len(w) <= 24:
+                        known[w] = h
+        h = np.frombuffer(b"".join(found), dtype="<u8")
         w = min(self.words, len(h))
         out = np.full(len(h) - w + 1, w, dtype=np.uint64)
         for j in range(w):
-            out = (out ^ h[j : len(h) - w + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= h[j : len(h) - w + 1 + j]
+            out *= np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(31)
-        return np.unique(mix64(out))
+        out.sort()
+        return out if len(out) == 1 else out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 @functools.lru_cache(maxsize=4)
@@ -104,7 +106,7 @@ def scan(docs: DataFrame, words: int, sketch_bits: int) -> DataFrame:
 
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
         make, counts, seen = shingler(words), np.zeros(1 << sketch_bits, dtype=np.uint16), False
-        for batch in batches:
+        for batch in slices(batches):
             ns, k1, k2 = [], [], []
             for text in batch.column(1).to_pylist():
                 s = make.of(text)
@@ -158,7 +160,7 @@ def prefixes(docs: DataFrame, words: int, bits: bytes, sketch_bits: int, percent
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
         make, often = shingler(words), np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             ns, tokens = [], []
             for text in batch.column(1).to_pylist():
                 s = make.of(text)
@@ -190,17 +192,14 @@ def whole_sets(docs: DataFrame, words: int, ids: DataFrame, bits: int = 23) -> D
     """
     mask = doc_bits(ids, bits)
 
-    @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        a = at.to_numpy()
-        return pd.Series(((np.frombuffer(mask, dtype="<i8")[a // 64] >> (a % 64)) & 1).astype(bool))
-
     def run(batches):
-        make = shingler(words)
-        for batch in batches:
+        make, words_of_mask = shingler(words), np.frombuffer(mask, dtype="<i8")
+        for batch in slices(batches):
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(((words_of_mask[at // 64] >> (at % 64)) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("set", pa.binary())]))
 
-    some = _docs(docs).where(F.col("doc_id").isNotNull()).where(maybe(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)))
+    some = _docs(docs).where(F.col("doc_id").isNotNull()).withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits))
     return some.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
