@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz<>"
 
@@ -75,12 +76,12 @@ def damerau_one(a: str, b: str) -> int:
     return d[-1][-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else damerau_one(x, y) for x, y in zip(a, b)], dtype="Int32")
 
@@ -120,7 +121,7 @@ def edit_script_one(a: str, b: str) -> tuple[int, str]:
     return int(d[-1, -1]), "".join(reversed(ops))
 
 
-@F.pandas_udf("cost int, operations string")
+@F.pandas_udf(T.StructType([T.StructField("cost", T.IntegerType()), T.StructField("operations", T.StringType())]))
 def edit_script(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([edit_script_one(x or "", y or "") for x, y in zip(a, b)], columns=["cost", "operations"])
 
@@ -145,7 +146,7 @@ def match_pieces_one(left: list[str], right: list[str]) -> list[tuple[str, str]]
     return out
 
 
-@F.pandas_udf("array<struct<name: string, alt_name: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("alt_name", T.StringType())])))
 def match_pieces(left: pd.Series, right: pd.Series) -> pd.Series:
     def one(a, b):
         if a is None or b is None or not len(a) or not len(b):
@@ -202,7 +203,7 @@ def wordpiece(vocabulary: list[str], length: int, unknown: str = "[UNK]", paddin
                 break
         return (out + [padding] * length)[:length]
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def tokens(name: pd.Series) -> pd.Series:
         return pd.Series([one(x) for x in name], dtype=object)
 
