@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zlib
 
@@ -64,3 +66,22 @@ def slices(batches, rows: int = 1000):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+@contextlib.contextmanager
+def task_memory(*tables):
+    """Empties a worker's tables when its task ends and hands freed memory back to the system.
+
+    Workers stay alive between tasks, also those of other stages, and share an executor's
+    memory with the JVM.
+    """
+    try:
+        yield
+    finally:
+        for t in tables:
+            t.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            ctypes.CDLL("libc.so.6").malloc_trim(0)

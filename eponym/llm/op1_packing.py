@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, task_memory, table
 from .tokens import WORD_TOKENIZER, tokenizer_path, word_encoder
 
 CAPACITY = 4096
@@ -39,16 +39,17 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
     def cut(batches):
         encoder, end = word_encoder(path), np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, s in enumerate(range(0, n, capacity)):
-                        rows.append((doc, k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        with task_memory(encoder):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    rows = []
+                    for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                        ids += end
+                        n = len(ids) // 4
+                        for k, s in enumerate(range(0, n, capacity)):
+                            rows.append((doc, k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, table, task_memory
 from .tokens import WORD_TOKENIZER, tokenizer_path, word_encoder
 
 MAGIC = b"EPS8B001"
@@ -122,23 +122,24 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFr
     def run(batches):
         encoder, end, edges = word_encoder(path), np.array([end_id], dtype="<u4").tobytes(), np.array(bounds, dtype=np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("words", pa.binary()), ("shard", pa.int32())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                coded = [i + end for i in encoder.encode(part.column(1).to_pylist())]
-                lengths = np.array([len(i) // 4 for i in coded], dtype=np.int64)
-                words, sizes = encode_ids(np.frombuffer(b"".join(coded), dtype="<u4"), lengths)
-                raw, cut = words.tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * 8
-                doc_id = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(lengths),
-                        pa.array([raw[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary()),
-                        pa.array(np.searchsorted(edges, doc_id, side="right").astype(np.int32)),
-                    ],
-                    schema=schema,
-                )
+        with task_memory(encoder):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    coded = [i + end for i in encoder.encode(part.column(1).to_pylist())]
+                    lengths = np.array([len(i) // 4 for i in coded], dtype=np.int64)
+                    words, sizes = encode_ids(np.frombuffer(b"".join(coded), dtype="<u4"), lengths)
+                    raw, cut = words.tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * 8
+                    doc_id = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0),
+                            pa.array(lengths),
+                            pa.array([raw[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary()),
+                            pa.array(np.searchsorted(edges, doc_id, side="right").astype(np.int32)),
+                        ],
+                        schema=schema,
+                    )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CODED)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod_py, table
+from .common import crc_mod_py, table, task_memory
 from .learning import labelled_sample, linear_svm, logistic, sigmoid
 
 DECAY, GAPS, SPACE_BITS, PAD = 0.6, 2, 19, 8
@@ -113,6 +113,9 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
+    def clear(self) -> None:
+        self.known = {}
+
     def word_values(self, words) -> dict[str, float]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > 300_000:
@@ -214,14 +217,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 4,
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = part.column(0).to_pylist()
-                s = model.scores(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([i is not None and crc_mod_py(i, folds) == held_out for i in ids]), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema
-                )
+        with task_memory(model):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    ids = part.column(0).to_pylist()
+                    s = model.scores(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array([i is not None and crc_mod_py(i, folds) == held_out for i in ids]), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema
+                    )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 

@@ -5,13 +5,13 @@ passages of different documents are cut alike. Inside a chunk, every place where
 follows a visible character is settled: the tokenizer's split never carries a token over
 it, whatever stands further left or right. A chunk's ids between its first and last
 settled place (its core) are therefore the same in every document that holds the chunk;
-a worker encodes a core once and takes it from its table afterwards. The join of two
+a task encodes a core once and takes it from its table afterwards. The join of two
 chunks is repaired by encoding again from the last settled place of the left chunk to
 the first of the right one; where a chunk has none, the window grows over it until both
 ends are settled, and from there on the ids agree exactly with those of the whole text.
 
-The table belongs to a worker process and is bounded by the characters it holds: when
-full it is emptied, which costs time and changes no result. Nothing is shuffled, so a
+The table belongs to a worker's task and is bounded by the characters it holds: when full
+it keeps only what the current texts need, which costs time and changes no result. Nothing is shuffled, so a
 lost task is just run again.
 
 Defined cases: null text counts as empty, with no ids and an empty decoded text; a text
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import table, task_memory, utf8
 from .tokens import BYTE_TOKENIZER, no_collector, tokenizer, tokenizer_path
 
 #: Code points that the tokenizer's \s matches (fixed values).
@@ -105,6 +105,10 @@ class ChunkEncoder:
         get = self.known.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
+    def clear(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
@@ -120,11 +124,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encoder = chunk_encoder(path)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+        with task_memory(encoder):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    ids = encoder.encode(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
 
@@ -149,19 +154,20 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encoder = chunk_encoder(path)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(i) // 4 for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-                        pa.array([hashlib.sha256(utf8(encoder.decode(i))).hexdigest() for i in ids]),
-                    ],
-                    schema=schema,
-                )
+        with task_memory(encoder):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    ids = encoder.encode(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0),
+                            pa.array([len(i) // 4 for i in ids], pa.int64()),
+                            pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                            pa.array([hashlib.sha256(utf8(encoder.decode(i))).hexdigest() for i in ids]),
+                        ],
+                        schema=schema,
+                    )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

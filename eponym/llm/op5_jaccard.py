@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, utf8
+from .common import checkpointed, slices, table, task_memory, utf8
 
 SCANNED = "kind int, doc_id long, n long, k1 long, k2 long, part int, counts binary"
 PARTS = 64
@@ -106,25 +106,26 @@ def scan(docs: DataFrame, words: int, sketch_bits: int) -> DataFrame:
 
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
         make, counts, seen = shingler(words), np.zeros(1 << sketch_bits, dtype=np.uint16), False
-        for batch in slices(batches):
-            ns, k1, k2 = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = make.of(text)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                a, b = np.frombuffer(d, dtype="<i8").tolist()
-                ns.append(len(s)), k1.append(a), k2.append(b)
-                at = s >> np.uint64(64 - sketch_bits)
-                counts[at] += (counts[at] < 60_000).astype(np.uint16)
-                seen = True
-            m = len(ns)
-            none = pa.nulls(m, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), none, pa.nulls(m, pa.binary())], schema=schema)
-        if seen:
-            small = np.minimum(counts, 255).astype(np.uint8).reshape(PARTS, -1)
-            packed = [zlib.compress(p.tobytes(), 1) for p in small]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(PARTS, np.int32)), *(pa.nulls(PARTS, pa.int64()) for _ in range(4)), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(packed, pa.binary())], schema=schema
-            )
+        with task_memory(make.known):
+            for batch in slices(batches):
+                ns, k1, k2 = [], [], []
+                for text in batch.column(1).to_pylist():
+                    s = make.of(text)
+                    d = xxhash.xxh3_128_digest(s.tobytes())
+                    a, b = np.frombuffer(d, dtype="<i8").tolist()
+                    ns.append(len(s)), k1.append(a), k2.append(b)
+                    at = s >> np.uint64(64 - sketch_bits)
+                    counts[at] += (counts[at] < 60_000).astype(np.uint16)
+                    seen = True
+                m = len(ns)
+                none = pa.nulls(m, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), none, pa.nulls(m, pa.binary())], schema=schema)
+            if seen:
+                small = np.minimum(counts, 255).astype(np.uint8).reshape(PARTS, -1)
+                packed = [zlib.compress(p.tobytes(), 1) for p in small]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ones(PARTS, np.int32)), *(pa.nulls(PARTS, pa.int64()) for _ in range(4)), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(packed, pa.binary())], schema=schema
+                )
 
     return _docs(docs).mapInArrow(run, SCANNED)
 
@@ -160,17 +161,18 @@ def prefixes(docs: DataFrame, words: int, bits: bytes, sketch_bits: int, percent
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
         make, often = shingler(words), np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-        for batch in slices(batches):
-            ns, tokens = [], []
-            for text in batch.column(1).to_pylist():
-                s = make.of(text)
-                n = len(s)
-                ns.append(n)
-                size = min(n, n - -(-percent * n // 100) + 1 + extra)
-                common = often[s >> np.uint64(64 - sketch_bits)]
-                rare = s[~common][:size]
-                tokens.append((np.concatenate([rare, s[common][: size - len(rare)]]) if len(rare) < size else rare).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
+        with task_memory(make.known):
+            for batch in slices(batches):
+                ns, tokens = [], []
+                for text in batch.column(1).to_pylist():
+                    s = make.of(text)
+                    n = len(s)
+                    ns.append(n)
+                    size = min(n, n - -(-percent * n // 100) + 1 + extra)
+                    common = often[s >> np.uint64(64 - sketch_bits)]
+                    rare = s[~common][:size]
+                    tokens.append((np.concatenate([rare, s[common][: size - len(rare)]]) if len(rare) < size else rare).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], schema=schema)
 
     return _docs(docs).mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
@@ -194,10 +196,11 @@ def whole_sets(docs: DataFrame, words: int, ids: DataFrame, bits: int = 23) -> D
 
     def run(batches):
         make, words_of_mask = shingler(words), np.frombuffer(mask, dtype="<i8")
-        for batch in slices(batches):
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(((words_of_mask[at // 64] >> (at % 64)) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("set", pa.binary())]))
+        with task_memory(make.known):
+            for batch in slices(batches):
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array(((words_of_mask[at // 64] >> (at % 64)) & 1).astype(bool)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("set", pa.binary())]))
 
     some = _docs(docs).where(F.col("doc_id").isNotNull()).withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits))
     return some.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])

@@ -114,6 +114,9 @@ class WordEncoder:
             known[w] = known[s] + known[t]
         known.update(zip((w for w, _ in others), self._each([t for _, t in others])))
 
+    def clear(self) -> None:
+        self.known = {}
+
     def encode(self, texts) -> list[bytes]:
         with no_collector():
             return self._encode(texts)
