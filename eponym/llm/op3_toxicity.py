@@ -29,6 +29,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,8 +181,8 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 400, words_each: int = 6
         norm = np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(words))), 1e-12)
         out = np.empty((len(words), root.shape[1]))
         folded = base.T @ root
-        for at in range(0, len(words), 1000):
-            top = min(len(words), at + 1000)
+        for at in range(0, len(words), 200):
+            top = min(len(words), at + 200)
             part = here & (w >= at) & (w < top)
             sparse = np.zeros((top - at, len(ids)))
             np.add.at(sparse, (w[part] - at, column[part]), v[part])
@@ -209,6 +210,7 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 400, words_each: int = 6
         negatives = list(dict.fromkeys(negatives + hard))
     x = model.document_features([t for (t, _), c in zip(sample, calibrates) if c])
     model.final = logistic(x, y_all[calibrates], ridge=0.05)
+    model.clear()
     return model
 
 
@@ -233,15 +235,20 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 4,
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
 
-    @F.pandas_udf("double")
-    def value(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(text.tolist()), dtype=float)
+    def values(batches):
+        with task_memory(model):
+            for texts in batches:
+                parts = [model.scores(texts.iloc[at : at + 500].tolist()) for at in range(0, len(texts), 500)]
+                yield pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
+    values.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    value = F.pandas_udf(values, "double")
     return docs.where(value(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 20_000) -> Model:
-    return fit(labelled_sample(docs, labels, "toxic", 4, 2, per_class, most_chars))
+    with task_memory():
+        return fit(labelled_sample(docs, labels, "toxic", 4, 2, per_class, most_chars))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
