@@ -267,7 +267,7 @@ def greedy(ranked: DataFrame, threshold: float, heads: dict | None = None) -> Da
         names = frame["name"].to_numpy()
         return pd.DataFrame({"name": names, "cluster": names[own]})
 
-    return ranked.groupBy(F.lit(1)).applyInPandas(run, f"name {kind}, cluster {kind}")
+    return ranked.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, f"name {kind}, cluster {kind}")
 
 
 def phonebook(sizes: list[tuple], neighbours: list[tuple], supers: dict, n_partitions: int, most: float) -> dict:

@@ -29,7 +29,7 @@ def pair_statistics(counted: DataFrame) -> DataFrame:
     meet = counted.groupBy(low.alias("low"), high.alias("high")).agg(
         F.sum(F.when(F.col("name") == low, F.col("frequency")).otherwise(0)).alias("forth"), F.sum(F.when(F.col("name") != low, F.col("frequency")).otherwise(0)).alias("back")
     )
-    both = meet.select(F.inline(F.array(F.struct(F.col("low").alias("name"), F.col("high").alias("alt_name"), F.col("forth").alias("frequency"), F.col("back").alias("reverse_frequency")), F.struct(F.col("high"), F.col("low"), F.col("back"), F.col("forth")))))
+    both = meet.select(F.inline(F.array(F.struct(F.col("low").alias("name"), F.col("high").alias("alt_name"), F.col("forth").alias("frequency"), F.col("back").alias("reverse_frequency")), F.struct(F.col("high").alias("name"), F.col("low").alias("alt_name"), F.col("back").alias("frequency"), F.col("forth").alias("reverse_frequency")))))
     both = both.where("frequency > 0")
     as_name = counted.groupBy("name").agg(F.sum("frequency").alias("s"))
     as_alt = counted.groupBy(F.col("alt_name").alias("name")).agg(F.sum("frequency").alias("t"))

@@ -1,6 +1,945 @@
-"""The registered queries and their SQL."""
+"""The registered queries (the inventory's ids in brackets) and their DuckDB form."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import coders, normalize, strings, vectors
+from ..functions import word_lists as lists
+from ..operators import augment, clusters, metrics, pair_statistics, similarity
+from ..sources import files, tables
+from .sql import refined_soundex_sql, soundex_sql, sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLE_SQL[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def _stats(spark, d):
+    return pair_statistics.pair_statistics(pair_statistics.count_pairs(tables.pairs(spark, d)))
+
+
+STATS = "name, alt_name, frequency, reverse_frequency, sum_name_frequency, total_name_frequency, total_alt_name_frequency, round(ordered_prob, 6) as ordered_prob, round(unordered_prob, 6) as unordered_prob, round(similarity, 6) as similarity"
+
+
+@query(sql("similar", f"select {STATS} from similar"))
+def name_pair_stats(spark, d):
+    """[A1-A6, J1-J4, F20, P9]"""
+    return rounded(pair_statistics.similar_pairs(_stats(spark, d)))
+
+
+@query(sql("similar", f"select {STATS} from similar where not (similarity < 0.55 and (frequency < 5 or ordered_prob < 0.08))"))
+def pair_noise_filter(spark, d):
+    """[P10, P18]"""
+    return rounded(pair_statistics.drop_noisy(pair_statistics.similar_pairs(_stats(spark, d))))
+
+
+@query(sql("stats", f"select {STATS} from stats where similarity <= 0.4 and frequency + reverse_frequency >= 40"))
+def dissimilar_pairs(spark, d):
+    """[P11]"""
+    return rounded(pair_statistics.dissimilar_pairs(_stats(spark, d), least_frequency=40))
+
+
+@query(sql("pref", "select name, frequency, rank from pref"))
+def token_frequency(spark, d):
+    """[A4, P12, T1, W9]"""
+    return tables.preferred(spark, d)
+
+
+@query(sql("tok", "select token as name, count(*) as frequency from tok group by token order by frequency desc, name limit 100"))
+def top_k_tokens(spark, d):
+    """[T2, T4, T5]"""
+    return pair_statistics.most_frequent(tables.tokens(spark, d).groupBy(F.col("token").alias("name")).agg(F.count("*").alias("frequency")), 100)
+
+
+@query(sql("pref", "select cast(r as bigint) as rank, round(sum(case when rank <= r then frequency else 0 end) / sum(frequency), 6) as share from pref, (select unnest([10, 100, 1000, 10000]) as r) group by r"))
+def cumulative_mass(spark, d):
+    """[A25, W6]"""
+    return rounded(metrics.cumulative_share(tables.preferred(spark, d), [10, 100, 1000, 10000]))
+
+
+@query(sql("pref", "select cast((rank - 1) // 100 as bigint) as bin, round(avg(frequency), 6) as mean_frequency, count(*) as names from pref group by 1"))
+def rank_bins(spark, d):
+    """[A26]"""
+    return rounded(metrics.rank_means(tables.preferred(spark, d), 100))
+
+
+@query(sql("tok", "select cast(length(token) as bigint) as length, count(*) as n from tok group by 1"))
+def length_histogram(spark, d):
+    """[A27]"""
+    return tables.tokens(spark, d).groupBy(F.length("token").cast("long").alias("length")).agg(F.count("*").alias("n"))
+
+
+@query(sql("stats", "select cast(floor(log10(frequency) + 1e-9) as bigint) as frequency_bin, cast(least(9, floor(similarity * 10 + 1e-9)) as bigint) as similarity_bin, count(*) as n from stats group by all"))
+def score_histogram_2d(spark, d):
+    """[A28]"""
+    return rounded(metrics.histogram_2d(_stats(spark, d)))
+
+
+@query(sql("stats", "select cast(least(19, floor(ordered_prob / 0.05)) as bigint) as bin, count(*) as n from stats group by 1"))
+def probability_bins(spark, d):
+    """[A27, A29]"""
+    return rounded(metrics.width_bins(_stats(spark, d), "ordered_prob", 0.0, 1.0, 20))
+
+
+@query(sql("attached bad", "select tree_name, record_name, frequency from attached where not exists (from bad where name1 = tree_name and name2 = record_name)"))
+def bad_pair_anti_join(spark, d):
+    """[J5-J7, P1]"""
+    return pair_statistics.drop_bad_pairs(tables.attached(spark, d), tables.bad_pairs(spark, d))
+
+
+@query(
+    sql(
+        "attached pref",
+        "select tree_name, record_name, frequency, case when tree_name in (select name from tr) and record_name in (select name from tr) then 'train' else 'test' end as side from attached",
+        nm="select name, coalesce(p.frequency, 0) as f from (select tree_name as name from attached union select record_name from attached) left join pref p using (name)",
+        tr="select name from (select name, row_number() over (order by f desc, name) as k, count(*) over () as n from nm) where k <= cast(floor(0.45 * n) as bigint)",
+    )
+)
+def frequency_split(spark, d):
+    """[T3, D4, J8-J10, P8]"""
+    return pair_statistics.frequency_split(tables.attached(spark, d), tables.preferred(spark, d))
+
+
+@query(sql("attached pref", "select record_name, cast(sum(a.frequency) as bigint) as frequency, coalesce(max(p.frequency), 0) as preferred_frequency from attached a left join pref p on record_name = name group by record_name"))
+def name_frequency_lookup(spark, d):
+    """[J8]"""
+    a = tables.attached(spark, d).groupBy("record_name").agg(F.sum("frequency").alias("frequency"))
+    p = tables.preferred(spark, d).select(F.col("name").alias("record_name"), F.col("frequency").alias("preferred_frequency"))
+    return a.join(p, "record_name", "left").select("record_name", "frequency", F.coalesce("preferred_frequency", F.lit(0)).alias("preferred_frequency"))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select("tree_name", F.array_join(F.transform("attached", lambda x: F.concat_ws(":", x["record_name"], x["frequency"].cast("string"))), ",").alias("attached"))
+
+
+@query(sql("attached", "select tree_name, string_agg(record_name || ':' || frequency, ',' order by frequency desc, record_name) as attached from attached group by tree_name"))
+def attached_names(spark, d):
+    """[A7, D13]"""
+    return _flat(pair_statistics.attached_lists(tables.attached(spark, d)))
+
+
+@query(sql("attached", "select tree_name, string_agg(record_name || ':' || frequency, ',' order by frequency desc, record_name) as attached from (from attached union all select distinct tree_name, tree_name, 0 from attached) group by tree_name"))
+def attached_with_self(spark, d):
+    """[A8] neighbouring words differ, so no name is attached to itself"""
+    return _flat(pair_statistics.attached_lists(tables.attached(spark, d), with_self=True))
+
+
+@query(sql("attached", "select name, cast(sum(frequency) as bigint) as frequency from (select tree_name as name, frequency from attached union all select record_name, frequency from attached) group by name"))
+def two_sided_counts(spark, d):
+    """[A10]"""
+    return pair_statistics.two_sided_counts(tables.attached(spark, d))
+
+
+_TOP200 = dict(ts="select name from (select name, sum(frequency) as f from (select tree_name as name, frequency from attached union all select record_name, frequency from attached) group by name) order by f desc, name limit 200")
+
+
+@query(sql("attached", "select tree_name, record_name, frequency from attached where tree_name in (select name from ts) and record_name in (select name from ts)", **_TOP200))
+def select_frequent_k(spark, d):
+    """[D2, T2, P14]"""
+    a = tables.attached(spark, d)
+    return pair_statistics.filter_dataset(a, pair_statistics.most_frequent(pair_statistics.two_sided_counts(a), 200)).select("tree_name", "record_name", "frequency")
+
+
+@query(sql("attached", "select tree_name, record_name, frequency from attached where tree_name in (select name from ts)", **_TOP200))
+def filter_dataset(spark, d):
+    """[D1]"""
+    a = tables.attached(spark, d)
+    return pair_statistics.filter_dataset(a, pair_statistics.most_frequent(pair_statistics.two_sided_counts(a), 200), both=False).select("tree_name", "record_name", "frequency")
+
+
+def _unit(c: str) -> str:
+    return f"(cast(('0x' || substring(md5({c}), 1, 6)) as bigint) / 16777216.0)"
+
+
+@query(sql("attached", f"select tree_name, record_name, frequency, case when a then 'train' else 'test' end as side from (select *, {_unit('tree_name')} < 0.7 as a, {_unit('record_name')} < 0.7 as b from attached) where a = b"))
+def hash_split(spark, d):
+    """[D3]"""
+    return pair_statistics.name_disjoint_split(tables.attached(spark, d))
+
+
+@query(sql("attached", f"select tree_name, record_name, frequency, case when max(t) over (partition by record_name) then 'train' else 'test' end as side from (select *, {_unit("tree_name || ',' || record_name")} < 0.9 as t from attached)"))
+def row_split_repaired(spark, d):
+    """[D5]"""
+    return pair_statistics.row_split(tables.attached(spark, d))
+
+
+@query(
+    sql(
+        "",
+        "select name, given_freq, surname_freq, given_freq + surname_freq as total_freq, round(given_freq / (given_freq + surname_freq), 6) as given_ratio from u where given_freq / (given_freq + surname_freq) > 0.4 and given_freq / (given_freq + surname_freq) < 0.8 and given_freq + surname_freq < 1000 and not ends_with(name, 'son')",
+        u=f"select name, count(*) filter (lang = 'en') as given_freq, count(*) filter (lang <> 'en' or lang is null) as surname_freq from (select lang, unnest({'list_filter(regexp_split_to_array(lower(text), ' + chr(39) + '[^a-z]+' + chr(39) + '), lambda x: length(x) > 1)'}) as name from documents) group by name",
+    )
+)
+def freq_union_ratio(spark, d):
+    """[J11, P15-P17, U1, U2]"""
+    docs = tables.table(spark, d, "documents").select("lang", F.explode(tables.words_of(F.col("text"))).alias("name"))
+    count = lambda w: docs.where(w).groupBy("name").agg(F.count("*").alias("frequency"))
+    u = pair_statistics.frequency_union(count("lang = 'en'"), count("lang != 'en' or lang is null"))
+    return rounded(u.where("given_ratio > 0.4 and given_ratio < 0.8 and total_freq < 1000 and not endswith(name, 'son')"))
+
+
+@query(sql("scored", "select tree_name, record_name, cast(frequency as bigint) as frequency, round(frequency / tree_total, 6) as tree_ratio, round(frequency / record_total, 6) as record_ratio, round(score, 6) as score from scored"))
+def smoothed_scores(spark, d):
+    """[A11-A13]"""
+    return rounded(augment.cooccurrence_scores(tables.co_purchase(spark, d)).select("tree_name", "record_name", "frequency", "tree_ratio", "record_ratio", "score"))
+
+
+_TRIPLES = """select anchor, positive, round(ps, 6) as positive_score, negative, round(ns, 6) as negative_score from (select *, row_number() over (partition by anchor order by round(ps, 9) desc, positive, negative) as r from
+ (select a.tree_name as anchor, case when a.score >= b.score then a.record_name else b.record_name end as positive, greatest(a.score, b.score) as ps, case when a.score >= b.score then b.record_name else a.record_name end as negative, least(a.score, b.score) as ns
+  from scored a join scored b on a.tree_name = b.tree_name and a.record_name < b.record_name where greatest(a.score, b.score) >= 0.4)) where r <= 200"""
+
+
+def _triples(spark, d):
+    return augment.triplets(augment.cooccurrence_scores(tables.co_purchase(spark, d)), least=0.4, per_anchor=200)
+
+
+@query(sql("scored", _TRIPLES))
+def triplets(spark, d):
+    """[J20, W8]"""
+    return rounded(_triples(spark, d))
+
+
+@query(sql("scored", "select anchor, positive, negative, round(ps - ns, 6) as target from (select anchor, positive, negative, positive_score as ps, negative_score as ns from tr)", tr=_TRIPLES))
+def margin_rows(spark, d):
+    """[D11]"""
+    return rounded(augment.margin_rows(rounded(_triples(spark, d))))
+
+
+@query(
+    sql(
+        "scored",
+        "select name1, name2, round(score, 6) as score from (from q union select name2, name1, score from q union select n, n, 1.0 from (select name1 as n from q union select name2 from q))",
+        tr=_TRIPLES, q="select anchor as name1, positive as name2, positive_score as score from tr union select anchor, negative, negative_score from tr",
+    )
+)
+def symmetric_examples(spark, d):
+    """[D12]"""
+    return rounded(augment.symmetric_examples(rounded(_triples(spark, d))))
+
+
+@query(sql("scored", "select tree_name, record_name, round(score, 6) as score, cast(tenth as bigint) as tenth from (select *, row_number() over (partition by tenth order by md5(tree_name || ',' || record_name), tree_name, record_name) as r from (select *, floor(score * 10 + 1e-9) as tenth from scored)) where r <= 40"))
+def stratified_sample(spark, d):
+    """[P25, P26]"""
+    return rounded(augment.stratified_sample(augment.cooccurrence_scores(tables.co_purchase(spark, d))))
+
+
+@query(sql("brandtype", "select distinct a.name as name1, b.name as name2 from brandtype a join brandtype b on a.head = b.head and a.name <> b.name"))
+def non_negatives(spark, d):
+    """[J19, U3]"""
+    return augment.bucket_pairs(tables.table(spark, d, "part").select(F.col("p_type").alias("head"), F.col("p_brand").alias("name")).distinct())
+
+
+@query(sql("edges", "select a.record_name as name, b.record_name as alt_name, count(*) as score from edges a join edges b on a.tree_name = b.tree_name where a.record_name <> b.record_name and a.frequency / a.rc >= 0.02 and b.frequency / b.tc >= 0.004 group by all"), name="tree_record_pair")
+def _tree_record_pair(spark, d):
+    """[J12] the hops' thresholds differ as record names are many and tree names few"""
+    e = augment.weighted_edges(tables.co_purchase(spark, d))
+    into = e.where("frequency / record_count >= 0.02").select(F.col("record_name").alias("name"), F.col("tree_name").alias("middle"))
+    return augment._paths(into, e.where("frequency / tree_count >= 0.004").select(F.col("tree_name").alias("middle"), F.col("record_name").alias("alt_name")))
+
+
+@query(sql("edges", "select a.tree_name as name, b.tree_name as alt_name, count(*) as score from edges a join edges b on a.record_name = b.record_name where a.tree_name <> b.tree_name and a.frequency / a.tc >= 0.004 and b.frequency / b.rc >= 0.004 group by all"))
+def record_tree_pair(spark, d):
+    """[J13]"""
+    return augment.record_tree_pairs(tables.co_purchase(spark, d), 0.004)
+
+
+@query(sql("attached", "select tree_name as name, record_name as alt_name, cast(sum(f) as bigint) as score from (select tree_name, record_name, frequency as f from attached union all select record_name, tree_name, frequency from attached) group by all"))
+def neighbour_pairs(spark, d):
+    """[J15, A14]"""
+    return augment.neighbour_pairs(tables.attached(spark, d))
+
+
+@query(
+    sql(
+        "",
+        "select name, alt_name, cast(sum(c) as bigint) as score from (select a.name1 as name, b.name2 as alt_name, count(*) as c from l a join l b on a.name2 = b.name1 where a.name1 <> b.name2 group by all union all select a.name2, b.name1, count(*) from l a join l b on a.name1 = b.name2 where a.name2 <> b.name1 group by all) group by all",
+        l="select p_mfgr as name1, n as name2 from (select distinct p_brand as p_mfgr, p_type as n from part union select distinct p_type, p_brand from part)",
+    )
+)
+def chained_hop(spark, d):
+    """[J14] over brands and types, each a tree name of the other"""
+    p = tables.table(spark, d, "part").select(F.col("p_brand").alias("tree_name"), F.col("p_type").alias("record_name")).distinct()
+    both = p.union(p.select("record_name", "tree_name")).distinct().withColumn("frequency", F.lit(1).cast("long"))
+    return augment.chained_pairs(both)
+
+
+_VOTES = dict(
+    nm="select distinct tree_name as name from cop union select distinct record_name from cop",
+    l1="select distinct a.record_name as name, b.record_name as alt_name from cop a join cop b on a.tree_name = b.tree_name where a.record_name <> b.record_name",
+    l2="select tree_name as name, record_name as alt_name from cop union select record_name, tree_name from cop",
+    l3="select a.name, b.name as alt_name from nm a, nm b where a.name <> b.name and 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.75 - 1e-12",
+    votes="select name, alt_name, count(*) - 1 as votes from (from l1 union all from l2 union all from l3) group by all having count(*) >= 2",
+)
+
+
+def _votes(spark, d):
+    a = tables.co_purchase(spark, d)
+    names = a.select(F.explode(F.array("tree_name", "record_name")).alias("name")).distinct()
+    near = augment.similar_name_pairs(names, 0.75).select("name", "alt_name")
+    return a, augment.learner_votes([augment.tree_record_pairs(a), augment.neighbour_pairs(a), near.union(near.select("alt_name", "name"))], least=2)
+
+
+@query(sql("cop", "from votes", **_VOTES))
+def learner_votes(spark, d):
+    """[A14, J18, L10]"""
+    return _votes(spark, d)[1]
+
+
+@query(sql("cop", "select tree_name, record_name, cast(sum(f) as bigint) as frequency from (select tree_name, record_name, frequency * 8 as f from cop union all select name, alt_name, votes from votes) group by all", **_VOTES))
+def augment_merge(spark, d):
+    """[A15]"""
+    return augment.merge_augmented(*_votes(spark, d))
+
+
+@query(sql("cop", "select case when s then record_name else tree_name end as tree_name, case when s then tree_name else record_name end as record_name, votes as frequency from (select name as tree_name, alt_name as record_name, votes, name not in (select tree_name from cop) and alt_name in (select tree_name from cop) as s from votes)", **_VOTES))
+def orientation_swap(spark, d):
+    """[D16]"""
+    a, v = _votes(spark, d)
+    return pair_statistics.orient(v.select(F.col("name").alias("tree_name"), F.col("alt_name").alias("record_name"), F.col("votes").alias("frequency")), a)
+
+
+@query(sql("attached pref", "select tree_name, record_name, a.frequency from attached a where not (tree_name in (select name from pref where rank <= 500) and record_name in (select name from pref where rank <= 500) and 1 - levenshtein(tree_name, record_name) / greatest(length(tree_name), length(record_name)) <= 0.65)"))
+def drop_frequent_dissimilar(spark, d):
+    """[D15]"""
+    return pair_statistics.drop_frequent_dissimilar(tables.attached(spark, d), tables.preferred(spark, d).where("rank <= 500"))
+
+
+def _lev(least):
+    s = sql("top300", f"select a.name, b.name as alt_name, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) as similarity from top300 a join top300 b on a.name < b.name where 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= {least} - 1e-12")
+
+    @query(s, name=f"lev_pairs_{round(least * 100)}")
+    def run(spark, d):
+        """[J18, F20, F23]"""
+        return rounded(augment.similar_name_pairs(tables.preferred(spark, d).where("rank <= 300"), least))
+
+
+for _least in (0.65, 0.75, 0.85):
+    _lev(_least)
+
+
+@query(
+    sql(
+        "top300 attached",
+        "select name, alt_name, round(similarity, 6) as similarity from (select *, row_number() over (partition by name order by md5(name || ',' || alt_name), alt_name) as r from n) where r <= 5",
+        n="select a.name, b.name as alt_name, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) as similarity from top300 a join top300 b on a.name <> b.name where 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) between 0.5 - 1e-12 and 0.75 + 1e-12 and not exists (from attached where (tree_name = a.name and record_name = b.name) or (tree_name = b.name and record_name = a.name))",
+    )
+)
+def near_negatives(spark, d):
+    """[D9]"""
+    return rounded(augment.near_negatives(tables.preferred(spark, d).where("rank <= 300"), tables.attached(spark, d), 0.5, 0.75, 5))
+
+
+def _top_pairs(spark, d, n=150):
+    p = tables.preferred(spark, d).where(F.col("rank") <= n)
+    return p.select("name").join(p.select(F.col("name").alias("alt_name")), F.col("name") < F.col("alt_name"))
+
+
+@query(sql("top150", "select a.name, b.name as alt_name, round(jaro_winkler_similarity(a.name, b.name), 6) as similarity from top150 a join top150 b on a.name < b.name where round(jaro_winkler_similarity(a.name, b.name), 9) >= 0.8"))
+def jaro_winkler_pairs(spark, d):
+    """[F22]"""
+    s = _top_pairs(spark, d).withColumn("similarity", strings.jaro_winkler("name", "alt_name"))
+    return rounded(s.where("round(similarity, 9) >= 0.8"))
+
+
+@query(sql("top150", "select a.name, b.name as alt_name, damerau_levenshtein(a.name, b.name) as distance from top150 a join top150 b on a.name < b.name where damerau_levenshtein(a.name, b.name) <= 2"))
+def damerau_pairs(spark, d):
+    """[F21]"""
+    return _top_pairs(spark, d).withColumn("distance", strings.damerau_levenshtein("name", "alt_name").cast("long")).where("distance <= 2")
+
+
+@query()
+def edit_scripts(spark, d):
+    """[F24, F25]"""
+    p = _top_pairs(spark, d, 60).withColumn("e", strings.edit_script("name", "alt_name"))
+    return p.select("name", "alt_name", F.col("e.cost").cast("long").alias("cost"), F.col("e.operations").alias("operations"))
+
+
+@query()
+def match_name_pieces(spark, d):
+    """[F26, P7]"""
+    p = tables.word_lists(spark, d, "benchmark", "item_id").where("size(words) >= 4").select("item_id", F.slice("words", 1, 2).alias("a"), F.slice("words", 3, 2).alias("b"))
+    return p.select("item_id", F.inline(strings.match_pieces("a", "b")))
+
+
+@query()
+def normalize_names(spark, d):
+    """[F1-F15, F42] supplier and part names as raw surnames and given names"""
+    raw = tables.table(spark, d, "part").select(F.col("p_name").alias("raw")).union(tables.table(spark, d, "supplier").select("s_name")).distinct()
+    return raw.select("raw", normalize.normalize_and_join(F.col("raw"), False).alias("given"), normalize.normalize_and_join(F.col("raw"), True).alias("surname"))
+
+
+_PATRONYMIC = "name"
+for _p, _r in lists.PATRONYMICS:
+    _PATRONYMIC = f"regexp_replace({_PATRONYMIC}, '{_p}', '{_r}')"
+
+
+@query(sql("pref", f"select name, {_PATRONYMIC} as standard from pref"))
+def patronymics(spark, d):
+    """[F16]"""
+    return tables.preferred(spark, d).select("name", normalize.standardize_patronymic(F.col("name")).alias("standard"))
+
+
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(
+    sql(
+        "wl",
+        "select doc_id, array_to_string(case when len(k) <= 1 then k when len(s) > 0 then s else k[len(k):len(k)] end, ' ') as kept from (select doc_id, k, list_filter(k, lambda x: x not in (" + _quoted(lists.POSSIBLE_NOISE_WORDS) + ")) as s from (select doc_id, list_filter(w, lambda x: x not in (" + _quoted(lists.NOISE_WORDS) + ")) as k from wl))",
+    )
+)
+def noise_words(spark, d):
+    """[F12]"""
+    return tables.word_lists(spark, d).select("doc_id", F.array_join(normalize.remove_noise_words(F.col("words"), False), " ").alias("kept"))
+
+
+@query(sql("tok", "select coalesce(v, token) as name, count(*) as frequency from tok left join (values " + ", ".join(f"('{a}', '{b}')" for a, b in lists.GIVEN_ABBREVIATIONS.items()) + ") t(k, v) on token = k group by 1"))
+def expand_abbreviations(spark, d):
+    """[F9]"""
+    lists_ = tables.word_lists(spark, d).select(F.explode(normalize.expand_given_abbreviations(F.col("words"))).alias("name"))
+    return lists_.groupBy("name").agg(F.count("*").alias("frequency"))
+
+
+def _buckets(name: str, code, oracle: str | None = None):
+    s = sql("pref", f"select code, count(*) as names, cast(sum(frequency) as bigint) as frequency, min(name) as first_name from (select *, {oracle} as code from pref) group by code") if oracle else None
+
+    @query(s, name=f"{name}_buckets")
+    def run(spark, d):
+        """[F27-F33, C22, J16]"""
+        p = tables.preferred(spark, d)
+        return p.withColumn("code", code(F.col("name"))).groupBy("code").agg(F.count("*").alias("names"), F.sum("frequency").alias("frequency"), F.min("name").alias("first_name"))
+
+
+_buckets("soundex", coders.soundex, soundex_sql("name"))
+_buckets("refined_soundex", coders.refined_soundex, refined_soundex_sql("name"))
+_buckets("identity", lambda c: c, "name")
+for _n, _c in (("nysiis", coders.nysiis), ("metaphone", coders.metaphone), ("cologne", coders.cologne), ("caverphone", coders.caverphone), ("match_rating", coders.match_rating_code)):
+    _buckets(_n, _c)
+
+
+@query(
+    sql(
+        "pref",
+        "select 'soundex' as coder, t as top, count(distinct " + soundex_sql("name") + ") as codes from pref, (select unnest([100, 1000, 10000]::bigint[]) as t) where rank <= t group by t union all select 'refined_soundex', t, count(distinct " + refined_soundex_sql("name") + ") from pref, (select unnest([100, 1000, 10000]::bigint[]) as t) where rank <= t group by t",
+    )
+)
+def coder_distinct_counts(spark, d):
+    """[A22]"""
+    return metrics.distinct_codes(tables.preferred(spark, d), {"soundex": coders.soundex(F.col("name")), "refined_soundex": coders.refined_soundex(F.col("name"))}, [100, 1000, 10000])
+
+
+@query(sql("top300", "select name, alt_name from (select a.name, b.name as alt_name from c a join c b on a.code = b.code and a.name <> b.name) group by all", c="select name, " + refined_soundex_sql("name") + " as code from top300"))
+def same_code_pairs(spark, d):
+    """[J16, J17]"""
+    return augment.same_code_pairs(tables.preferred(spark, d).where("rank <= 300"), coders.refined_soundex(F.col("name")))
+
+
+@query()
+def double_code_pairs(spark, d):
+    """[J17, F30]"""
+    return augment.same_code_pairs(tables.preferred(spark, d).where("rank <= 300"), coders.double_codes(F.col("name")))
+
+
+_GRAMS = "select name, unnest(list_concat(list_transform(range(1, length(name) + 1), lambda i: substring(name, i, 1)), list_transform(range(1, length(name)), lambda i: substring(name, i, 2)), list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3)))) as gram"
+
+
+@query(sql("pref", "select gram, count(*) as n, cast(sum(frequency) as bigint) as frequency from g group by gram", g=_GRAMS + ", frequency from pref"))
+def char_ngrams(spark, d):
+    """[F39, A30, A31]"""
+    return tables.preferred(spark, d).select("frequency", F.explode(strings.char_ngrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.sum("frequency").alias("frequency"))
+
+
+_TFIDF = dict(
+    g=_GRAMS + " from top300", tc="select name, gram, count(*) as c from g group by all", dfr="select gram, count(*) as df from tc group by gram",
+    raw="select name, tc.gram, c * (ln(301.0 / (1 + df)) + 1) as x from tc join dfr using (gram)", w="select name, gram, x / sqrt(sum(x * x) over (partition by name)) as w from raw",
+    sc="select a.name, b.name as alt_name, sum(a.w * b.w) as score from w a join w b on a.gram = b.gram and a.name <> b.name group by all",
+    tk="select *, row_number() over (partition by name order by round(score, 9) desc, alt_name) as rank from sc",
+)
+
+
+def _tfidf(spark, d):
+    t = similarity.tfidf(tables.preferred(spark, d).where("rank <= 300"), strings.char_ngrams(F.col("name")))
+    return similarity.tfidf_nearest(t, t, 10)
+
+
+@query(sql("top300", "select name, alt_name, round(score, 6) as score, rank from tk where rank <= 10", **_TFIDF))
+def tfidf_topk(spark, d):
+    """[F40, J25]"""
+    return rounded(_tfidf(spark, d))
+
+
+@query(sql("top300", "select name, alt_name, round(score, 6) as score, rank from (select name, alt_name, s as score, row_number() over (partition by name order by s desc, alt_name) as rank from (select name, alt_name, 1 - levenshtein(name, alt_name) / greatest(length(name), length(alt_name)) as s from tk where rank <= 10)) where rank <= 3", **_TFIDF))
+def tfidf_lev_rerank(spark, d):
+    """[J25, J26]"""
+    return rounded(similarity.rerank_by_edits(_tfidf(spark, d), 3))
+
+
+def _near(spark, d, k=10, **kw):
+    v = tables.vectors(spark, d)
+    return similarity.nearest(v, v, k, with_self=False, **kw)
+
+
+@query(sql("near", "select name as input_name, other as candidate_name, round(score, 6) as score, rank from near where rank <= 10"))
+def cosine_topk(spark, d):
+    """[J23, W1, V1, C27]"""
+    return rounded(_near(spark, d))
+
+
+@query(sql("vec", "select input_name, candidate_name, round(score, 6) as score, rank from (select *, row_number() over (partition by input_name order by round(score, 9), candidate_name) as rank from (select a.name as input_name, b.name as candidate_name, list_distance(a.v, b.v) as score from vec a, vec b where a.name <> b.name)) where rank <= 10"))
+def euclidean_topk(spark, d):
+    """[J23, W2, V2]"""
+    return rounded(_near(spark, d, metric="euclidean"))
+
+
+@query(sql("near", "select name as input_name, other as candidate_name, round(score, 6) as score, rank from near where rank <= 5 and score > 0.3"))
+def cosine_threshold_topn(spark, d):
+    """[J24]"""
+    return rounded(_near(spark, d, 5, least=0.3))
+
+
+@query(sql("near", "select name, cast(max(case when f and score > 0.9 then 1 else 0 end) as bigint) as very_near_foreign, cast(max(case when f and rank = 1 then 1 else 0 end) as bigint) as nearest_foreign, cast(case when sum(case when f and rank <= 3 then 1 else 0 end) >= 2 then 1 else 0 end as bigint) as majority_foreign from (select *, label <> other_label as f from near where rank <= 10) group by name"))
+def misplaced_members(spark, d):
+    """[M21]"""
+    return rounded(clusters.misplaced(_near(spark, d), tables.vec_clusters(spark, d)))
+
+
+@query(sql("near", "select input_name, label, votes, round(mean_score, 6) as mean_score, rank from (select *, row_number() over (partition by input_name order by votes desc, round(mean_score, 9) desc, label) as rank from (select name as input_name, cast(other_label as bigint) as label, count(*) as votes, avg(score) as mean_score from near where rank <= 10 group by all)) where rank <= 3"))
+def cluster_votes(spark, d):
+    """[J27, A20, A21]"""
+    return rounded(similarity.vote_for_cluster(_near(spark, d), tables.vec_clusters(spark, d)))
+
+
+@query(sql("near", "select name, other, round(score, 6) as score from near where rank <= 10 and score > 0.3 and name < other"))
+def nearby_pairs(spark, d):
+    """[J34, T7]"""
+    return rounded(_near(spark, d, 10).where("score > 0.3 and input_name < candidate_name").select(F.col("input_name").alias("name"), F.col("candidate_name").alias("other"), "score"))
+
+
+@query(sql("center", "select cast(label as bigint) as label, (select count(*) from vec v where v.label = center.label) as size, array_to_string(list_transform(c, lambda x: printf('%.4f', x + 1e-12)), ' ') as centroid from center"))
+def cluster_centroids(spark, d):
+    """[A19, S23]"""
+    c = clusters.centroids(tables.vectors(spark, d))
+    return c.select(F.col("label").cast("long").alias("label"), "size", F.array_join(F.transform("centroid", lambda x: F.format_string("%.4f", x + 1e-12)), " ").alias("centroid"))
+
+
+@query(sql("vec center", "select name, cast(label as bigint) as label, cast(nearest as bigint) as nearest, round(score, 6) as score from (select *, row_number() over (partition by name order by round(score, 9) desc, nearest) as r from (select name, vec.label, center.label as nearest, list_cosine_similarity(v, c) as score from vec, center)) where r = 1"))
+def nearest_centroid(spark, d):
+    """[J24, C19, M22]"""
+    v = tables.vectors(spark, d)
+    return rounded(clusters.nearest_centroid(v, clusters.centroids(v)))
+
+
+@query(sql("vec center", "select cast(floor(list_cosine_similarity(v, c) * 20) as bigint) as bin, count(*) as n from vec join center using (label) group by 1"))
+def own_centroid_histogram(spark, d):
+    """[M22, A27]"""
+    v = tables.vectors(spark, d)
+    return clusters.own_centroid_scores(v, clusters.centroids(v)).groupBy(F.floor(F.col("score") * 20).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(
+    sql(
+        "vec",
+        "select cast(a.label as bigint) as label, round(list_cosine_similarity(a.c, b.c), 6) as score from o a join n b using (label) where list_cosine_similarity(a.c, b.c) < 0.99",
+        o="select label, list(x order by i) as c from (select label, i, avg(x) as x from (select label, unnest(range(1, 65)) as i, unnest(v) as x from vec where name % 2 = 0) group by all) group by label",
+        n="select label, list(x order by i) as c from (select label, i, avg(x) as x from (select label, unnest(range(1, 65)) as i, unnest(v) as x from vec) group by all) group by label",
+    )
+)
+def centroid_drift(spark, d):
+    """[M20] centroids before (even names) and after all names are in"""
+    v = tables.vectors(spark, d)
+    return rounded(clusters.drifted(clusters.centroids(v.where("name % 2 = 0")), clusters.centroids(v), 0.99))
+
+
+@query(sql("knn", "select cast(label as bigint) as label, cast(other_label as bigint) as other_label, round(avg(score), 6) as score from knn where label < other_label group by all"))
+def cluster_pair_scores(spark, d):
+    """[J35]"""
+    return rounded(similarity.cluster_pair_scores(tables.vectors(spark, d)))
+
+
+@query(sql("pref", "select cluster, upper(first(name order by frequency desc, name)) as label, count(*) as members, cast(sum(frequency) as bigint) as total_frequency from (select *, " + soundex_sql("name") + " as cluster from pref) group by cluster"))
+def cluster_labels(spark, d):
+    """[A16, A18, C20]"""
+    p = tables.preferred(spark, d)
+    return clusters.cluster_labels(p.withColumn("cluster", coders.soundex(F.col("name"))))
+
+
+@query(sql("", "select p_brand as bucket, string_agg(t, ',' order by t) as labels from (select distinct p_brand, p_type as t from part) group by p_brand having count(*) > 1"))
+def super_clusters(spark, d):
+    """[C9, J31]"""
+    s = clusters.super_clusters(tables.table(spark, d, "part").select(F.col("p_brand").alias("bucket"), F.col("p_type").alias("label")))
+    return s.select("bucket", F.array_join("labels", ",").alias("labels"))
+
+
+@query(sql("pref bad", "select round(sum(case when name in (select name1 from bad) then frequency else 0 end) / sum(frequency), 6) as frequency_share, round(avg(case when name in (select name1 from bad) then 1.0 else 0.0 end), 6) as name_share from pref"))
+def coverage_ratio(spark, d):
+    """[A23]"""
+    return rounded(clusters.coverage(tables.preferred(spark, d), tables.bad_pairs(spark, d).select(F.col("name1").alias("name"))))
+
+
+@query(sql("near", "select name, cluster, round(score, 6) as score, rank from (select *, row_number() over (partition by name order by round(score, 9) desc, cluster) as rank from (select name, cast(other_label as bigint) as cluster, max(score) as score from near where rank <= 10 group by all)) where rank <= 3 and (rank = 1 or score >= 0.3)"))
+def take_clusters(spark, d):
+    """[W7, A17, C19]"""
+    n = _near(spark, d).join(tables.vec_clusters(spark, d).withColumnRenamed("name", "candidate_name"), "candidate_name")
+    return rounded(clusters.take_clusters(n.select(F.col("input_name").alias("name"), F.col("label").cast("long").alias("cluster"), "score"), 0.3, 3))
+
+
+@query(sql("top300", "select name, coalesce(c, 'CLUSTER_' || name) as cluster from top300 left join (select name as m, " + soundex_sql("name") + " as c from top300 where rank <= 100) on m = name"))
+def assign_by_table(spark, d):
+    """[C18]"""
+    p = tables.preferred(spark, d).where("rank <= 300")
+    return clusters.assign_by_table(p.select("name"), p.where("rank <= 100").select("name", coders.soundex(F.col("name")).alias("cluster")))
+
+
+_EVAL = dict(
+    q="select name, " + soundex_sql("name") + " as code from pref", own="select tree_name as name, record_name as candidate, frequency from attached where tree_name in (select name from pref) ",
+    ev="select record_name as candidate, sum(frequency) as e from attached group by all", f="select a.name, b.name as candidate from q a join q b using (code)",
+    hit="select f.name, sum(coalesce(own.frequency, 0)) as h, sum(e) as g from f join ev using (candidate) left join own on own.name = f.name and own.candidate = f.candidate group by all",
+    pr="select t.name, case when coalesce(g, 0) = 0 then 1.0 else h / g end as p, case when total = 0 then 1.0 else coalesce(h, 0) / total end as r from (select name, sum(frequency) as total from own group by name) t left join hit on hit.name = t.name",
+)
+
+
+@query(sql("pref attached", "select round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / (p + r), 6) as f1, round(5 * p * r / (4 * p + r), 6) as f2 from (select avg(p) as p, avg(r) as r from pr)", **_EVAL))
+def code_index_eval(spark, d):
+    """[J28, J29, M11, M12, M18, S12, W5]"""
+    p = tables.preferred(spark, d).select("name", F.array(coders.soundex(F.col("name"))).alias("codes"))
+    query_side, index = clusters.code_tables(p)
+    a = tables.attached(spark, d).join(p.select(F.col("name").alias("tree_name")), "tree_name", "left_semi")
+    all_of = tables.attached(spark, d)
+    found = clusters.code_join(query_side, index)
+    return rounded(metrics.macro_scores(_index_query(a, all_of, found)))
+
+
+def _index_query(own, everywhere, found):
+    """M11 with the query side restricted to ``own`` names and the index side over all."""
+    e = everywhere.groupBy(F.col("record_name").alias("candidate")).agg(F.sum("frequency").alias("e"))
+    o = own.select(F.col("tree_name").alias("name"), F.col("record_name").alias("candidate"), "frequency")
+    total = o.groupBy("name").agg(F.sum("frequency").alias("total"))
+    hit = found.join(e, "candidate").join(o, ["name", "candidate"], "left").groupBy("name").agg(F.sum(F.coalesce("frequency", F.lit(0))).alias("h"), F.sum("e").alias("g"))
+    j = total.join(hit, "name", "left")
+    return j.select("name", F.when(F.coalesce("g", F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col("h") / F.col("g")).alias("precision"), F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.coalesce("h", F.lit(0)) / F.col("total")).alias("recall"))
+
+
+@query(sql("pref", "select round(avg(n), 6) as lookups_per_query, cast(sum(n) as bigint) as index_entries, count(distinct code) as codes from (select *, count(*) over (partition by code) as n from (select name, " + soundex_sql("name") + " as code from pref))"))
+def code_statistics(spark, d):
+    """[M19]"""
+    c = tables.preferred(spark, d).groupBy(coders.soundex(F.col("name")).alias("code")).agg(F.count("*").alias("n"))
+    return rounded(c.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("lookups_per_query"), F.sum(F.col("n") * F.col("n")).alias("index_entries"), F.count("*").alias("codes")))
+
+
+_KNN_EVAL = dict(
+    act="select a.name, b.name as candidate, 1 + (a.name + b.name) % 3 as frequency from vec a join vec b on a.label = b.label and a.name <> b.name",
+    cand="select name, other as candidate, score, rank from near where rank <= 10",
+)
+
+
+def _actuals(spark, d):
+    v = tables.vec_clusters(spark, d)
+    return v.join(v.select(F.col("name").alias("candidate"), "label"), "label").where("name != candidate").select("name", "candidate", (1 + (F.col("name") + F.col("candidate")) % 3).alias("frequency"))
+
+
+def _candidates(spark, d):
+    return _near(spark, d).select(F.col("input_name").alias("name"), F.col("candidate_name").alias("candidate"), "score", "rank")
+
+
+@query(
+    sql(
+        "near vec",
+        "select cast(k as bigint) as k, round(avg(h / k), 6) as precision, round(avg(h / n), 6) as recall from (select a.name, k, n, (select count(*) from cand c where c.name = a.name and c.rank <= k and exists (from act x where x.name = c.name and x.candidate = c.candidate)) as h from (select name, count(*) as n from act group by name) a, (select unnest(range(1, 11)) as k)) group by k",
+        **_KNN_EVAL,
+    )
+)
+def precision_recall_at_k(spark, d):
+    """[M1-M3, U4]"""
+    return rounded(metrics.precision_recall_at_k(_actuals(spark, d).select("name", "candidate"), _candidates(spark, d), 10))
+
+
+_CURVE = dict(
+    th="select unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])::double as threshold",
+    per="select threshold, t.name, total, count(*) filter (score >= threshold) as n, count(*) filter (score >= threshold and frequency is not null) as h, coalesce(sum(frequency) filter (score >= threshold), 0) as g from (select name, sum(frequency) as total from act group by name) t cross join th left join (select cand.*, act.frequency from cand left join act on act.name = cand.name and act.candidate = cand.candidate) s on s.name = t.name group by all",
+    cur="select threshold, avg(case when n = 0 then 1.0 else h / n end) as p, avg(g / total) as r from per group by threshold",
+)
+_THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
+
+
+@query(sql("near vec", "select threshold, round(p, 6) as precision, round(r, 6) as recall from cur", **_KNN_EVAL, **_CURVE))
+def pr_at_threshold(spark, d):
+    """[M4-M7, P20, C13]"""
+    return rounded(metrics.threshold_curve(_actuals(spark, d), _candidates(spark, d), _THRESHOLDS))
+
+
+@query()
+def pr_auc(spark, d):
+    """[M8, M9] an ordered fold over a few points"""
+    return rounded(metrics.area_of_curve(metrics.threshold_curve(_actuals(spark, d), _candidates(spark, d), _THRESHOLDS)))
+
+
+@query(
+    sql(
+        "near vec",
+        "select g.name, round(case when coalesce(i, 0) = 0 then 0 else d / i end, 6) as ndcg from (select c.name, sum(coalesce(frequency, 0) / log2(rank + 1)) as d from cand c left join act on act.name = c.name and act.candidate = c.candidate group by c.name) g left join (select name, sum(frequency / log2(k + 1)) as i from (select *, row_number() over (partition by name order by frequency desc, candidate) as k from act) where k <= 10 group by name) z on z.name = g.name",
+        **_KNN_EVAL,
+    )
+)
+def ndcg(spark, d):
+    """[M10]"""
+    return rounded(metrics.ndcg(_actuals(spark, d).withColumnRenamed("frequency", "relevance"), _candidates(spark, d)))
+
+
+_SCORED = dict(s="select quality as label, cast(length(text) % 997 as double) as score from documents join labels using (doc_id)")
+
+
+def _scored(spark, d):
+    docs, lab = tables.table(spark, d, "documents"), tables.table(spark, d, "labels")
+    return docs.select("doc_id", (F.length("text") % 997).cast("double").alias("score")).join(lab, "doc_id").select(F.col("quality").alias("label"), "score")
+
+
+@query(sql("", "select round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) as auc from (select p, n, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from (select score, sum(label)::double as p, sum(1 - label)::double as n from s group by score))", **_SCORED))
+def roc_auc(spark, d):
+    """[M14]"""
+    return rounded(metrics.roc_auc(_scored(spark, d)))
+
+
+@query(sql("", "select round(sum(p * tp / seen) / sum(p), 6) as average_precision from (select p, sum(p) over (order by score desc) as tp, sum(n) over (order by score desc) as seen from (select score, sum(label)::double as p, count(*)::double as n from s group by score))", **_SCORED))
+def average_precision(spark, d):
+    """[M15]"""
+    return rounded(metrics.average_precision(_scored(spark, d)))
+
+
+@query(sql("", "select round((m0 - m1) / sqrt(a + b), 6) as t, round((a + b) * (a + b) / (a * a / (n0 - 1) + b * b / (n1 - 1)), 4) as df from (select avg(score) filter (label = 0) as m0, avg(score) filter (label = 1) as m1, count(*) filter (label = 0) as n0, count(*) filter (label = 1) as n1, var_samp(score) filter (label = 0) / count(*) filter (label = 0) as a, var_samp(score) filter (label = 1) / count(*) filter (label = 1) as b from s)", **_SCORED))
+def welch_t_test(spark, d):
+    """[A36]"""
+    return metrics.welch(_scored(spark, d).select(F.col("label").alias("group"), F.col("score").alias("value"))).select(r6(F.col("t")).alias("t"), F.round("df", 4).alias("df"))
+
+
+@query(sql("", "select round(sum(p * (below + n / 2)), 6) as u from (select p, n, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from (select score, sum(label)::double as p, sum(1 - label)::double as n from s group by score))", **_SCORED))
+def mann_whitney(spark, d):
+    """[A36]"""
+    return rounded(metrics.mann_whitney(_scored(spark, d).select(F.col("label").alias("group"), F.col("score").alias("value"))))
+
+
+@query(
+    sql(
+        "near",
+        "select name, other, array_to_string(list_transform([v * k, v * mx * k, v * mn * k, l * k, l * mx * k, l * mn * k, k, l * u, l * mx * u, l * mn * u, u], lambda x: printf('%.4f', x + 1e-12)), ' ') as features, round(1 / (1 + exp(-(v * k + 0.5 * l * k - 0.25 * k + 0.75 * l * u - 0.5 * u))), 6) as probability from (select name, other, score as v, 1 - levenshtein(name::varchar, other::varchar) / greatest(length(name::varchar), length(other::varchar)) as l, log10(greatest(name, other) + 1) as mx, log10(least(name, other) + 1) as mn, case when label = 0 then 1.0 else 0.0 end as u, case when label = 0 then 0.0 else 1.0 end as k from near where rank <= 5)",
+    )
+)
+def ensemble_features(spark, d):
+    """[V8, V9, P21] names stand for their frequencies, label 0 for unknown names"""
+    n = _near(spark, d, 5).join(tables.vec_clusters(spark, d).withColumnRenamed("name", "input_name"), "input_name")
+    a, b = F.col("input_name"), F.col("candidate_name")
+    f = vectors.ensemble_features(F.col("score"), strings.levenshtein_similarity(a.cast("string"), b.cast("string")), a, b, F.col("label") == 0)
+    p = vectors.logistic_score(F.col("f"), [1.0, 0, 0, 0.5, 0, 0, -0.25, 0.75, 0, 0, -0.5])
+    return n.withColumn("f", f).select(a.alias("name"), b.alias("other"), F.array_join(F.transform("f", lambda x: F.format_string("%.4f", x + 1e-12)), " ").alias("features"), r6(p).alias("probability"))
+
+
+@query(sql("cop", "select i, j, cast(sum(x) as bigint) as x from (select tree_name as i, record_name as j, frequency as x from cop union all select tree_name, tree_name, frequency from cop union all select record_name, tree_name, frequency from cop union all select record_name, record_name, frequency from cop) group by all"))
+def cooccurrence_matrix(spark, d):
+    """[A34, L1]"""
+    return metrics.cooccurrence_cells(tables.co_purchase(spark, d))
+
+
+@query(sql("cop", "select i, round(ln(sum(x) + 1), 6) as log_sum from (select tree_name as i, 2 * frequency as x from cop union all select record_name, 2 * frequency from cop) group by i"))
+def cooccurrence_marginals(spark, d):
+    """[A35]"""
+    return rounded(metrics.marginals(metrics.cooccurrence_cells(tables.co_purchase(spark, d))))
+
+
+@query(sql("scored", "select tree_name, record_name, round(exp(score - m) / sum(exp(score - m)) over (partition by tree_name), 6) as p from (select *, max(score) over (partition by tree_name) as m from scored)"))
+def softmax_scores(spark, d):
+    """[V7, W3]"""
+    return rounded(metrics.softmax(augment.cooccurrence_scores(tables.co_purchase(spark, d)).select("tree_name", "record_name", "score"), "tree_name", "score").select("tree_name", "record_name", "p"))
+
+
+@query(sql("attached top300", "select tree_name, record_name, round(frequency / sum(frequency) over (partition by tree_name), 6) as weight from attached where record_name not in (select name from top300)"))
+def oov_weights(spark, d):
+    """[P21, P22, W3]"""
+    return rounded(pair_statistics.unknown_share(tables.attached(spark, d), tables.preferred(spark, d).where("rank <= 300")))
+
+
+@query(sql("wl", "select tree_name, cast(frequency as bigint) as frequency from (select *, max(frequency) over (partition by tree_name) as top from p) where tree_name = record_name and frequency >= top", p="select w[i] as tree_name, w[i + 1] as record_name, count(*) as frequency from (select w, unnest(range(1, len(w))) as i from wl) group by all"))
+def self_frequent_names(spark, d):
+    """[P23, W4] over all neighbouring words, equal ones too"""
+    n = F.size("words")
+    both = F.when(n > 1, F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.struct(a.alias("tree_name"), b.alias("record_name"))))
+    p = tables.word_lists(spark, d).select(F.inline(both)).groupBy("tree_name", "record_name").agg(F.count("*").alias("frequency"))
+    return pair_statistics.self_frequent(p)
+
+
+@query(sql("pref", "select name, frequency, rank from pref where (rank - 1) % 25 = 0"))
+def every_nth(spark, d):
+    """[P24]"""
+    return augment.every_nth(tables.preferred(spark, d), 25)
+
+
+@query(sql("attached", "select tree_name, record_name, frequency from attached where (starts_with(tree_name, 'th') and starts_with(record_name, 'an')) or (starts_with(tree_name, 'an') and starts_with(record_name, 'th'))"))
+def prefix_pairs(spark, d):
+    """[J37]"""
+    t, r = F.col("tree_name"), F.col("record_name")
+    return tables.attached(spark, d).where((t.startswith("th") & r.startswith("an")) | (t.startswith("an") & r.startswith("th")))
+
+
+@query(sql("brandtype", "select a.head as left_head, b.head as right_head, len(list_intersect(a.s, b.s)) as shared, len(list_intersect(a.s, b.s)) = len(a.s) as contained from g a join g b on a.head < b.head where len(list_intersect(a.s, b.s)) > 0", g="select head, list(name) as s from brandtype group by head"))
+def nickname_containment(spark, d):
+    """[J36, A33, U4, U5]"""
+    b = tables.table(spark, d, "part").select(F.col("p_type").alias("head"), F.col("p_brand").alias("name"))
+    g = b.groupBy("head").agg(F.collect_set("name").alias("s"))
+    both = g.select(F.col("head").alias("left_head"), F.col("s").alias("a")).join(g.select(F.col("head").alias("right_head"), F.col("s").alias("b")), F.col("left_head") < F.col("right_head"))
+    both = both.where(F.arrays_overlap("a", "b"))
+    return both.select("left_head", "right_head", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size(F.array_except("a", "b")) == 0).alias("contained"))
+
+
+@query(sql("brandtype", "select name, count(distinct head) as heads from brandtype group by name having count(distinct head) > 1"))
+def names_with_heads(spark, d):
+    """[U7, U8]"""
+    b = tables.table(spark, d, "part").select(F.col("p_type").alias("head"), F.col("p_brand").alias("name"))
+    return b.groupBy("name").agg(F.count_distinct("head").alias("heads")).where("heads > 1")
+
+
+@query(sql("top150 bad", "select a.name as name1, b.name as name2 from top150 a join top150 b on a.name <> b.name where not exists (from bad where (name1 = a.name and name2 = b.name) or (name1 = b.name and name2 = a.name))"))
+def cross_minus_exclusions(spark, d):
+    """[J21, J22, J38]"""
+    p = tables.preferred(spark, d).where("rank <= 150")
+    return augment.cross_except(p, p, tables.bad_pairs(spark, d))
+
+
+@query(
+    sql(
+        "scored top300",
+        "select distinct anchor, positive, name as negative, 0.0::double as negative_score from (select anchor, positive, (cast(('0x' || substring(md5(anchor || ',' || positive || ',' || k), 1, 6)) as bigint) % (select count(*) from top300)) + 1 as rank from (select distinct anchor, positive from tr), (select unnest(range(1, 6)) as k)) join top300 using (rank) where name <> anchor and name <> positive",
+        tr=_TRIPLES,
+    )
+)
+def easy_negatives(spark, d):
+    """[D6, W10]"""
+    return augment.easy_negatives(_triples(spark, d), tables.preferred(spark, d).where("rank <= 300"))
+
+
+@query(sql("top300", "select name, cast(unnest(range(1, frequency // 2 + 1)) as bigint) as copy from top300"))
+def replicate_by_frequency(spark, d):
+    """[D10]"""
+    return rounded(augment.replicate(tables.preferred(spark, d).where("rank <= 300")))
+
+
+@query(sql("top300", f"select draw, name from (select cast(unnest(range(1, 1001)) as bigint) as draw) q join e on {_unit('draw::varchar')} * (select max(high) from e) >= low and {_unit('draw::varchar')} * (select max(high) from e) < high", e="select name, high - log10(frequency) as low, high from (select *, sum(log10(frequency)) over (order by rank) as high from top300)"))
+def weighted_draw(spark, d):
+    """[P28, W6]"""
+    return augment.weighted_draw(tables.preferred(spark, d).where("rank <= 300"), 1000)
+
+
+@query(sql("", "select page_id, string_split(t, '=')[1] as key, url_decode(substring(t, strpos(t, '=') + 1)) as value from (select page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) as t from pages) where contains(t, '=')"))
+def url_query_terms(spark, d):
+    """[S15, F43]"""
+    return files.query_terms(tables.table(spark, d, "pages").select("page_id", "url"))
+
+
+@query(sql("bw", "select distinct w[1] as head, name from (select w, unnest(w) as name from bw) "))
+def text_alias_parse(spark, d):
+    """[S10-S14] benchmark texts as bucket lines"""
+    lines = tables.word_lists(spark, d, "benchmark", "item_id").select(F.array_join("words", " ").alias("value"))
+    return files.buckets_of_lines(lines).distinct()
+
+
+@query(sql("bw", "select distinct a as name, b as nickname from (select w, unnest(w[1:6]) as a from bw), lateral (select unnest(w[1:6]) as b)"))
+def nickname_parse(spark, d):
+    """[S11, S12]"""
+    lines = tables.word_lists(spark, d, "benchmark", "item_id").select(F.array_join(F.slice("words", 1, 6), ",").alias("value"))
+    return files.nicknames_symmetric(lines)
+
+
+@query(sql("attached", "select tree_name || ',' || string_agg(record_name || '|' || printf('%.4f', w + 1e-12), ',' order by frequency desc, record_name) as value from (select *, frequency / sum(frequency) over (partition by tree_name) as w from attached) group by tree_name"))
+def weighted_actuals_text(spark, d):
+    """[S24, F44]"""
+    a = tables.attached(spark, d)
+    w = a.withColumn("w", F.col("frequency") / F.sum("frequency").over(W.partitionBy("tree_name")))
+    item = F.concat_ws("|", "record_name", F.format_string("%.4f", F.col("w") + 1e-12))
+    return w.groupBy("tree_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "record_name", item.alias("t")))).alias("l")).select(F.concat_ws(",", "tree_name", F.transform("l", lambda x: x["t"])).alias("value"))
+
+
+@query(sql("attached", "select tree_name || ' ' || string_agg(record_name, ' ' order by frequency desc, record_name) as value, count(*) + 1 as n from attached group by tree_name"))
+def corpus_text(spark, d):
+    """[S27]"""
+    return rounded(files.corpus_lines(tables.attached(spark, d)))
+
+
+@query(sql("top300", "select name, array_to_string(list_transform(range(1, 31), lambda i: case when i <= length(name) then ascii(name[i]) - 96 else 0 end), ' ') as ids from top300"))
+def char_ids(spark, d):
+    """[F35, F36]"""
+    return tables.preferred(spark, d).where("rank <= 300").select("name", F.array_join(F.transform(strings.char_ids(F.col("name")), lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query()
+def wordpieces(spark, d):
+    """[F38, A30] over a vocabulary of letters and the most frequent n-grams"""
+    p = tables.preferred(spark, d)
+    grams = p.select("frequency", F.explode(strings.char_ngrams(F.col("name"), 2, 4)).alias("g")).groupBy("g").agg(F.sum("frequency").alias("f")).orderBy(F.desc("f"), "g").limit(400)
+    pieces = [*"abcdefghijklmnopqrstuvwxyz", *(r["g"] for r in grams.collect())]
+    tok = strings.wordpiece(pieces + ["##" + x for x in pieces], 12)
+    return p.select("name", F.array_join(tok("name"), " ").alias("pieces"))
+
+
+_CLOSE = "select a.name as a, b.name as b from top300 a join top300 b on a.name < b.name where 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.75 - 1e-12"
+
+
+@query(
+    "with recursive " + sql("top300", "", e=_CLOSE).removeprefix("with ").rstrip() + ",\nboth_ as (select a, b from e union select b, a from e),\nreach as (select a as x, a as y from both_ union select reach.x, both_.b from reach join both_ on reach.y = both_.a)\nselect x as name, min(y) as component from reach group by x"
+)
+def connected_components(spark, d):
+    """[C7 uncapped]"""
+    p = augment.similar_name_pairs(tables.preferred(spark, d).where("rank <= 300"), 0.75)
+    return clusters.components(p.select(F.col("name").alias("a"), F.col("alt_name").alias("b")))
+
+
+@query()
+def capped_closures(spark, d):
+    """[C7]"""
+    p = augment.similar_name_pairs(tables.preferred(spark, d).where("rank <= 300"), 0.6)
+    return clusters.capped_closures(p.select(F.col("name").alias("a"), F.col("alt_name").alias("b"), F.round(1 - F.col("similarity"), 9).alias("distance")), 40)
+
+
+@query()
+def agglomerative(spark, d):
+    """[C1-C3, C8, V13]"""
+    p = tables.preferred(spark, d).where("rank <= 300").withColumn("bucket", F.substring("name", 1, 1))
+    near = augment.similar_name_pairs(p, 0.5).withColumn("bucket", F.substring("name", 1, 1))
+    return clusters.agglomerative(p.select("bucket", "name", vectors.cluster_weight(F.col("frequency")).alias("weight")), near.select("bucket", "name", "alt_name", F.col("similarity").alias("score")), 0.6)
+
+
+@query()
+def greedy_cluster(spark, d):
+    """[C10, C11]"""
+    v = tables.vectors(spark, d).withColumn("rank", F.col("name"))
+    return clusters.greedy(v.select("name", "rank", "vector"), 0.8)
+
+
+@query()
+def phonebook(spark, d):
+    """[C4, C6, C12-C17, J33]"""
+    p = tables.preferred(spark, d).withColumn("cluster", coders.soundex(F.col("name"))).groupBy("cluster").agg(F.sum("frequency").alias("size"))
+    sizes = [(r["cluster"], float(r["size"])) for r in p.collect()]
+    total = sum(s for _, s in sizes)
+    got = clusters.phonebook(sizes, [], {c: c[:2] for c, _ in sizes}, 40, total / 30)
+    return spark.createDataFrame([(c, i) for c, ids in got.items() for i in ids], "cluster string, partition long")
