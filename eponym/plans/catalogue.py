@@ -44,13 +44,13 @@ def _stats(spark, d):
 STATS = "name, alt_name, frequency, reverse_frequency, sum_name_frequency, total_name_frequency, total_alt_name_frequency, round(ordered_prob, 6) as ordered_prob, round(unordered_prob, 6) as unordered_prob, round(similarity, 6) as similarity"
 
 
-@query(sql("similar", f"select {STATS} from similar"))
+@query(sql("alike", f"select {STATS} from alike"))
 def name_pair_stats(spark, d):
     """[A1-A6, J1-J4, F20, P9]"""
     return rounded(pair_statistics.similar_pairs(_stats(spark, d)))
 
 
-@query(sql("similar", f"select {STATS} from similar where not (similarity < 0.55 and (frequency < 5 or ordered_prob < 0.08))"))
+@query(sql("alike", f"select {STATS} from alike where not (similarity < 0.55 and (frequency < 5 or ordered_prob < 0.08))"))
 def pair_noise_filter(spark, d):
     """[P10, P18]"""
     return rounded(pair_statistics.drop_noisy(pair_statistics.similar_pairs(_stats(spark, d))))
@@ -288,7 +288,7 @@ def chained_hop(spark, d):
 
 _VOTES = dict(
     nm="select distinct tree_name as name from cop union select distinct record_name from cop",
-    l1="select distinct a.record_name as name, b.record_name as alt_name from cop a join cop b on a.tree_name = b.tree_name where a.record_name <> b.record_name",
+    l1="select distinct a.tree_name as name, b.tree_name as alt_name from cop a join cop b on a.record_name = b.record_name where a.tree_name <> b.tree_name",
     l2="select tree_name as name, record_name as alt_name from cop union select record_name, tree_name from cop",
     l3="select a.name, b.name as alt_name from nm a, nm b where a.name <> b.name and 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.75 - 1e-12",
     votes="select name, alt_name, count(*) - 1 as votes from (from l1 union all from l2 union all from l3) group by all having count(*) >= 2",
@@ -299,7 +299,7 @@ def _votes(spark, d):
     a = tables.co_purchase(spark, d)
     names = a.select(F.explode(F.array("tree_name", "record_name")).alias("name")).distinct()
     near = augment.similar_name_pairs(names, 0.75).select("name", "alt_name")
-    return a, augment.learner_votes([augment.tree_record_pairs(a), augment.neighbour_pairs(a), near.union(near.select("alt_name", "name"))], least=2)
+    return a, augment.learner_votes([augment.record_tree_pairs(a), augment.neighbour_pairs(a), near.union(near.select("alt_name", "name"))], least=2)
 
 
 @query(sql("cop", "from votes", **_VOTES))

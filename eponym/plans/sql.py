@@ -20,7 +20,7 @@ CTES = {
         cast(a.total as bigint) as total_alt_name_frequency, c.frequency / n.s as ordered_prob, (c.frequency + coalesce(r.frequency, 0)) / (n.total + a.total - c.frequency - coalesce(r.frequency, 0)) as unordered_prob,
         1 - levenshtein(c.name, c.alt_name) / greatest(length(c.name), length(c.alt_name)) as similarity
         from counted c left join counted r on c.name = r.alt_name and c.alt_name = r.name join sides n on c.name = n.name join sides a on c.alt_name = a.name""",
-    "similar": "select * from stats where similarity > 0.4 and frequency > 1",
+    "alike": "select * from stats where similarity > 0.4 and frequency > 1",
     "pref": "select name, frequency, row_number() over (order by frequency desc, name) as rank from (select token as name, count(*) as frequency from tok group by token having count(*) > 1)",
     "top300": "select * from pref where rank <= 300",
     "top150": "select * from pref where rank <= 150",
@@ -38,7 +38,7 @@ CTES = {
     "brandtype": "select distinct p_type as head, p_brand as name from part",
 }
 NEEDS = {
-    "tok": ["wl"], "pairs": ["wl"], "bp": ["bw"], "bad": ["bp"], "counted": ["pairs"], "sides": ["counted"], "stats": ["sides", "counted"], "similar": ["stats"], "pref": ["tok"], "top300": ["pref"], "top150": ["pref"],
+    "tok": ["wl"], "pairs": ["wl"], "bp": ["bw"], "bad": ["bp"], "counted": ["pairs"], "sides": ["counted"], "stats": ["sides", "counted"], "alike": ["stats"], "pref": ["tok"], "top300": ["pref"], "top150": ["pref"],
     "attached": ["counted"], "cnt": ["cop"], "edges": ["cnt", "cop"], "scored": ["cop"], "knn": ["vec"], "near": ["knn"], "cells": ["vec"], "center": ["cells"],
 }
 
