@@ -61,6 +61,18 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, with fewer rows to an Arrow batch where the session still has the default.
+
+    A batch of the default 10,000 texts is held by the JVM and by the worker at once; long
+    documents make that the largest part of a task's memory.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, str(rows))
+    return docs
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches cut to at most ``rows`` rows, so few texts are Python objects at once."""
     for batch in batches:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, utf8
+from .common import mix64, small_batches, table, utf8
 
 BINS, CLASSES, PERIOD = 256, 64, 1 << 16
 LOWEST = -(2**63)
@@ -164,7 +164,7 @@ def embedding() -> Embedding:
 
 def with_edited(docs: DataFrame, shard_docs: int = 8192, most_shards: int = 20_000, batch_chars: int = 5_000_000) -> DataFrame:
     """One row per document with its fingerprint, its edited text's, and their likeness."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
+    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
     ids = rows.select("id")
     shards = max(1, min(most_shards, math.ceil(ids.count() / shard_docs)))
     bounds = np.array([] if shards == 1 else ids.select(F.percentile_approx("id", [k / shards for k in range(1, shards)], 20 * shards)).head()[0] or [], dtype=np.int64)

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, task_memory
+from .common import shared_dir, small_batches, table, task_memory
 from .tokens import WORD_TOKENIZER, tokenizer_path, word_encoder
 
 MAGIC = b"EPS8B001"
@@ -141,7 +141,7 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFr
                         schema=schema,
                     )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CODED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CODED)
 
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_docs: int = 8192, most_shards: int = 20_000, block_ids: int = 65_536) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod_py, table, task_memory
+from .common import crc_mod_py, small_batches, table, task_memory
 from .learning import labelled_sample, linear_svm, logistic, sigmoid
 
 DECAY, GAPS, SPACE_BITS, PAD = 0.6, 2, 19, 8
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 4,
                         [part.column(0), pa.array([i is not None and crc_mod_py(i, folds) == held_out for i in ids]), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema
                     )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -243,7 +243,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     values.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     value = F.pandas_udf(values, "double")
-    return docs.where(value(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
+    return small_batches(docs).where(value(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 20_000) -> Model:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, task_memory, utf8
+from .common import small_batches, table, task_memory, utf8
 from .tokens import BYTE_TOKENIZER, no_collector, tokenizer, tokenizer_path
 
 #: Code points that the tokenizer's \s matches (fixed values).
@@ -131,7 +131,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ids = encoder.encode(part.column(1).to_pylist())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -169,7 +169,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                         schema=schema,
                     )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

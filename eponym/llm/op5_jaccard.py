@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, task_memory, utf8
+from .common import checkpointed, slices, small_batches, table, task_memory, utf8
 
 SCANNED = "kind int, doc_id long, n long, k1 long, k2 long, part int, counts binary"
 PARTS = 64
@@ -95,7 +95,7 @@ def shingler(words: int) -> Shingles:
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def scan(docs: DataFrame, words: int, sketch_bits: int) -> DataFrame:

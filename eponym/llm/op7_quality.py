@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod_py, table, utf8
+from .common import crc_mod_py, small_batches, table, utf8
 from .learning import labelled_sample, logistic, sigmoid
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -106,7 +106,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5,
                     [part.column(0), pa.array([i is not None and crc_mod_py(i, folds) == held_out for i in ids]), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 20_000) -> Model:
