@@ -293,7 +293,7 @@ def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint64)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int, broadcast_rows: int = 200_000) -> DataFrame:
     """Those of the pairs (a, b), a < b, that link; every a is searched in blocks of its partners."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -302,8 +302,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
         found = index.search(_as_set(query.iloc[0]), percent) if len(query) else []
         return pd.DataFrame({"a": frame["a"].iloc[found].to_numpy(), "b": frame["b"].iloc[found].to_numpy()})
 
-    partners = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    lots = pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("lot"))
+    # only documents with more partners than a block are told of; they are at most pairs / block
+    large = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"))
+    side = F.broadcast(large) if large.count() <= broadcast_rows else large
+    lots = pairs.join(side, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("lot"))
     with_b = lots.join(sets.withColumnRenamed("doc_id", "b"), "b")
     # the query's set travels once per block, as a row of its own would: joined on (a, lot)
     queries = lots.select("a", "lot").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("query")), "a")
