@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import gc
+import itertools
 import os
 import re
 
@@ -65,13 +66,30 @@ class WordEncoder:
     a word. All other words go to it one by one.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000, longest_word: int = 48):
+    def __init__(self, path: str, most_words: int = 500_000, longest_word: int = 48, kept_words: int = 80_000):
+        self.kept_words = kept_words
         self.library = tokenizer(path)
         self.known: dict[bytes, bytes] = {}
         self.most_words, self.longest_word = most_words, longest_word
         size = self.library.get_vocab_size(with_added_tokens=True)
+        self.bare = self._bare(path)
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
+    def _bare(self, path: str):
+        """The same vocabulary without normalising and splitting, for lower-case letters only.
+
+        Where its ids for a few words differ from the whole tokenizer's, that one is used.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer.from_file(path)
+        bare.no_truncation()
+        bare.no_padding()
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        trial = "the quick brown fox jumps ébène größe señor a zzyzx thnttian"
+        return bare if bare.encode(trial, add_special_tokens=False).ids == self.library.encode(trial, add_special_tokens=False).ids else self.library
+
     def _each(self, words: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
@@ -80,7 +98,7 @@ class WordEncoder:
         """Ids of words of letters only."""
         groups = [words[i : i + group] for i in range(0, len(words), group)]
         out: list[bytes] = []
-        for some, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        for some, e in zip(groups, self.bare.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some) or cut[-1] != len(ids):
@@ -115,7 +133,9 @@ class WordEncoder:
         known.update(zip((w for w, _ in others), self._each([t for _, t in others])))
 
     def clear(self) -> None:
-        self.known = {}
+        """Leaves short words, which come back most, for the worker's next task."""
+        short = (x for x in self.known.items() if len(x[0]) <= 8)
+        self.known = dict(itertools.islice(short, self.kept_words))
 
     def encode(self, texts) -> list[bytes]:
         with no_collector():
