@@ -90,19 +90,26 @@ def ndcg(relevant: DataFrame, predicted: DataFrame, k: int | None = None) -> Dat
     return gain.join(ideal, "name", "left").select("name", F.when(F.coalesce("idcg", F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.col("dcg") / F.col("idcg")).alias("ndcg"))
 
 
-def index_query(attached: DataFrame, found: DataFrame) -> DataFrame:
-    """name, precision, recall of an index: ``found`` (name, candidate) from a code join.
-
-    Precision is the name's own frequency over that of all candidates found (over all
-    names they were attached to); both are 1 when there is nothing.
+def index_query(attached: DataFrame, query: DataFrame, index: DataFrame, everywhere: DataFrame | None = None) -> DataFrame:
+    """name, precision, recall of an index, without listing the names found.
+
+    ``query`` (name, code) with all codes of a name, ``index`` (code, name) with one code
+    per name. Precision is the name's own frequency over that of everything under its
+    codes (over all names they were attached to, ``everywhere``); recall is its own
+    frequency found over its own frequency. Both are 1 when there is nothing. As a
+    candidate stands under one code, what a code holds is summed once per code, and own
+    names meet on (name, code); the join never grows with the square of a code's names.
     """
-    all_of = attached.groupBy(F.col("record_name").alias("candidate")).agg(F.sum("frequency").alias("everywhere"))
+    all_of = (attached if everywhere is None else everywhere).groupBy(F.col("record_name").alias("candidate")).agg(F.sum("frequency").alias("e"))
+    place = index.select("code", F.col("name").alias("candidate"))
+    held = place.join(all_of, "candidate").groupBy("code").agg(F.sum("e").alias("e"))
+    got = query.distinct().join(held, "code").groupBy("name").agg(F.sum("e").alias("g"))
     own = attached.select(F.col("tree_name").alias("name"), F.col("record_name").alias("candidate"), "frequency")
+    hit = own.join(place, "candidate").join(query.distinct(), ["name", "code"], "left_semi").groupBy("name").agg(F.sum("frequency").alias("h"))
     total = own.groupBy("name").agg(F.sum("frequency").alias("total"))
-    f = found.join(all_of, "candidate").join(own, ["name", "candidate"], "left").groupBy("name").agg(F.sum(F.coalesce("frequency", F.lit(0))).alias("hit"), F.sum("everywhere").alias("got"))
-    j = total.join(f, "name", "left")
-    p = F.when(F.coalesce("got", F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col("hit") / F.col("got"))
-    return j.select("name", p.alias("precision"), F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.coalesce("hit", F.lit(0)) / F.col("total")).alias("recall"))
+    j = total.join(got, "name", "left").join(hit, "name", "left")
+    h = F.coalesce("h", F.lit(0))
+    return j.select("name", F.when(F.coalesce("g", F.lit(0)) == 0, F.lit(1.0)).otherwise(h / F.col("g")).alias("precision"), F.when(F.col("total") == 0, F.lit(1.0)).otherwise(h / F.col("total")).alias("recall"))
 
 
 def macro_scores(per_name: DataFrame) -> DataFrame:

@@ -71,8 +71,11 @@ def two_sided_counts(attached: DataFrame) -> DataFrame:
 def most_frequent(counted: DataFrame, k: int | float) -> DataFrame:
     """The k most frequent names, or that share of all names, ties by name."""
     order = [F.desc("frequency"), F.col("name")]
-    if isinstance(k, float):
-        k = int(k * counted.count())
+    if isinstance(k, float):  # a share may be most of the names: ranked in parts, not sorted in one place
+        from ..sources.tables import ranked
+
+        r = ranked(counted)
+        return r.join(F.broadcast(r.agg(F.floor(F.max("rank") * k).alias("k"))), F.col("rank") <= F.col("k")).select("name", "frequency")
     return counted.orderBy(*order).limit(k)
 
 

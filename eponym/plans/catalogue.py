@@ -628,19 +628,20 @@ def code_index_eval(spark, d):
     p = tables.preferred(spark, d).select("name", F.array(coders.soundex(F.col("name"))).alias("codes"))
     query_side, index = clusters.code_tables(p)
     a = tables.attached(spark, d).join(p.select(F.col("name").alias("tree_name")), "tree_name", "left_semi")
-    all_of = tables.attached(spark, d)
-    found = clusters.code_join(query_side, index)
-    return rounded(metrics.macro_scores(_index_query(a, all_of, found)))
-
-
-def _index_query(own, everywhere, found):
-    """M11 with the query side restricted to ``own`` names and the index side over all."""
-    e = everywhere.groupBy(F.col("record_name").alias("candidate")).agg(F.sum("frequency").alias("e"))
-    o = own.select(F.col("tree_name").alias("name"), F.col("record_name").alias("candidate"), "frequency")
-    total = o.groupBy("name").agg(F.sum("frequency").alias("total"))
-    hit = found.join(e, "candidate").join(o, ["name", "candidate"], "left").groupBy("name").agg(F.sum(F.coalesce("frequency", F.lit(0))).alias("h"), F.sum("e").alias("g"))
-    j = total.join(hit, "name", "left")
-    return j.select("name", F.when(F.coalesce("g", F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col("h") / F.col("g")).alias("precision"), F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.coalesce("h", F.lit(0)) / F.col("total")).alias("recall"))
+    return rounded(metrics.macro_scores(metrics.index_query(a, query_side, index, tables.attached(spark, d))))
+
+
+@query(
+    sql(
+        "top300",
+        "select a.name, b.name as candidate from c a join c b using (code) where a.name <> b.name",
+        c="select name, " + soundex_sql("name") + " as code from top300",
+    )
+)
+def code_lookup(spark, d):
+    """[J28, J29]"""
+    p = tables.preferred(spark, d).where("rank <= 300").select("name", F.array(coders.soundex(F.col("name"))).alias("codes"))
+    return clusters.code_join(*clusters.code_tables(p)).where("name != candidate")
 
 
 @query(sql("pref", "select round(avg(n), 6) as lookups_per_query, cast(sum(n) as bigint) as index_entries, count(distinct code) as codes from (select *, count(*) over (partition by code) as n from (select name, " + soundex_sql("name") + " as code from pref))"))
