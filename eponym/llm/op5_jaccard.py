@@ -13,8 +13,8 @@ of a group of copies:
 3. Inverted lists of prefix shingles: short ones (up to ``short_list`` documents) propose
    pairs of fitting sizes, counted over all short lists and dropped below that number.
    Long lists propose only pairs with their smallest document.
-4. Proposed pairs are verified per smaller document, in blocks of at most ``block``
-   partners: an inverted index of the block's whole sets is searched for the documents
+4. Proposed pairs are verified per smaller document, in blocks of about
+   ``block`` shingles of its partners: an inverted index of the block's whole sets is searched for the documents
    reaching T. DivideSkip merges the shorter lists with a heap and probes the longest by
    binary search, in order of their length.
 5. Links give components (min-label propagation with shortcuts, checkpointed each round).
@@ -294,23 +294,27 @@ def _as_set(raw: bytes) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int, broadcast_rows: int = 200_000) -> DataFrame:
-    """Those of the pairs (a, b), a < b, that link; every a is searched in blocks of its partners."""
+    """Those of the pairs (a, b, bn), a < b, that link; every a is searched in blocks of its partners.
+
+    A block holds about ``block`` shingles (``bn`` are those of b), whatever the number
+    and length of its documents; the set of a comes to each block once, as a row.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        index = Block([_as_set(s) for s in frame["set"]])
-        query = frame["query"].dropna()
-        found = index.search(_as_set(query.iloc[0]), percent) if len(query) else []
-        return pd.DataFrame({"a": frame["a"].iloc[found].to_numpy(), "b": frame["b"].iloc[found].to_numpy()})
+        asks = frame["b"].isna().to_numpy()
+        held = frame[~asks]
+        if not asks.any() or not len(held):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = Block([_as_set(s) for s in held["set"]]).search(_as_set(frame["set"][asks].iloc[0]), percent)
+        return pd.DataFrame({"a": held["a"].iloc[found].to_numpy(), "b": held["b"].iloc[found].to_numpy().astype("int64")})
 
-    # only documents with more partners than a block are told of; they are at most pairs / block
-    large = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"))
+    # only documents with more partners than a block are told of; they are few against the pairs
+    large = checkpointed(pairs.groupBy("a").agg(F.ceil(F.sum("bn") / block).alias("blocks")).where("blocks > 1"))
     side = F.broadcast(large) if large.count() <= broadcast_rows else large
     lots = pairs.join(side, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("lot"))
-    with_b = lots.join(sets.withColumnRenamed("doc_id", "b"), "b")
-    # the query's set travels once per block, as a row of its own would: joined on (a, lot)
-    queries = lots.select("a", "lot").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("query")), "a")
-    both = with_b.join(queries, ["a", "lot"])
-    return both.groupBy("a", "lot").applyInPandas(run, "a long, b long")
+    held = lots.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "lot", "b", "set")
+    asks = lots.select("a", "lot").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "lot", F.lit(None).cast("long").alias("b"), "set")
+    return held.union(asks).groupBy("a", "lot").applyInPandas(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -329,10 +333,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def search_long(lists: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, block: int) -> DataFrame | None:
     """Links inside long lists (token, doc_id, n) between documents of different components."""
-    known = lists.join(labels, "doc_id", "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    sizes = known.groupBy("token", "label").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).where("top.m < all")
-    rows = known.join(largest, "token").select("token", "doc_id", "label", (F.col("label") != F.col("top.label")).alias("query"), F.ceil(F.col("all") / block).cast("int").alias("lots"))
+    known = lists.join(labels, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    sizes = known.groupBy("token", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.sum("s").alias("shingles")).where("top.m < all")
+    rows = known.join(largest, "token").select("token", "doc_id", "label", (F.col("label") != F.col("top.label")).alias("query"), F.ceil(F.col("shingles") / block).cast("int").alias("lots"))
     rows = checkpointed(rows.withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.col("lots")).cast("int")))
     if rows.isEmpty():
         return None
@@ -366,7 +370,7 @@ def search_long(lists: DataFrame, labels: DataFrame, docs: DataFrame, words: int
     return index.unionByName(asks).groupBy("token", "i", "q").applyInPandas(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, percent: int = 90, words: int = 3, extra: int = 2, short_list: int = 96, block: int = 512, sketch_bits: int = 23) -> DataFrame:
+def join(docs: DataFrame, percent: int = 90, words: int = 3, extra: int = 2, short_list: int = 96, block: int = 250_000, sketch_bits: int = 23) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     scanned = checkpointed(scan(docs, words, sketch_bits))
     every = scanned.where("kind = 0").select("doc_id", "n", "k1", "k2")
@@ -378,15 +382,15 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, extra: int = 2, sho
     shared = checkpointed(postings.join(lists, "token"))
     fit = "100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n)".format(p=percent)
     short = shared.where(F.col("m") <= short_list).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("d"))
-    pairs = short.select(F.expr(f"inline(flatten(transform(d, (x, i) -> transform(filter(slice(d, i + 2, size(d)), y -> y.doc_id > x.doc_id and {fit}), y -> named_struct('a', x.doc_id, 'b', y.doc_id, 'least_n', least(x.n, y.n))))))"))
+    pairs = short.select(F.expr(f"inline(flatten(transform(d, (x, i) -> transform(filter(slice(d, i + 2, size(d)), y -> y.doc_id > x.doc_id and {fit}), y -> named_struct('a', x.doc_id, 'b', y.doc_id, 'bn', y.n, 'least_n', least(x.n, y.n))))))"))
     need = F.expr(f"least({extra + 1}, ceil({percent} * least_n / 100.0))")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("least_n").alias("least_n")).where(F.col("c") >= need).select("a", "b")
-    stars = shared.where((F.col("m") > short_list) & (F.col("doc_id") != F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    counted = pairs.groupBy("a", "b", "bn").agg(F.count("*").alias("c"), F.min("least_n").alias("least_n")).where(F.col("c") >= need).select("a", "b", "bn")
+    stars = shared.where((F.col("m") > short_list) & (F.col("doc_id") != F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("bn"))
     proposed = checkpointed(counted.union(stars).distinct())
     ends = proposed.select(F.col("a").alias("doc_id")).union(proposed.select("b"))
     links = checkpointed(verify(proposed, checkpointed(whole_sets(docs, words, ends)), percent, block))
     labels = components(links)
-    long = shared.where(F.col("m") > short_list).select("token", "doc_id")
+    long = shared.where(F.col("m") > short_list).select("token", "doc_id", "n")
     more = None if long.isEmpty() else search_long(long, labels, docs, words, percent, block)
     if more is not None:
         more = checkpointed(more)
