@@ -10,11 +10,12 @@ Training takes a bounded sample of labelled documents (``per_class`` each). Land
 the words that toxic documents hold far more often than clean ones, and common clean
 words. Each word becomes its kernel values with the landmarks times the inverse root of
 the landmarks' kernel matrix; a linear SVM is fitted on the words of clean sentences
-against the worst words of toxic ones, twice: the first fit chooses anew which word makes
-each toxic document toxic. As the kernel is a product of sparse feature vectors, the
+against the worst words of toxic ones (and these with one letter put in, which teaches how
+much a gap may cost), three times: each fit chooses anew which words make a toxic document
+toxic, and adds the clean words that come nearest to it. As the kernel is a product of sparse feature vectors, the
 fitted function folds into one weight per subsequence, which is what workers apply. A
 document's score is a logistic function, fitted on other documents of the sample, of its
-worst word, its second worst word and how many distinct words are on the toxic side.
+worst and its second worst word.
 
 Scoring needs no shuffle; a worker keeps the values of words it has met in a bounded
 table. The model is a closure of fixed size.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod_py, small_batches, table, task_memory
 from .learning import labelled_sample, linear_svm, logistic, sigmoid
 
-DECAY, GAPS, SPACE_BITS, PAD = 0.6, 2, 19, 8
+DECAY, GAPS, SPACE_BITS, PAD = 0.75, 2, 19, 8
 SHAPES = [(0, *rest) for n in (3, 4) for rest in itertools.combinations(range(1, n + GAPS), n - 1)]
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 LETTERS_APART = re.compile(r"(?<!\S)((?:[A-Za-z][ .*_-]){3,}[A-Za-z])(?![^\W\d_])")
@@ -75,9 +76,9 @@ def dense(words: list[str]) -> np.ndarray:
     """Rows of normalised feature vectors over the features that occur, with their ids."""
     w, f, v = subsequences(words)
     ids, column = np.unique(f, return_inverse=True)
-    out = np.zeros((len(words), len(ids)))
+    out = np.zeros((len(words), len(ids)), dtype=np.float32)
     np.add.at(out, (w, column), v)
-    out /= np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(words))), 1e-12)[:, None]
+    out /= np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(words))), 1e-12)[:, None].astype(np.float32)
     return ids, out
 
 
@@ -131,11 +132,10 @@ class Model:
     def document_features(self, texts) -> np.ndarray:
         sets = [tokens(t) for t in texts]
         known = self.word_values(set().union(*sets))
-        out = np.full((len(texts), 3), -1.0)
+        out = np.full((len(texts), 2), -1.0)
         for k, words in enumerate(sets):
             values = sorted({v for v in map(known.__getitem__, words) if v > -1.0}, reverse=True)
             out[k, : min(2, len(values))] = values[:2]
-            out[k, 2] = np.log1p(sum(v > 0 for v in values))
         return np.clip(out, -1.5, 3)
 
     def scores(self, texts) -> np.ndarray:
@@ -144,7 +144,7 @@ class Model:
         return sigmoid(np.column_stack([self.document_features(texts), np.ones(len(texts))]) @ self.final)
 
 
-def fit(sample: list[tuple[str, int]], landmarks: int = 400, words_each: int = 6000) -> Model:
+def fit(sample: list[tuple[str, int]], landmarks: int = 700, words_each: int = 8000) -> Model:
     """A model from labelled texts; a quarter of them calibrates the documents' score."""
     y_all = np.array([y for _, y in sample])
     if len(sample) == 0 or y_all.min() == y_all.max():
@@ -168,10 +168,12 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 400, words_each: int = 6
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
     marks = list(dict.fromkeys(strong[: landmarks // 2] + common[: landmarks // 4] + [common[i] for i in rng.permutation(len(common))[: landmarks // 4]]))
     ids, base = dense(marks)
-    kernel = base @ base.T
+    kernel = (base @ base.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
+    folded = base.T @ root.astype(np.float32)  # from features straight to Nystroem coordinates
+    del base, kernel, vectors
 
     def nystroem(words: list[str]) -> np.ndarray:
         w, f, v = subsequences(words)
@@ -180,25 +182,25 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 400, words_each: int = 6
         here = ids[column] == f
         norm = np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(words))), 1e-12)
         out = np.empty((len(words), root.shape[1]))
-        folded = base.T @ root
         for at in range(0, len(words), 200):
             top = min(len(words), at + 200)
             part = here & (w >= at) & (w < top)
-            sparse = np.zeros((top - at, len(ids)))
+            sparse = np.zeros((top - at, len(ids)), dtype=np.float32)
             np.add.at(sparse, (w[part] - at, column[part]), v[part])
-            out[at:top] = (sparse / norm[at:top, None]) @ folded
+            out[at:top] = (sparse @ folded) / norm[at:top, None]
         return out
 
     negatives = common[: words_each // 2] + [common[i] for i in rng.permutation(len(common))[: words_each // 2]]
     negatives = list(dict.fromkeys(negatives))
     positives = strong
     model = None
-    for _ in range(2):
-        words = positives + negatives
-        y = np.array([1] * len(positives) + [0] * len(negatives))
-        svm = linear_svm(nystroem(words), y, cost=4.0, weight=np.where(y == 1, max(1.0, len(negatives) / (8 * len(positives))), 1.0))
+    for _ in range(3):
+        taught = [w[:at] + chr(97 + int(rng.integers(26))) + w[at:] for w in positives if 4 <= len(w) <= 12 for at in rng.integers(1, len(w), 2).tolist()]
+        words = positives + [w for w in dict.fromkeys(taught) if w not in clean] + negatives
+        y = np.array([1] * (len(words) - len(negatives)) + [0] * len(negatives))
+        svm = linear_svm(nystroem(words), y, cost=1.0, weight=np.where(y == 1, max(1.0, len(negatives) / (8 * y.sum())), 1.0))
         weight = np.zeros(1 << SPACE_BITS)
-        weight[ids] = base.T @ (root @ svm[:-1])
+        weight[ids] = folded @ svm[:-1]
         model = Model(weight.astype(np.float32), float(svm[-1]))
         known = model.word_values(set().union(*sets))
         worst = Counter()
