@@ -31,10 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def merged(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """``df`` in at most ``per_core`` partitions for every core of the cluster.
+
+    Partitions are read one after another, without a shuffle and without holding more of
+    them at once. More files than that only cost: creating one through Hadoop's local file
+    system starts a ``chmod`` process, which for a moment counts the JVM's memory twice.
+    """
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so later stages and retries read it back."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return merged(df).checkpoint(eager=True)
 
 
 def crc_mod(col, n: int):

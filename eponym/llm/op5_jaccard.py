@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, small_batches, table, task_memory, utf8
+from .common import checkpointed, merged, slices, small_batches, table, task_memory, utf8
 
 SCANNED = "kind int, doc_id long, n long, k1 long, k2 long, part int, counts binary"
 PARTS = 64
@@ -398,7 +398,7 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, extra: int = 2, sho
             labels = components(labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b")).union(more))
     heads = classes.join(labels.withColumnRenamed("doc_id", "head"), "head", "left").select("k1", "k2", F.col("n").alias("__n"), F.coalesce("label", "head").alias("__c"))
     named = every.join(heads, (every.k1 == heads.k1) & (every.k2 == heads.k2) & (every.n == heads["__n"]), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("__c", "doc_id")).alias("component_id"))
+    return merged(named).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("__c", "doc_id")).alias("component_id"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
