@@ -944,3 +944,130 @@ def phonebook(spark, d):
     total = sum(s for _, s in sizes)
     got = clusters.phonebook(sizes, [], {c: c[:2] for c, _ in sizes}, 40, total / 30)
     return spark.createDataFrame([(c, i) for c, ids in got.items() for i in ids], "cluster string, partition long")
+
+
+# encoders, sampling and further evaluation
+
+
+@query(
+    sql(
+        "vec",
+        "select name, round(list_cosine_similarity(v, m), 6) as score, round(list_aggregate(list_transform(range(1, 65), lambda i: v[i] * m[i]), 'sum') / (sqrt(list_aggregate(list_transform(v, lambda x: x * x), 'sum')) * sqrt(list_aggregate(list_transform(m, lambda x: x * x), 'sum'))), 6) as product from vec, (select list(x order by i) as m from (select i, avg(x) as x from (select unnest(range(1, 65)) as i, unnest(v) as x from vec) group by i))",
+    )
+)
+def mean_vector_scores(spark, d):
+    """[V1, V12, A19] cosine with the mean of all vectors, also as a sum of element-wise products"""
+    v = tables.vectors(spark, d)
+    mean = clusters.centroids(v.withColumn("label", F.lit(0))).select(F.col("centroid").alias("m"))
+    both = v.join(F.broadcast(mean), F.lit(True))
+    product = F.zip_with(vectors.normalized(F.col("vector")), vectors.normalized(F.col("m")), lambda a, b: a * b)
+    return rounded(both.select("name", vectors.cosine(F.col("vector"), F.col("m")).alias("score"), F.aggregate(product, F.lit(0.0), lambda a, x: a + x).alias("product")))
+
+
+@query(
+    sql(
+        "top300",
+        "select name, round(sum(t * p) / 30, 6) as first_dimension from (select name, (1 + i % 5) / 7.0 as p, (ascii(name[i]) - 96) / 26.0 as t from (select name, unnest(range(1, length(name) + 1)) as i from top300)) group by name",
+    )
+)
+def encode_names(spark, d):
+    """[V10, V11] mean over 30 positions of token weight times position weight; unknown and padding weigh nothing"""
+    p = tables.preferred(spark, d).where("rank <= 300").select("name", F.posexplode(strings.char_ids(F.col("name"))).alias("at", "token"))
+    tokens = spark.createDataFrame([(i, i / 26.0) for i in range(1, 27)], "token int, t double")
+    places = spark.createDataFrame([(i, (1 + (i + 1) % 5) / 7.0) for i in range(30)], "at int, p double")
+    cells = p.join(F.broadcast(tokens), "token").join(F.broadcast(places), "at")
+    return rounded(cells.groupBy("name").agg((F.sum(F.col("t") * F.col("p")) / 30).alias("first_dimension")))
+
+
+@query(sql("near", "select count(*) filter (f and score > 0.3) as foreign_high, count(*) filter (not f and score < 0.3) as own_low, count(*) filter (abs(score - case when f then 0 else 1 end) > 0.5) as far_off from (select *, label <> other_label as f from near where rank <= 10)"))
+def threshold_counts(spark, d):
+    """[M17, A32]"""
+    lab = tables.vec_clusters(spark, d)
+    n = _near(spark, d).join(lab.select(F.col("name").alias("input_name"), F.col("label").alias("a")), "input_name").join(lab.select(F.col("name").alias("candidate_name"), F.col("label").alias("b")), "candidate_name")
+    foreign, s = F.col("a") != F.col("b"), F.col("score")
+    return n.agg(F.count_if(foreign & (s > 0.3)).alias("foreign_high"), F.count_if(~foreign & (s < 0.3)).alias("own_low"), F.count_if(F.abs(s - F.when(foreign, 0).otherwise(1)) > 0.5).alias("far_off"))
+
+
+@query(
+    sql(
+        "pref attached",
+        "select round(avg(hit / same), 6) as precision, round(avg(got / total), 6) as recall from (select a.tree_name, count(*) filter (b.code = a.code) as hit, sum(frequency) filter (b.code = a.code) as got, sum(frequency) as total, max(a.m) as same from (select tree_name, record_name, frequency, c.code, c.m from attached join c on c.name = tree_name) a join c b on b.name = a.record_name group by a.tree_name) where got is not null",
+        q="select name, " + soundex_sql("name") + " as code from pref", c="select *, count(*) over (partition by code) as m from q",
+    )
+)
+def cluster_exact_scores(spark, d):
+    """[M16] clusters against actual pairs among known names: members that are actuals, and the frequency they cover"""
+    c = tables.preferred(spark, d).select("name", coders.soundex(F.col("name")).alias("code"))
+    size = c.groupBy("code").agg(F.count("*").alias("m"))
+    c = c.join(size, "code")
+    a = tables.attached(spark, d).join(c.select(F.col("name").alias("tree_name"), F.col("code").alias("x"), "m"), "tree_name").join(c.select(F.col("name").alias("record_name"), F.col("code").alias("y")), "record_name")
+    same = F.col("x") == F.col("y")
+    per = a.groupBy("tree_name").agg(F.count_if(same).alias("hit"), F.sum(F.when(same, F.col("frequency"))).alias("got"), F.sum("frequency").alias("total"), F.max("m").alias("m")).where("got is not null")
+    return rounded(per.agg(F.avg(F.col("hit") / F.col("m")).alias("precision"), F.avg(F.col("got") / F.col("total")).alias("recall")))
+
+
+@query(sql("", f"select doc_id, label from (select doc_id, quality as label, count(*) over () as n, sum(quality) over () as p from labels) where label = 1 or {_unit('doc_id::varchar')} <= 2.0 * p / greatest(1, n - p)"))
+def down_sample(spark, d):
+    """[P29]"""
+    lab = tables.table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("label"))
+    return augment.down_sample(lab, 2.0, "doc_id")
+
+
+@query(
+    sql(
+        "brandtype",
+        "select anchor, positive, negative from (select *, row_number() over (partition by head order by md5(anchor || ',' || positive || ',' || negative), anchor, positive, negative) as r from (select a.head, a.name as anchor, b.name as positive, c.name as negative from brandtype a join brandtype b on a.head = b.head and a.name <> b.name join brandtype c on a.head = c.head and c.name <> a.name and c.name <> b.name)) where r <= 10",
+    )
+)
+def bucket_triples(spark, d):
+    """[P27] ten triples of distinct names of each bucket, chosen by hash"""
+    b = tables.table(spark, d, "part").select(F.col("p_type").alias("head"), F.col("p_brand").alias("name")).distinct()
+    t = b.select("head", F.col("name").alias("anchor")).join(b.select("head", F.col("name").alias("positive")), "head").join(b.select("head", F.col("name").alias("negative")), "head")
+    t = t.where("anchor != positive and anchor != negative and positive != negative")
+    order = W.partitionBy("head").orderBy(F.md5(F.concat_ws(",", "anchor", "positive", "negative")), "anchor", "positive", "negative")
+    return t.withColumn("r", F.row_number().over(order)).where("r <= 10").select("anchor", "positive", "negative")
+
+
+@query(sql("pref", "select name from g join c using (gram) group by name having min(n) < 20", g=_GRAMS + " from pref", c="select gram, count(*) as n from g group by gram"))
+def rare_token_names(spark, d):
+    """[D8] names with any n-gram that fewer than 20 names have"""
+    g = tables.preferred(spark, d).select("name", F.explode(strings.char_ngrams(F.col("name"))).alias("gram"))
+    rare = g.groupBy("gram").agg(F.count("*").alias("n")).where("n < 20").select("gram")
+    return g.join(rare, "gram", "left_semi").select("name").distinct()
+
+
+@query(sql("top300", "select bigram, count(*) as n from (select l[i] || ' ' || l[i + 1] as bigram from (select l, unnest(range(1, len(l))) as i from (select list_concat(['START'], string_split(name, ''), ['END']) as l from top300))) group by bigram"))
+def phoneme_bigrams(spark, d):
+    """[F41, A31] letters stand for phonemes"""
+    letters = F.filter(F.split("name", ""), lambda x: x != "")
+    return tables.preferred(spark, d).where("rank <= 300").select(F.explode(strings.phoneme_bigrams(letters)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+
+
+@query(sql("vec", "select name, cast(case when x < 0 then (select max(case when label = 9 then -1 else label end) from vec) + row_number() over (partition by x < 0 order by name) else x end as bigint) as label from (select name, case when label = 9 then -1 else label end as x from vec)"))
+def noise_to_own_clusters(spark, d):
+    """[C21] label 9 stands for noise"""
+    v = tables.vec_clusters(spark, d).withColumn("label", F.when(F.col("label") == 9, -1).otherwise(F.col("label")))
+    return clusters.own_cluster_for_noise(v)
+
+
+@query("with recursive e as (select p_brand as node, p_type as child from part union select 'all', p_brand from part), walk as (select 'all' as top, 'all' as node union select top, child from walk join e using (node)) select node, count(*) as n from walk where node not in (select node from e) group by node")
+def subtree_leaves(spark, d):
+    """[C5] leaves below the root of a hierarchy of brands and types"""
+    p = tables.table(spark, d, "part").select("p_brand", "p_type").distinct()
+    p.createOrReplaceTempView("eponym_part")
+    return spark.sql("with recursive e as (select distinct p_brand as node, p_type as child from eponym_part union select distinct 'all', p_brand from eponym_part), walk as (select 'all' as node union all select child from walk join e on walk.node = e.node) select node, 1L as n from walk left anti join e on walk.node = e.node group by node")
+
+
+@query()
+def fitted_logistic(spark, d):
+    """[L8, V9] an ensemble fitted without constant by pyspark.ml: same cluster or not, from score and rank"""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    lab = tables.vec_clusters(spark, d)
+    n = _near(spark, d).join(lab.select(F.col("name").alias("input_name"), F.col("label").alias("a")), "input_name").join(lab.select(F.col("name").alias("candidate_name"), F.col("label").alias("b")), "candidate_name")
+    rows = n.select("input_name", "candidate_name", "score", F.log10(F.col("rank") + 1.0).alias("place"), (F.col("a") == F.col("b")).cast("double").alias("label"))
+    x = VectorAssembler(inputCols=["score", "place"], outputCol="features").transform(rows)
+    model = LogisticRegression(fitIntercept=False, maxIter=50).fit(x)
+    return model.transform(x).select("input_name", "candidate_name", F.round(vector_to_array("probability")[1], 4).alias("probability"))
