@@ -32,13 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def merged(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """``df`` in at most ``per_core`` partitions for every core of the cluster.
+    """``df`` in at most ``per_core`` partitions a core, or a quarter of the session's shuffle partitions if that is more.
 
-    Partitions are read one after another, without a shuffle and without holding more of
+    Sessions set those in proportion to their data, so no task grows with it. Partitions are read one after another, without a shuffle and without holding more of
     them at once. More files than that only cost: creating one through Hadoop's local file
     system starts a ``chmod`` process, which for a moment counts the JVM's memory twice.
     """
-    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.coalesce(max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
