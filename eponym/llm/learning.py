@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return sorted({(r["doc_id"], r["text"], r["y"]) for r in rows}) and [(t, y) for _, t, y in sorted({(r["doc_id"], r["text"], r["y"]) for r in rows})]
+    return [(text, y) for _, text, y in sorted({(r["doc_id"], r["text"], r["y"]) for r in rows})]
 
 
 def sigmoid(z):
