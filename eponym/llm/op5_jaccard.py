@@ -378,7 +378,8 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, extra: int = 2, sho
     bits = frequent_bits(scanned, sketch_bits)
     some = checkpointed(prefixes(docs, words, bits, sketch_bits, percent, extra).join(classes.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     postings = some.select(F.explode("prefix").alias("token"), "doc_id", "n")
-    lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1")
+    # written, so that the join reads both sides from exchanges of its own and a hot shingle's postings can be split
+    lists = checkpointed(postings.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1"))
     shared = checkpointed(postings.join(lists, "token"))
     fit = "100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n)".format(p=percent)
     short = shared.where(F.col("m") <= short_list).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("d"))
