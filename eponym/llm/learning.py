@@ -50,16 +50,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60,
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, passes: int = 30, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last for the constant) of a linear SVM with squared hinge loss, by Newton's method."""
-    x1 = np.column_stack([x, np.ones(len(x))])
+    x1 = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
     sign = np.where(y == 1, 1.0, -1.0)
     c = cost * (np.ones(len(y)) if weight is None else weight)
     w = np.zeros(x1.shape[1])
     for _ in range(passes):
         inside = sign * (x1 @ w) < 1
         a = x1[inside]
-        h = np.eye(len(w)) + 2 * (a * c[inside][:, None]).T @ a
-        new = np.linalg.solve(h, 2 * a.T @ (c[inside] * sign[inside]))
-        if np.abs(new - w).max() < 1e-7:
+        h = np.eye(len(w)) + 2.0 * ((a * c[inside][:, None].astype(np.float32)).T @ a)
+        new = np.linalg.solve(h, 2.0 * (a.T @ (c[inside] * sign[inside])))
+        if np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(w).max()):
             return new
         w = new
     return w

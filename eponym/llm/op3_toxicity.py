@@ -72,14 +72,32 @@ def subsequences(words: list[str]):
     return np.concatenate(all_words), np.concatenate(feats), np.concatenate(weights)
 
 
-def dense(words: list[str]) -> np.ndarray:
-    """Rows of normalised feature vectors over the features that occur, with their ids."""
-    w, f, v = subsequences(words)
-    ids, column = np.unique(f, return_inverse=True)
-    out = np.zeros((len(words), len(ids)), dtype=np.float32)
-    np.add.at(out, (w, column), v)
-    out /= np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(words))), 1e-12)[:, None].astype(np.float32)
-    return ids, out
+class Landmarks:
+    """Kernel values with a few landmark words, by the features they share."""
+
+    def __init__(self, words: list[str]):
+        w, f, v = subsequences(words)
+        order = np.argsort(f, kind="stable")
+        norm = np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(words))), 1e-12)
+        self.size, self.feature, self.of, self.value = len(words), f[order], w[order], (v / norm[w])[order]
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """One row per word, one column per landmark."""
+        out = np.empty((len(words), self.size))
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            w, f, v = subsequences(some)
+            norm = np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(some))), 1e-12)
+            first, past = np.searchsorted(self.feature, f, side="left"), np.searchsorted(self.feature, f, side="right")
+            shared = past - first
+            place = np.repeat(first - np.cumsum(shared) + shared, shared) + np.arange(int(shared.sum()))
+            cell = np.repeat(w, shared) * self.size + self.of[place]
+            out[at : at + 1000] = np.bincount(cell, np.repeat(v / norm[w], shared) * self.value[place], minlength=len(some) * self.size).reshape(len(some), self.size)
+        return out
+
+    def weights(self, alpha: np.ndarray) -> np.ndarray:
+        """One weight per feature of the function with these coefficients of the landmarks."""
+        return np.bincount(self.feature, self.value * alpha[self.of], minlength=1 << SPACE_BITS)
 
 
 def apply_weights(words: list[str], weight: np.ndarray, constant: float) -> np.ndarray:
@@ -167,28 +185,10 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 700, words_each: int = 8
     strong = [w for w in suspects if toxic[w] >= least] or suspects[:20]
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
     marks = list(dict.fromkeys(strong[: landmarks // 2] + common[: landmarks // 4] + [common[i] for i in rng.permutation(len(common))[: landmarks // 4]]))
-    ids, base = dense(marks)
-    kernel = (base @ base.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel)
+    landmark = Landmarks(marks)
+    values, vectors = np.linalg.eigh(landmark.kernel(marks))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    folded = base.T @ root.astype(np.float32)  # from features straight to Nystroem coordinates
-    del base, kernel, vectors
-
-    def nystroem(words: list[str]) -> np.ndarray:
-        w, f, v = subsequences(words)
-        column = np.searchsorted(ids, f)
-        column[column == len(ids)] = 0
-        here = ids[column] == f
-        norm = np.maximum(np.sqrt(np.bincount(w, v * v, minlength=len(words))), 1e-12)
-        out = np.empty((len(words), root.shape[1]))
-        for at in range(0, len(words), 200):
-            top = min(len(words), at + 200)
-            part = here & (w >= at) & (w < top)
-            sparse = np.zeros((top - at, len(ids)), dtype=np.float32)
-            np.add.at(sparse, (w[part] - at, column[part]), v[part])
-            out[at:top] = (sparse @ folded) / norm[at:top, None]
-        return out
 
     negatives = common[: words_each // 2] + [common[i] for i in rng.permutation(len(common))[: words_each // 2]]
     negatives = list(dict.fromkeys(negatives))
@@ -198,10 +198,8 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 700, words_each: int = 8
         taught = [w[:at] + chr(97 + int(rng.integers(26))) + w[at:] for w in positives if 4 <= len(w) <= 12 for at in rng.integers(1, len(w), 2).tolist()]
         words = positives + [w for w in dict.fromkeys(taught) if w not in clean] + negatives
         y = np.array([1] * (len(words) - len(negatives)) + [0] * len(negatives))
-        svm = linear_svm(nystroem(words), y, cost=1.0, weight=np.where(y == 1, max(1.0, len(negatives) / (8 * y.sum())), 1.0))
-        weight = np.zeros(1 << SPACE_BITS)
-        weight[ids] = folded @ svm[:-1]
-        model = Model(weight.astype(np.float32), float(svm[-1]))
+        svm = linear_svm(landmark.kernel(words) @ root, y, cost=1.0, weight=np.where(y == 1, max(1.0, len(negatives) / (8 * y.sum())), 1.0))
+        model = Model(landmark.weights(root @ svm[:-1]).astype(np.float32), float(svm[-1]))
         known = model.word_values(set().union(*sets))
         worst = Counter()
         for words_of, y_of, c in zip(sets, y_all, calibrates):
