@@ -83,7 +83,7 @@ class Landmarks:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """One row per word, one column per landmark."""
-        out = np.empty((len(words), self.size))
+        out = np.empty((len(words), self.size), dtype=np.float32)
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             w, f, v = subsequences(some)
@@ -186,7 +186,7 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 700, words_each: int = 8
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
     marks = list(dict.fromkeys(strong[: landmarks // 2] + common[: landmarks // 4] + [common[i] for i in rng.permutation(len(common))[: landmarks // 4]]))
     landmark = Landmarks(marks)
-    values, vectors = np.linalg.eigh(landmark.kernel(marks))
+    values, vectors = np.linalg.eigh(landmark.kernel(marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
 
@@ -198,7 +198,7 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 700, words_each: int = 8
         taught = [w[:at] + chr(97 + int(rng.integers(26))) + w[at:] for w in positives if 4 <= len(w) <= 12 for at in rng.integers(1, len(w), 2).tolist()]
         words = positives + [w for w in dict.fromkeys(taught) if w not in clean] + negatives
         y = np.array([1] * (len(words) - len(negatives)) + [0] * len(negatives))
-        svm = linear_svm(landmark.kernel(words) @ root, y, cost=1.0, weight=np.where(y == 1, max(1.0, len(negatives) / (8 * y.sum())), 1.0))
+        svm = linear_svm(landmark.kernel(words) @ root.astype(np.float32), y, cost=1.0, weight=np.where(y == 1, max(1.0, len(negatives) / (8 * y.sum())), 1.0))
         model = Model(landmark.weights(root @ svm[:-1]).astype(np.float32), float(svm[-1]))
         known = model.word_values(set().union(*sets))
         worst = Counter()
