@@ -1006,7 +1006,7 @@ def cluster_exact_scores(spark, d):
     return rounded(per.agg(F.avg(F.col("hit") / F.col("m")).alias("precision"), F.avg(F.col("got") / F.col("total")).alias("recall")))
 
 
-@query(sql("", f"select doc_id, label from (select doc_id, quality as label, count(*) over () as n, sum(quality) over () as p from labels) where label = 1 or {_unit('doc_id::varchar')} <= 2.0 * p / greatest(1, n - p)"))
+@query(sql("", f"select doc_id, cast(label as bigint) as label from (select doc_id, quality as label, count(*) over () as n, sum(quality) over () as p from labels) where label = 1 or {_unit('doc_id::varchar')} <= 2.0 * p / greatest(1, n - p)"))
 def down_sample(spark, d):
     """[P29]"""
     lab = tables.table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("label"))
