@@ -12,8 +12,10 @@ positive then negative), over the whole text. The likeness of two fingerprints i
 cosine of their signs, set straight by the arc-sine law, 0 to 1.
 
 Near documents are found by banding: ``bands`` keys, each of a fixed random sample of
-bins, and every document is verified against the smallest doc_id under each of its keys,
-so a group of copies costs one comparison per member and band.
+bins. Equal fingerprints are one class, so a group of copies costs one row per band, and
+all classes under a key are compared with each other, in blocks of at most ``block`` rows
+a side; a pair that shares several keys counts under the first. ``near_counts`` adds the
+number of near documents and the smallest doc_id among them and the document itself.
 
 ``with_edited`` pairs each document with the next in descending doc_id (after the last:
 the first). Rows are dealt to shards by doc_id ranges whose bounds come from quantiles of
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, table, utf8
+from .common import checkpointed, mix64, small_batches, table, utf8
 
 BINS, CLASSES, PERIOD = 256, 64, 1 << 16
 LOWEST = -(2**63)
@@ -222,30 +224,172 @@ def with_edited(docs: DataFrame, shard_docs: int = 8192, most_shards: int = 20_0
     return dealt.mapInArrow(run, RESULT)
 
 
-def near_links(fingerprints: DataFrame, bands: int = 24, bins: int = 12, least: float = 0.8) -> DataFrame:
-    """Links (doc_id, near_id, likeness) from documents to the smallest doc_id under each band key."""
-    samples = np.argsort(mix64(np.arange(bands * BINS, dtype=np.uint64).reshape(bands, BINS) + np.uint64(77)), axis=1)[:, :bins]
+SAMPLES = np.argsort(mix64(np.arange(64 * BINS, dtype=np.uint64).reshape(64, BINS) + np.uint64(77)), axis=1)
+
+
+def band_keys(signs: np.ndarray, bands: int, bins: int) -> np.ndarray:
+    """One key a band for every fingerprint."""
+    out = np.empty((len(signs), bands), dtype=np.int64)
+    for k in range(bands):
+        h = np.full(len(signs), k + 1, dtype=np.uint64)
+        for b in SAMPLES[k, :bins]:
+            h = h * np.uint64(3) + (signs[:, b] + 1).astype(np.uint64)
+        out[:, k] = (mix64(h) >> np.uint64(1)).astype(np.int64)
+    return out
+
+
+def bucket_links(signs: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, bins: int, least: float, rows: int = 512):
+    """Index arrays (i, j, likeness) of the near pairs of one bucket, ``left`` against ``right``, without those that share an earlier band's key."""
+    floor = math.asin(min(1.0, max(0.0, least))) * 2 / math.pi - 1e-6
+    f = signs.astype(np.float32)
+    f /= np.maximum(np.sqrt((f * f).sum(axis=1)), 1e-6)[:, None]
+    same = left is right
+    keys = band_keys(signs, band, bins) if band else None
+    for at in range(0, len(left), rows):
+        i, j = np.nonzero(f[left[at : at + rows]] @ f[right].T >= floor)
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        i, j = left[i], right[j]
+        for part in range(0, len(i), 100_000):
+            x, y = i[part : part + 100_000], j[part : part + 100_000]
+            if band:
+                new = ~(keys[x] == keys[y]).any(axis=1)
+                x, y = x[new], y[new]
+            score = likeness(signs[x], signs[y])
+            near = score >= least
+            if near.any():
+                yield x[near], y[near], score[near]
+
+
+def small_links(words: np.ndarray, end: np.ndarray, band: np.ndarray, bands: int, bins: int, least: float):
+    """As ``bucket_links``, for many small buckets at once: row i meets rows i + 1 to ``end[i]`` - 1. ``words`` are the two masks in 64-bit words."""
+    floor = math.asin(min(1.0, max(0.0, least))) * 2 / math.pi - 1e-6
+    half = words.shape[1] // 2
+    plus, minus = words[:, :half], words[:, half:]
+    norm = np.sqrt(np.bitwise_count(words).sum(axis=1, dtype=np.int64))
+    pairs, i, step = [], np.arange(len(words)), 1
+    while len(i := i[i + step < end[i]]):
+        p, m, q, o = plus[i], minus[i], plus[i + step], minus[i + step]
+        dot = np.bitwise_count((p & q) | (m & o)).sum(axis=1, dtype=np.int64) - np.bitwise_count((p & o) | (m & q)).sum(axis=1, dtype=np.int64)
+        x = i[dot >= floor * norm[i] * norm[i + step]]
+        pairs.append((x, x + step))
+        step += 1
+    if not pairs:
+        return
+    i, j = (np.concatenate(c) for c in zip(*pairs))
+    rows = np.unique(np.concatenate([i, j]))
+    bits = np.unpackbits(words[rows].view(np.uint8).reshape(-1, 2, BINS // 8), axis=2).astype(np.int8)
+    signs = bits[:, 0] - bits[:, 1]
+    keys = band_keys(signs, bands, bins)
+    for part in range(0, len(i), 100_000):
+        x, y = i[part : part + 100_000], j[part : part + 100_000]
+        a, b = np.searchsorted(rows, x), np.searchsorted(rows, y)
+        score = likeness(signs[a], signs[b])
+        near = (score >= least) & ~((keys[a] == keys[b]) & (np.arange(bands) < band[x][:, None])).any(axis=1)
+        yield x[near], y[near], score[near]
+
+
+def _classes(fingerprints: DataFrame) -> DataFrame:
+    """One row per fingerprint: smallest id, number of documents."""
+    return fingerprints.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("id"), F.count(F.lit(1)).alias("n"))
+
+
+def _compared(classes: DataFrame, bands: int, bins: int, least: float, block: int, counts: bool, broadcast_rows: int = 200_000, few: int = 64, held_rows: int = 16_000) -> DataFrame:
+    """Near pairs of classes (id, near_id, likeness), or with ``counts`` partial sums (id, n, near_id) of them."""
 
     @F.pandas_udf("array<long>")
     def keys(fp: pd.Series) -> pd.Series:
-        signs = signs_of(fp.tolist()) if len(fp) else np.zeros((0, BINS), np.int8)
-        out = []
-        for k, sample in enumerate(samples):
-            h = np.full(len(signs), k + 1, dtype=np.uint64)
-            for b in sample:
-                h = h * np.uint64(3) + (signs[:, b] + 1).astype(np.uint64)
-            out.append((mix64(h) >> np.uint64(1)).astype(np.int64))
-        return pd.Series(list(np.column_stack(out))) if len(signs) else pd.Series([], dtype=object)
+        return pd.Series(list(band_keys(signs_of(fp.tolist()), bands, bins)) if len(fp) else [], dtype=object)
 
-    @F.pandas_udf("double")
-    def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(likeness(signs_of(a.tolist()), signs_of(b.tolist())) if len(a) else [], dtype=float)
+    keyed = small_batches(classes).select("id", "n", F.unhex("fingerprint").alias("fp"), F.posexplode(keys("fingerprint")).alias("band", "key"))
+    large = checkpointed(classes.select(F.explode(keys("fingerprint")).alias("key")).groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    large = F.broadcast(large) if large.count() <= broadcast_rows else large
+    keyed = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a block of a large bucket meets every other one, and itself
+    dealt = keyed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "id", "n", "fp")
+    dealt = dealt.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high")
 
-    keyed = fingerprints.select("doc_id", "fingerprint", F.explode(keys("fingerprint")).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    pairs = keyed.join(heads, "key").where(F.col("head.doc_id") < F.col("doc_id")).select("doc_id", F.col("head.doc_id").alias("near_id"), "fingerprint", F.col("head.fingerprint").alias("other")).dropDuplicates(["doc_id", "near_id"])
-    return pairs.select("doc_id", "near_id", like("fingerprint", "other").alias("likeness")).where(F.col("likeness") >= least)
+    fields = [("id", pa.int64()), ("n", pa.int64()), ("near_id", pa.int64())] if counts else [("id", pa.int64()), ("near_id", pa.int64()), ("likeness", pa.float64())]
+    schema = pa.schema(fields)
+
+    def run(batches):
+        def result(held):
+            unit, own, band, ids, sizes, fp = (np.concatenate(c) for c in zip(*held))
+            cuts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1), [True]]))
+            total, nearest, found = np.zeros(len(ids), np.int64), ids.copy(), []
+
+            def take(x, y, score):
+                if counts:
+                    for p, q in ((x, y), (y, x)):
+                        np.add.at(total, p, sizes[q])
+                        np.minimum.at(nearest, p, ids[q])
+                else:
+                    found.append((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), score))
+
+            length = np.diff(cuts)
+            small = (length <= few) & (unit[cuts[:-1], 1] == unit[cuts[:-1], 2])
+            end = np.repeat(np.where(small, cuts[1:], 0), length)
+            for near in small_links(fp.view(np.uint64), end, band, bands, bins, least):
+                take(*near)
+            for a, z in zip(cuts[:-1][~small], cuts[1:][~small]):
+                bits = np.unpackbits(fp[a:z].reshape(-1, 2, BINS // 8), axis=2).astype(np.int8)
+                low, high = unit[a, 1], unit[a, 2]
+                left = np.flatnonzero(own[a:z] == low)
+                right = left if low == high else np.flatnonzero(own[a:z] == high)
+                for x, y, score in bucket_links(bits[:, 0] - bits[:, 1], left, right, int(band[a]), bins, least):
+                    take(x + a, y + a, score)
+            if counts:
+                some = total > 0
+                return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some]), pa.array(nearest[some])], schema=schema)
+            cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            part = [np.column_stack([c[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("key", "low", "high")])]
+            part += [c[n].to_numpy(zero_copy_only=False) for n in ("own", "band", "id", "n")]
+            part.append(np.frombuffer(b"".join(c["fp"].to_pylist()), np.uint8).reshape(-1, BINS // 4))
+            changed = np.flatnonzero((part[0] != part[0][-1]).any(axis=1))
+            last = int(changed[-1]) + 1 if len(changed) else 0  # where the batch's last unit begins
+            rows += batch.num_rows
+            if rows >= held_rows and not last and held and (held[-1][0][-1] != part[0][0]).any():
+                yield result(held)
+                held, rows, last = [], batch.num_rows, 0
+            elif rows >= held_rows and last:
+                yield result([*held, [x[:last] for x in part]])
+                held, rows = [], batch.num_rows - last
+            else:
+                last = 0
+            held.append([x[last:] for x in part])
+        if held:
+            yield result(held)
+
+    return dealt.mapInArrow(run, "id long, n long, near_id long" if counts else "id long, near_id long, likeness double")
+
+
+def near_links(fingerprints: DataFrame, bands: int = 24, bins: int = 12, least: float = 0.8, block: int = 4096) -> DataFrame:
+    """Links (doc_id, near_id, likeness): from documents to the smallest doc_id with their fingerprint, and between those of all near fingerprints that share a band key."""
+    classes = checkpointed(_classes(fingerprints))
+    real = F.when(F.col("near_id") != LOWEST, F.col("near_id")).alias("near_id")
+    between = _compared(classes, bands, bins, least, block, False).select(F.col("id").alias("doc_id"), real, "likeness")
+    within = fingerprints.select("doc_id", "fingerprint").join(classes.where("n > 1"), "fingerprint").where(F.col("doc_id") > F.col("id"))
+    return between.unionByName(within.select("doc_id", F.col("id").alias("near_id")).select("doc_id", real).distinct().withColumn("likeness", F.lit(1.0)))
+
+
+def near_counts(fingerprints: DataFrame, bands: int = 24, bins: int = 12, least: float = 0.8, block: int = 4096) -> DataFrame:
+    """``fingerprints`` with ``n_near``, the number of other documents with an equal fingerprint or a near one that shares a band key, and ``near_id``, the smallest doc_id among them and the document's own."""
+    classes = checkpointed(_classes(fingerprints))
+    linked = _compared(classes, bands, bins, least, block, True).groupBy("id").agg(F.sum("n").alias("more"), F.min("near_id").alias("near_id"))
+    some = classes.join(linked, "id", "left").where("n > 1 or more is not null").select("fingerprint", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), F.coalesce(F.least("id", "near_id"), "id").alias("__near"))
+    out = fingerprints.join(checkpointed(some), "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    near = F.when(F.col("__near").isNull(), F.col("doc_id")).when(F.col("__near") != LOWEST, F.col("__near"))
+    return out.select(*fingerprints.columns, "n_near", near.alias("near_id"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edited(table(spark, sf_dir, "documents"))
+    return near_counts(checkpointed(with_edited(table(spark, sf_dir, "documents"))))

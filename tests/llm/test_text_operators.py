@@ -288,3 +288,41 @@ def test_fingerprint_edges(make):
     assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"aba").hexdigest()
     rows = op10_fingerprints.with_edited(make(["b", "a", None], [4, 4, None])).collect()
     assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in rows) == [(-1, 0), (4, 1), (4, 1)]
+
+
+def brute_likeness(signs):
+    f = signs.astype(float)
+    norm = np.sqrt((f * f).sum(axis=1))
+    return np.sin(np.pi / 2 * np.clip(f @ f.T / np.maximum(np.outer(norm, norm), 1e-12), 0, 1))
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_links_beyond_bucket_heads(spark, block):
+    rng = np.random.default_rng(8)
+    n, twins = 6000, 300
+    signs = rng.choice(np.array([-1, 1], np.int8), (n, op10_fingerprints.BINS))
+    near = signs[-twins:].copy()
+    for row in near:
+        row[rng.choice(op10_fingerprints.BINS, 8, replace=False)] *= -1
+    signs = np.concatenate([signs, near, near[:5]])
+    frame = spark.createDataFrame(list(enumerate(op10_fingerprints.text_of(signs))), "doc_id long, fingerprint string").repartition(4)
+    like = brute_likeness(signs)
+    want = {(int(j), int(i)) for i, j in np.argwhere(np.triu(like >= 0.8, 1))}
+    links = [(r["doc_id"], r["near_id"]) for r in op10_fingerprints.near_links(frame, block=block).collect()]
+    copies = {(n + twins + k, n - twins + k) for k in range(5)}  # a copy's links are those of the first of its class
+    assert len(want) == twins + 10 and len(links) == len(set(links)) and set(links) == want - copies
+    got = {r["doc_id"]: (r["n_near"], r["near_id"]) for r in op10_fingerprints.near_counts(frame, block=block).collect()}
+    assert got == {i: (int((row >= 0.8).sum()) - 1, int(np.flatnonzero(row >= 0.8)[0])) for i, row in enumerate(like)}
+
+
+def test_bucket_links():
+    rng = np.random.default_rng(9)
+    signs = rng.choice(np.array([-1, 0, 1], np.int8), (90, op10_fingerprints.BINS))
+    signs = np.concatenate([signs, np.where(rng.random(signs.shape) < 0.05, 0, signs), np.where(rng.random(signs.shape) < 0.2, -signs, signs)]).astype(np.int8)
+    every, keys = np.arange(len(signs)), op10_fingerprints.band_keys(signs, 5, 4)
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(brute_likeness(signs) >= 0.8, 1)) if not (keys[i, :3] == keys[j, :3]).any()}
+    words = np.frombuffer(bytes.fromhex("".join(op10_fingerprints.text_of(signs))), np.uint64).reshape(len(signs), -1)
+    few = op10_fingerprints.small_links(words, np.full(len(signs), len(signs)), np.full(len(signs), 3), 5, 4, 0.8)
+    for found in (few, op10_fingerprints.bucket_links(signs, every, every, 3, 4, 0.8, rows=50)):
+        links = [(int(i), int(j)) for x, y, _ in found for i, j in zip(x, y)]
+        assert want and len(links) == len(want) and set(links) == want
