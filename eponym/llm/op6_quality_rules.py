@@ -3,16 +3,15 @@
 Base rules look at one document: too few words, or too many words inside five-word
 windows that come back. The method counts normalised lines over documents: every short
 line (at most ``line_words`` words) is lower-cased, its digits masked and its spaces
-collapsed, and hashed; per host (``source``) the documents holding it are counted. Copies
-of one document repeat a line between the same neighbours, so documents are told apart
-by the lines around it, and a group of copies counts once. Lines in more than
+collapsed, and hashed; per host (``source``) the documents holding it are counted, equal
+texts of a host (by a 64-bit hash) as one document. Lines in more than
 ``max_docs`` documents of a host are removed; a document with fewer than ``min_words``
 words left is depleted and rejected. Long lines are never removed: where those repeat,
 documents are copies, which near-duplicate search judges.
 
 Plan: no shuffle carries texts. Line rows are hashes and counts; counting combines on
-the map side, so a line on a third of all documents arrives as one row per task and
-neighbourhood; the join of line rows with frequent lines is left to adaptive execution,
+the map side, first by document and then by line, so no task takes all documents of a
+common line; the join of line rows with frequent lines is left to adaptive execution,
 which splits hot lines. Keys of depleted documents are written once; they are broadcast
 when they are few (``broadcast_rows``) and joined by a shuffle otherwise.
 
@@ -83,15 +82,15 @@ def depleted(docs: DataFrame, max_docs: int = 20, line_words: int = 24, min_word
     lines = _let(
         norm,
         "l",
-        "transform(l, (x, i) -> named_struct('pos', i, 'line', xxhash64(x), 'around', xxhash64(get(l, i - 1), '|', get(l, i + 1)), 'words', length(x) - length(replace(x, ' ', '')) + 1))",
+        "transform(l, (x, i) -> named_struct('pos', i, 'line', xxhash64(x), 'words', length(x) - length(replace(x, ' ', '')) + 1))",
     )
-    rows = docs.select(_key().alias("key"), F.xxhash64(F.col("source").cast("string")).alias("host"), F.expr(lines).alias("lines"))
-    rows = rows.select("key", "host", F.expr("cast(aggregate(lines, 0, (a, x) -> a + x.words) as int)").alias("all_words"), F.expr(f"filter(lines, x -> x.words <= {line_words})").alias("short"))
+    rows = docs.select(_key().alias("key"), F.xxhash64(F.col("source").cast("string")).alias("host"), F.xxhash64(F.expr(text)).alias("copies"), F.expr(lines).alias("lines"))
+    rows = rows.select("key", "host", "copies", F.expr("cast(aggregate(lines, 0, (a, x) -> a + x.words) as int)").alias("all_words"), F.expr(f"filter(lines, x -> x.words <= {line_words})").alias("short"))
     # only documents whose short lines could deplete them are worth joining
     risky = rows.where(F.expr(f"all_words >= {min_words} and all_words - aggregate(short, 0, (a, x) -> a + x.words) < {min_words}"))
     frequent = (
-        rows.select("host", F.expr("inline(array_distinct(transform(short, x -> named_struct('line', x.line, 'around', x.around))))"))
-        .groupBy("host", "line").agg(F.count_distinct("around").alias("n")).where(F.col("n") > max_docs).select("host", "line")
+        rows.select("host", "copies", F.explode(F.expr("array_distinct(transform(short, x -> x.line))")).alias("line"))
+        .groupBy("host", "line").agg(F.count_distinct("copies").alias("n")).where(F.col("n") > max_docs).select("host", "line")
     )
     hit = risky.select("key", "host", "all_words", F.inline("short")).join(frequent, ["host", "line"])
     removed = hit.groupBy("key").agg(F.max("all_words").alias("all_words"), F.expr("aggregate(collect_set(named_struct('pos', pos, 'words', words)), 0L, (a, x) -> a + x.words)").alias("gone"))

@@ -174,6 +174,19 @@ def test_line_frequency(make):
     assert all(r["kept"] for r in op6_quality_rules.judge(make(copies)).collect())  # copies of one document count once
 
 
+def letters(k):
+    return "".join(chr(97 + int(d)) for d in str(k))
+
+
+def test_lines_count_by_document(make):
+    header = "welcome to the garden pages of our town\nread about roses tulips and all other flowers\nback to the top"
+    assert not any(r["kept"] for r in op6_quality_rules.judge(make([f"{header}\ntitle {letters(k)}" for k in range(60)])).collect())  # inner lines always have the same neighbours
+    refrain = "and so the song goes on and on for ever and ever"
+    song = "\n".join(f"verse {letters(k)} about {letters(7 * k + 1)}\n{refrain}" for k in range(40))
+    rows = {r["doc_id"]: r for r in op6_quality_rules.judge(make([song] + [f"{refrain}\n{letters(k)}" for k in range(5)])).collect()}
+    assert all(rows[k]["kept"] for k in range(1, 6))  # six documents hold the line, however often one repeats it
+
+
 def test_rules_edges(make, texts):
     assert op6_quality_rules.judge(make([])).count() == 0
     kept = op6_quality_rules.keep_good(make(texts))
