@@ -1,13 +1,11 @@
 """Quality rules: cross-document line frequency, in SQL functions only.
 
 Base rules look at one document: too few words, or too many words inside five-word
-windows that come back. The method counts normalised lines over documents: every short
-line (at most ``line_words`` words) is lower-cased, its digits masked and its spaces
-collapsed, and hashed; per host (``source``) the documents holding it are counted, equal
+windows that come back. The method counts normalised lines over documents: every line,
+however long, is lower-cased, its digits masked and its spaces collapsed, and hashed; per host (``source``) the documents holding it are counted, equal
 texts of a host (by a 64-bit hash) as one document. Lines in more than
 ``max_docs`` documents of a host are removed; a document with fewer than ``min_words``
-words left is depleted and rejected. Long lines are never removed: where those repeat,
-documents are copies, which near-duplicate search judges.
+words left is depleted and rejected.
 
 Plan: no shuffle carries texts. Line rows are hashes and counts; counting combines on
 the map side, first by document and then by line, so no task takes all documents of a
@@ -75,7 +73,7 @@ def _key():
     return F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
 
 
-def depleted(docs: DataFrame, max_docs: int = 20, line_words: int = 24, min_words: int = 10) -> DataFrame:
+def depleted(docs: DataFrame, max_docs: int = 20, min_words: int = 10) -> DataFrame:
     """Keys (hashes of doc_id, source and text) of documents with too little left."""
     text = "coalesce(cast(text as string), '')"
     norm = f"transform(filter(split({text}, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'), l -> trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0'), '{SPACE}', ' ')))"
@@ -85,21 +83,20 @@ def depleted(docs: DataFrame, max_docs: int = 20, line_words: int = 24, min_word
         "transform(l, (x, i) -> named_struct('pos', i, 'line', xxhash64(x), 'words', length(x) - length(replace(x, ' ', '')) + 1))",
     )
     rows = docs.select(_key().alias("key"), F.xxhash64(F.col("source").cast("string")).alias("host"), F.xxhash64(F.expr(text)).alias("copies"), F.expr(lines).alias("lines"))
-    rows = rows.select("key", "host", "copies", F.expr("cast(aggregate(lines, 0, (a, x) -> a + x.words) as int)").alias("all_words"), F.expr(f"filter(lines, x -> x.words <= {line_words})").alias("short"))
-    # only documents whose short lines could deplete them are worth joining
-    risky = rows.where(F.expr(f"all_words >= {min_words} and all_words - aggregate(short, 0, (a, x) -> a + x.words) < {min_words}"))
+    rows = rows.withColumn("all_words", F.expr("cast(aggregate(lines, 0, (a, x) -> a + x.words) as int)"))
     frequent = (
-        rows.select("host", "copies", F.explode(F.expr("array_distinct(transform(short, x -> x.line))")).alias("line"))
+        rows.select("host", "copies", F.explode(F.expr("array_distinct(transform(lines, x -> x.line))")).alias("line"))
         .groupBy("host", "line").agg(F.count_distinct("copies").alias("n")).where(F.col("n") > max_docs).select("host", "line")
     )
-    hit = risky.select("key", "host", "all_words", F.inline("short")).join(frequent, ["host", "line"])
+    # a document with fewer words fails the base rules already
+    hit = rows.where(F.col("all_words") >= min_words).select("key", "host", "all_words", F.inline("lines")).join(frequent, ["host", "line"])
     removed = hit.groupBy("key").agg(F.max("all_words").alias("all_words"), F.expr("aggregate(collect_set(named_struct('pos', pos, 'words', words)), 0L, (a, x) -> a + x.words)").alias("gone"))
     return removed.where(F.col("all_words") - F.col("gone") < min_words).select("key")
 
 
-def judge(docs: DataFrame, max_docs: int = 20, line_words: int = 24, min_words: int = 10, broadcast_rows: int = 500_000) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = 20, min_words: int = 10, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with base figures, ``base_failed`` and ``kept``."""
-    bad = checkpointed(depleted(docs, max_docs, line_words, min_words).withColumn("__bad", F.lit(True)).withColumnRenamed("key", "__key"))
+    bad = checkpointed(depleted(docs, max_docs, min_words).withColumn("__bad", F.lit(True)).withColumnRenamed("key", "__key"))
     if bad.count() <= broadcast_rows:
         bad = F.broadcast(bad)
     out = base_stats(docs).withColumn("__key", _key()).join(bad, "__key", "left")

@@ -187,6 +187,12 @@ def test_lines_count_by_document(make):
     assert all(rows[k]["kept"] for k in range(1, 6))  # six documents hold the line, however often one repeats it
 
 
+def test_long_lines_are_removed(make):
+    notice = " ".join(f"notice{letters(k)}" for k in range(30))
+    rows = op6_quality_rules.judge(make([f"{notice}\npage {letters(k)}" for k in range(30)])).collect()
+    assert not any(r["kept"] or r["base_failed"] for r in rows)
+
+
 def test_rules_edges(make, texts):
     assert op6_quality_rules.judge(make([])).count() == 0
     kept = op6_quality_rules.keep_good(make(texts))
