@@ -139,6 +139,23 @@ NEEDED = ("licen", "gpl", "spdx", "copyright", "©", "permission", "redistribut"
 GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)\s+(?:by|under)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
 
 
+def alternatives(pattern: str) -> list[str]:
+    """A pattern's alternatives outside of all brackets."""
+    parts, depth = [""], 0
+    for token in re.findall(r"\\.|\[(?:\\.|[^\]])*\]|.", pattern):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += token
+    return parts
+
+
+def literal(address: str) -> str:
+    """The letters every match of an address pattern begins with."""
+    return re.match(r"[a-z0-9\\./_-]*?(?=[(\[]|\w?[?*+]|\\S|\\b|$)", address).group(0).replace("\\", "")
+
+
 @functools.lru_cache(maxsize=1)
 def rules():
     """All rules in order of priority: (label, priority, doubt, keywords, compiled pattern)."""
@@ -148,8 +165,7 @@ def rules():
         found.append((label, 80, 0.05, keys, rf"{GRANT}(?:{name})"))
         found.append((label, 60, 0.2, keys, rf"(?<!\w)(?:{name})"))
         if address:
-            literal = re.match(r"[a-z0-9\\./_-]*?(?=[(\[]|\w?[?*+]|\\S|\\b|\||$)", address).group(0).replace("\\", "")
-            found.append((label, 65, 0.1, [literal], rf"(?:https?://)?(?:www\.)?(?:{address})"))
+            found.append((label, 65, 0.1, [literal(a) for a in alternatives(address)], rf"(?:https?://)?(?:www\.)?(?:{address})"))
     found += [(label, priority, doubt, [key], pattern) for label, priority, doubt, key, pattern in STATEMENTS]
     order = sorted(range(len(found)), key=lambda k: (-found[k][1], k))
     return [(*found[k][:4], re.compile(found[k][4])) for k in order]

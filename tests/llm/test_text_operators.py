@@ -221,6 +221,13 @@ def test_gate_misses_nothing():
         assert every == bool(op8_licenses.detect(t)), t
 
 
+def test_every_address_opens_its_gate():
+    assert op8_licenses.alternatives(r"a\|b[|]c(?:d|e)|f") == [r"a\|b[|]c(?:d|e)", "f"]
+    assert [d[0] for d in op8_licenses.detect("see http://www.mozilla.org/MPL/MPL-1.1.html")] == ["mpl-1.1"]
+    addresses = [(a, r[3]) for r, (_, _, _, a) in ((r, op8_licenses.LICENSES.get(r[0], [None] * 4)) for r in op8_licenses.rules() if r[1] == 65)]
+    assert addresses and all(len(keys) == len(op8_licenses.alternatives(a)) and all(keys) for a, keys in addresses)
+
+
 def test_license_base(make, texts):
     some = texts + ["The MIT License, the mit-license; MITlicense. Apache license General public LICENSE", "mit mit license license"]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
