@@ -461,7 +461,7 @@ def same_code_pairs(spark, d):
 @query()
 def double_code_pairs(spark, d):
     """[J17, F30]"""
-    return augment.same_code_pairs(tables.preferred(spark, d).where("rank <= 300"), coders.double_codes(F.col("name")))
+    return augment.same_code_pairs(tables.preferred(spark, d), coders.double_codes(F.col("name")))
 
 
 _GRAMS = "select name, unnest(list_concat(list_transform(range(1, length(name) + 1), lambda i: substring(name, i, 1)), list_transform(range(1, length(name)), lambda i: substring(name, i, 2)), list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3)))) as gram"
