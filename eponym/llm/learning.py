@@ -15,7 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     Only doc_ids and labels are sorted (by a hash of the doc_id, so the choice does not
     depend on order); texts are fetched for the chosen rows, by a join with at most
     2 * ``per_class`` ids. Texts over ``most_chars`` are left out of the sample, which
-    bounds what reaches the driver; scoring takes every text whole.
+    bounds what reaches the driver; scoring takes every text whole. A doc_id with several
+    texts gives the smallest of them.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where((crc_mod(F.col("doc_id"), folds) != held_out) & F.col("y").isin(0, 1)).distinct()
     order = [F.xxhash64(F.col("doc_id"), F.lit(label)), F.col("doc_id")]
@@ -24,8 +25,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         return []
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return [(text, y) for _, text, y in sorted({(r["doc_id"], r["text"], r["y"]) for r in rows})]
+    # one text (the smallest) for each chosen doc_id and label, chosen before anything reaches the driver
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return [(text, y) for _, text, y in sorted((r["doc_id"], r["text"], r["y"]) for r in rows)]
 
 
 def sigmoid(z):

@@ -14,8 +14,9 @@ which splits hot lines. Keys of depleted documents are written once; they are br
 when they are few (``broadcast_rows``) and joined by a shuffle otherwise.
 
 Defined cases: null text has no words and fails; a null source is a host of its own;
-repeated rows get the same verdict; an empty table gives an empty result; of other
-columns ``judge`` adds its own names and keeps the rest as they are.
+repeated rows get the same verdict; a text of any length is judged whole; an empty table
+gives an empty result. ``judge`` adds the columns ``STATS``, ``base_failed`` and ``kept``,
+which replace columns of the caller with these names; ``keep_good`` leaves all as they are.
 """
 
 from __future__ import annotations
@@ -125,9 +126,9 @@ g2 as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_
 rep as (select doc_id, sum(least(5, coalesce(nxt - i, 5))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from g2) group by doc_id),
 base as (select w.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from w left join rep using (doc_id)),
 nl as (select doc_id, source, list_transform(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), lambda x: trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) as l from d),
-ln as (select doc_id, source, pos, l[pos] as line, l[pos - 1] as before, l[pos + 1] as after, len(string_split(l[pos], ' ')) as words from (select doc_id, source, l, unnest(range(1, len(l) + 1)) as pos from nl)),
-freq as (select source, line from ln where words <= 24 group by source, line having count(distinct {'b': before, 'a': after}) > 20),
-gone as (select ln.doc_id, sum(ln.words) as n from ln join freq on ln.line = freq.line and ln.source is not distinct from freq.source where ln.words <= 24 group by ln.doc_id),
+ln as (select doc_id, source, l[pos] as line, len(string_split(l[pos], ' ')) as words from (select doc_id, source, l, unnest(range(1, len(l) + 1)) as pos from nl)),
+freq as (select ln.source, ln.line from ln join d using (doc_id) group by ln.source, ln.line having count(distinct d.t) > 20),
+gone as (select ln.doc_id, sum(ln.words) as n from ln join freq on ln.line = freq.line and ln.source is not distinct from freq.source group by ln.doc_id),
 tot as (select doc_id, sum(words) as n from ln group by doc_id)
 select base.doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
  n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,

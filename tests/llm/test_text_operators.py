@@ -164,14 +164,37 @@ def test_rules_equal_brute_force(make, texts):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_stats(some[r["doc_id"]])
 
 
-def test_line_frequency(make):
-    menu, body = "Home About Contact Terms Privacy Sitemap", "This text says something of its own, number {} of many, at some length, so it stays."
-    some = [f"{menu}\n{body.format(i)}" for i in range(30)] + [f"intro{i} x\n{menu}\n{menu} Home More Items Here\nfoot{i} y" for i in range(30)]
-    rows = op6_quality_rules.judge(make(some), max_docs=20).collect()
-    assert all(r["kept"] for r in rows[:30])
-    assert not any(r["kept"] for r in rows[30:]) or all(r["base_failed"] or not r["kept"] for r in rows[30:])
-    copies = ["\n".join(["short line one two three", "short line four five six seven", "and eight nine ten more words"])] * 200
-    assert all(r["kept"] for r in op6_quality_rules.judge(make(copies)).collect())  # copies of one document count once
+def brute_kept(docs, max_docs=20, min_words=10):
+    """Verdicts from sets of documents, for (doc_id, source, text) rows."""
+    lines = {i: [" ".join(re.sub("[0-9]", "0", x.lower()).split()) for x in (t or "").split("\n") if x.strip()] for i, _, t in docs}
+    holders = {}
+    for i, host, t in docs:
+        for x in lines[i]:
+            holders.setdefault((host, x), set()).add(t)
+    out = {}
+    for i, host, t in docs:
+        left = sum(len(x.split()) for x in lines[i] if len(holders[host, x]) <= max_docs)
+        out[i] = not brute_stats(t)[5] and left >= min_words
+    return out
+
+
+def test_line_frequency(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    menu = [" ".join(word() for _ in range(n)) for n in (4, 4, 3, 40, 5, 4)]
+    docs = []
+    for k in range(240):
+        own = [" ".join(word() for _ in range(rng.choice([2, 4, 12]))) for _ in range(rng.randint(0, 2))]
+        picked = menu[: rng.randint(1, 6)] if rng.random() < 0.7 else rng.sample(menu, 2)
+        docs.append((k, ["a", "b", "c", None][rng.choice([0, 0, 0, 1, 2, 3])], "\n".join(own[:1] + picked + own[1:])))
+    docs += [(1000 + k, "copies", "\n".join(menu)) for k in range(60)]  # copies of one document count once
+    docs += [(2000 + k, "over", f"{menu[0].upper()} {k}\n{menu[3]}\n{word()}") for k in range(21)] + [(3000 + k, "at", f"{menu[3]}\n{word()}") for k in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(5)
+    got = {r["doc_id"]: r["kept"] for r in op6_quality_rules.judge(frame).collect()}
+    want = brute_kept(docs)
+    assert got == want
+    rejected = {r["doc_id"] for r in op6_quality_rules.judge(frame).where("not kept and not base_failed").collect()}
+    assert len(rejected) > 30 and sum(want.values()) > 60 and all(want[1000 + k] for k in range(60))
 
 
 def letters(k):
