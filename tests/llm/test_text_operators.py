@@ -42,23 +42,75 @@ def test_classifier_edges(spark, make, texts, module):
     assert [r["doc_id"] for r in module.score(make(["a"], [None]), model).collect()] == [None]
 
 
-def test_gapped_insults():
-    rng = random.Random(5)
+def invented(rng, n):
     syllable = "ba de fi lo mu ra se ti vo na ke".split()
-    word = lambda: "".join(rng.choice(syllable) for _ in range(rng.randint(2, 4)))
-    bad = ["idiot", "moron", "pathetic", "worthless"]
+    return ["".join(rng.choice(syllable) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+
+
+def insulted(rng, phrases, n=240):
     sample = []
-    for k in range(240):
-        words = [word() for _ in range(30)]
+    for k in range(n):
+        words = invented(rng, 30)
         if k % 2:
-            words[rng.randint(0, 29)] = rng.choice(bad)
-        sample.append((" ".join(words), k % 2))
-    model = op3_toxicity.fit(sample)
-    clean = " ".join(word() for _ in range(20))
+            words.insert(rng.randint(0, 29), rng.choice(phrases))
+        sample.append((" ".join(words[:15]) + ". " + " ".join(words[15:]), k % 2))
+    return sample
+
+
+def test_gapped_insults():
+    rng = random.Random(5)
+    model = op3_toxicity.fit(insulted(rng, ["idiot", "moron", "pathetic", "worthless"]))
+    clean = " ".join(invented(rng, 20))
     s = model.scores([clean, clean + " idiot", clean + " i.d.i-o.t", clean + " i d i o t", clean + " idxiot", clean + " worthlesss", clean + " pathhetic", ""])
     assert s[0] < 0.3 and s[7] < 0.3 and (s[1:7] >= 0.3).all()
 
 
+def test_insults_of_several_words():
+    rng = random.Random(6)
+    phrases = ["waste of skin", "dumber than rocks"]
+    sample = insulted(rng, phrases, 600)
+    parts = " ".join(phrases).split()
+    sample = [(t if y else t + " " + " ".join(rng.sample(parts, 2)[:1] + invented(rng, 2) + rng.sample(parts, 1)), y) for t, y in sample]  # the words alone say nothing
+    model = op3_toxicity.fit(sample)
+    toxic = model.scores([" ".join(invented(rng, 8) + [rng.choice(phrases)] + invented(rng, 8)) for _ in range(60)])
+    clean = model.scores([" ".join(invented(rng, 8) + [rng.choice(parts)] + invented(rng, 8)) for _ in range(60)])
+    assert np.mean(toxic >= 0.3) >= 0.9 and np.mean(clean >= 0.3) <= 0.1
+
+
+@pytest.mark.parametrize("d,inserted", [("sf0.01", 0.8), ("sf0.1", 0.8)])
+def test_insults_in_held_out_documents(d, inserted):
+    """Held-out documents with insults: as they are, with marks or spaces, and with a letter put into every insult."""
+    import duckdb
+
+    rows = duckdb.sql(f"select d.doc_id, d.text, l.toxic from '/root/testdata/{d}/documents.parquet' d join '/root/testdata/{d}/labels.parquet' l using (doc_id) where text is not null order by 1").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    model = op3_toxicity.fit([(t, y) for i, t, y in rows if not held(i) and len(t) <= 20_000])
+    insult = re.compile(r"\b(idiot|moron|pathetic|worthless|scum|trash|loser|clown|stupid|disgusting)\b", re.I)
+    toxic, clean = [t for i, t, y in rows if held(i) and y and insult.search(t)], [t for i, t, y in rows if held(i) and not y and not insult.search(t)]
+    rng = random.Random(3)
+
+    def put_in(w):
+        at = rng.randint(1, len(w) - 1)
+        return w[:at] + rng.choice("bcdfghjklmnpqrstvwxz") + w[at:]
+
+    for form, least in ((str, 0.95), (".".join, 0.95), (" ".join, 0.95), (put_in, inserted)):
+        assert np.mean(model.scores([insult.sub(lambda m: form(m.group()), t) for t in toxic]) >= 0.3) >= least
+    assert np.mean(model.scores(clean) >= 0.3) <= 0.05
+
+
+def test_sentences_and_windows():
+    s = op3_toxicity.Sentences(["One two. Three-four a b", None, "", "x1y! z"])
+    assert s.words() == ["one", "two", "threefour", "ab", "xy", "z"] and s.doc.tolist() == [0, 0, 0, 0, 3, 3]
+    assert s.together.tolist() == [True, False, True, False, False]
+    weight = np.random.default_rng(1).normal(size=1 << op3_toxicity.SPACE_BITS).astype(np.float32)
+    got = s.values(weight)
+    for k, w in enumerate(s.words()):  # a word's value is the weighted sum of its own subsequences
+        if len(w) > 2:
+            _, f, v = op3_toxicity.subsequences([w])
+            assert abs(got[k, 0] - (weight[f] * v).sum() / np.sqrt((v * v).sum())) < 1e-4
+    assert np.isinf(got[1, 1]) and np.isfinite(got[2, 1]) and np.isinf(got[3, 1])
+
+
 def test_drop_toxic_keeps_columns(spark, make, texts):
     kept = op3_toxicity.drop_toxic(make(texts), op3_toxicity.Model(prior=0.1))
     assert kept.columns == make(texts).columns and kept.count() == len(texts)
