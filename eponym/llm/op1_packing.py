@@ -1,12 +1,12 @@
 """Best-fit packing with swap-based local search.
 
 Documents become pieces of at most ``capacity`` tokens (only longer documents are cut).
-Pieces are dealt by hash into blocks of about ``block_pieces``; each block is packed by
+Pieces are dealt by their place into blocks of about ``block_pieces``; each block is packed by
 best fit in descending order, then improved by local search over its underfull bins:
-moving a piece, exchanging one for one, or one for two, whenever that raises the sum of
-squared fills, until the emptiest bins run empty. Bins that stay clearly underfull are
-taken apart and packed again with those of other blocks, so the waste is about one bin
-for all blocks of the last round together. A block has a fixed size whatever the input,
+moving a piece, exchanging one for one, one for two, or two for one, whenever that raises
+the sum of squared fills, until the emptiest bins run empty. Bins that stay clearly
+underfull are taken apart and packed again with those of other blocks, round after round,
+until what is left is one block, so the waste is about one bin for all blocks together. A block has a fixed size whatever the input,
 so no task grows with the corpus, and a lost one is redone from the checkpointed pieces.
 
 Defined cases: null text counts as empty; an empty document is one piece holding only
@@ -16,6 +16,7 @@ empty result; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 
@@ -111,87 +112,109 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     return [b for b in bins if b]
 
 
+def _by_length(members: list[int], lengths: np.ndarray):
+    """Distinct lengths of a bin's pieces, a piece of each, and the sums of two pieces with such a pair.
+
+    A bin has few distinct lengths (a sum of k of them is at least k * (k + 1) / 2), however
+    many pieces it holds, and pieces of equal length can stand in for one another.
+    """
+    of: dict[int, list[int]] = {}
+    for i in members:
+        of.setdefault(int(lengths[i]), []).append(i)
+    x = np.array(sorted(of), dtype=np.int64)
+    p, q = np.triu_indices(len(x))
+    again = np.array([len(of[n]) > 1 for n in x.tolist()])
+    some = (p != q) | again[p]
+    p, q = p[some], q[some]
+    return of, x, x[p] + x[q], p, q
+
+
 def _best_step(target, others, bins, fill, lengths, capacity):
     """The exchange that moves most tokens out of ``target``: (bin, given, taken)."""
     if not others:
         return None
-    own = bins[target]
-    x = lengths[own].astype(np.int64)
+    of, x, sums, p, q = _by_length(bins[target], lengths)
     gaps = np.array([capacity - fill[b] for b in others])
-    if own and (x.min() <= gaps.max()):  # a move: the longest piece that fits, where it fits best
-        for k in np.argsort(-x, kind="stable"):
-            fit = np.where(gaps >= x[k], gaps, capacity + 1)
-            if (j := int(fit.argmin())) is not None and fit[j] <= capacity:
-                return others[j], [own[k]], []
+    for n in x[::-1].tolist():  # a move: the longest piece that fits, where it fits best
+        fit = np.where(gaps >= n, gaps, capacity + 1)
+        if fit[j := int(fit.argmin())] <= capacity:
+            return others[j], [of[n][0]], []
     best, found = 0, None
-    x_two = [(int(x[a] + x[b]), a, b) for a in range(len(own)) for b in range(a)] if len(own) <= 64 else []
-    two_sums = np.array([t[0] for t in x_two], dtype=np.int64)
     for j, b in enumerate(others):
         gap = int(gaps[j])
         if gap <= best:
             continue
-        y = lengths[bins[b]].astype(np.int64)
-        gain = x[:, None] - y[None, :]  # one for one
-        gain[(gain > gap)] = -1
-        if gain.size and gain.max() > best:
-            best = int(gain.max())
-            k, m = divmod(int(gain.argmax()), len(y))
-            found = (b, [own[k]], [bins[b][m]])
-        if 1 < len(y) <= 64:  # one for two
-            p, q = np.triu_indices(len(y), 1)
-            gain = x[:, None] - (y[p] + y[q])[None, :]
-            gain[gain > gap] = -1
-            if gain.max() > best:
-                best = int(gain.max())
-                k, m = divmod(int(gain.argmax()), len(p))
-                found = (b, [own[k]], [bins[b][int(p[m])], bins[b][int(q[m])]])
-        if len(two_sums):  # two for one
-            gain = two_sums[:, None] - y[None, :]
-            gain[gain > gap] = -1
+        y_of, y, y_sums, r, s = _by_length(bins[b], lengths)
+        for give, take in ((x, y), (x, y_sums), (sums, y)):  # one for one, one for two, two for one
+            if not len(give) or not len(take):
+                continue
+            # the best partner of each given length is the shortest taken one that still fits
+            at = np.searchsorted(take_sorted := np.sort(take), give - gap)
+            ok = at < len(take)
+            gain = np.where(ok, give - take_sorted[np.minimum(at, len(take) - 1)], -1)
             if gain.max() > best:
-                best = int(gain.max())
-                k, m = divmod(int(gain.argmax()), len(y))
-                found = (b, [own[x_two[k][1]], own[x_two[k][2]]], [bins[b][m]])
+                best, k = int(gain.max()), int(gain.argmax())
+                m = int(np.flatnonzero(take == take_sorted[at[k]])[0])
+                given = [of[int(x[k])][0]] if give is x else _two(of, x, p[k], q[k])
+                taken = [y_of[int(y[m])][0]] if take is y else _two(y_of, y, r[m], s[m])
+                found = (b, given, taken)
     return found
 
 
+def _two(of, x, p, q) -> list[int]:
+    """Two pieces of the lengths at places ``p`` and ``q``."""
+    return of[int(x[p])][:2] if p == q else [of[int(x[p])][0], of[int(x[q])][0]]
+
+
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     lengths = np.asarray(lengths, dtype=np.int64)
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
 def _pack_round(rows: DataFrame, turn: int, blocks: int, capacity: int) -> DataFrame:
-    """Packs every block; ``waste`` is the room left in a row's bin."""
+    """Packs every block; ``waste`` is the room left in a row's bin.
+
+    ``rows`` is a written table, so places in it are the same in every attempt. Blocks are
+    dealt by place and not by any column, so repeated rows and null doc_ids are spread.
+    """
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
         lengths = frame["length"].to_numpy()
         sequence, offset, waste = (np.zeros(len(frame), dtype=np.int64) for _ in range(3))
-        base = (turn << 58) | (int(frame["block"].iloc[0]) << 20)
+        base = (turn << 58) | (int(frame["block"].iloc[0]) << 24)
         for k, members in enumerate(pack_lengths(lengths, capacity)):
             ends = np.cumsum(lengths[members])
             sequence[members], offset[members], waste[members] = base | k, ends - lengths[members], capacity - ends[-1]
         return frame.drop(columns="block").assign(sequence_id=sequence, offset=offset, waste=waste)
 
-    salted = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(blocks)))
+    salted = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(blocks)))
     return salted.groupBy("block").applyInPandas(pack, PACKED + ", waste long")
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, block_pieces: int = 8000, loose: float = 0.02) -> DataFrame:
     """Packs all documents; one row per piece with its sequence and its place there.
 
-    ``block_pieces``: pieces per block. ``loose``: bins with more than this share of
-    room left after the first round are packed again together.
+    ``block_pieces``: pieces per block. ``loose``: bins with more than this share of room
+    left are taken apart after each round and packed again together, until they fit into
+    one block or a repacking round no longer halves them.
     """
-    cut = checkpointed(pieces(docs, path, end_id, capacity))
-    n = cut.count()
-    first = checkpointed(_pack_round(cut, 0, max(1, math.ceil(n / block_pieces)), capacity))
+    rows = checkpointed(pieces(docs, path, end_id, capacity))
     names = [c.split()[0] for c in PACKED.split(", ")]
-    is_loose = F.col("waste") > int(loose * capacity)
-    again = first.where(is_loose).select(*[c.split()[0] for c in PIECES.split(", ")])
-    left = again.count()
-    second = _pack_round(again, 1, max(1, math.ceil(left / block_pieces)), capacity)
-    return first.where(~is_loose).select(*names).unionByName(second.select(*names))
+    n, turn, done = rows.count(), 0, []
+    while True:
+        packed = _pack_round(rows, turn, max(1, math.ceil(n / block_pieces)), capacity)
+        if n <= block_pieces:
+            break
+        packed = checkpointed(packed)
+        is_loose = F.col("waste") > int(loose * capacity)
+        again = packed.where(is_loose).select(*[c.split()[0] for c in PIECES.split(", ")])
+        left = again.count()
+        if turn and 2 * left > n:
+            break
+        done.append(packed.where(~is_loose).select(*names))
+        rows, n, turn = checkpointed(again), left, turn + 1
+    return functools.reduce(DataFrame.unionByName, [*done, packed.select(*names)])
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

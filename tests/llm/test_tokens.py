@@ -124,6 +124,28 @@ def test_local_search_empties_bins():
     assert len(op1_packing.local_search(before, lengths, 100)) == 2  # one for two
 
 
+def test_exchanges_of_many_small_pieces():
+    """The best exchange of bins with hundreds of pieces, against all of them."""
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        lengths = np.concatenate([rng.integers(21, 40, 150), rng.integers(15, 60, 130)])
+        capacity = int(lengths[150:].sum()) + int(rng.integers(1, 14))
+        bins, fill = [list(range(150)), list(range(150, 280))], [int(lengths[:150].sum()), int(lengths[150:].sum())]
+        gap, x, y = capacity - fill[1], lengths[:150], lengths[150:]
+        two = lambda a: (a[:, None] + a[None, :])[np.triu_indices(len(a), 1)]
+        gains = np.concatenate([np.subtract.outer(p, q).ravel() for p, q in ((x, y), (x, two(y)), (two(x), y))])
+        want = gains[(gains <= gap) & (gains > 0)].max(initial=0)
+        other, give, take = op1_packing._best_step(0, [1], bins, fill, lengths, capacity)
+        assert other == 1 and int(lengths[give].sum() - lengths[take].sum()) == want and set(give) <= set(bins[0]) and set(take) <= set(bins[1])
+
+
+def test_repeated_rows_are_spread_over_blocks(spark):
+    rows = spark.createDataFrame([(7 if k % 2 else None, 0, 0, 5, 1) for k in range(6000)], op1_packing.PIECES).repartition(3).checkpoint()
+    packed = op1_packing._pack_round(rows, 0, 10, 100)
+    held = [r["count"] for r in packed.selectExpr("shiftright(sequence_id, 24) as block").groupBy("block").count().collect()]
+    assert len(held) == 10 and max(held) < 800
+
+
 @pytest.mark.parametrize("block,above", [(20, 5), (8000, 1)])
 def test_op1_query(make, texts, block, above):
     texts = texts + ["filler " * k for k in range(1, 60)]
