@@ -1,21 +1,23 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad text.
 
 Two dictionaries are built from a bounded sample of labelled documents (``per_class``
-each). A text is compressed with either; the difference of the two sizes over their sum
-says which kind it resembles, whatever its length. A logistic function of that difference
-(and of its size against the uncompressed text, which tells repeated text), fitted on
-labelled documents that no dictionary was built from, makes the score.
+each). A text is compressed with either; the difference of the two sizes says which kind
+it resembles. It is a sum over the text's parts, so chance moves it by about the root of
+the text's size, and divided by that it means the same for short and long texts. A logistic function of that difference
+alone, fitted on labelled documents that no dictionary was built from, makes the score.
 
 Scoring needs no shuffle; the dictionaries are a closure of fixed size.
 
 Defined cases: null text counts as empty; an empty text has difference 0 and scores as
 such; without labelled rows of both kinds every score is the share of good rows (0.5
-without any); repeated rows score alike; an empty table gives an empty result; other
-columns are ignored.
+without any); repeated rows score alike; texts of any length are compressed whole; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,25 +59,25 @@ class Model:
                 self.ready.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         return self.ready
 
-    def features(self, texts) -> np.ndarray:
+    def differences(self, texts) -> np.ndarray:
+        """Size with the bad dictionary less size with the good one, over the root of the text's size."""
         good, bad = self._compressors()
-        out = np.zeros((len(texts), 4))
+        out = np.zeros(len(texts))
         for k, t in enumerate(texts):
-            raw = utf8(t)
-            if raw:
+            if raw := utf8(t):
                 a, b = len(good.compress(raw)), len(bad.compress(raw))
-                d = (b - a) / (a + b)
-                out[k] = d, d * min(1.0, len(raw) / 400), (a + b) / (2 * len(raw) + 40), 1.0 / (1.0 + len(raw) / 50)
+                out[k] = (b - a) / math.sqrt(len(raw))
         return out
 
     def scores(self, texts) -> np.ndarray:
         if self.final is None:
             return np.full(len(texts), self.prior)
-        return sigmoid(np.column_stack([self.features(texts) * SCALE, np.ones(len(texts))]) @ self.final)
+        slope, constant = self.final
+        return sigmoid(slope * SCALE * self.differences(texts) + constant)
 
 
-#: Brings the features to like ranges before the ridge.
-SCALE = np.array([20.0, 20.0, 4.0, 2.0])
+#: Brings the difference to a range of about one before the ridge.
+SCALE = 1.0
 
 
 def fit(sample: list[tuple[str, int]], size: int = 112_640) -> Model:
@@ -89,8 +91,8 @@ def fit(sample: list[tuple[str, int]], size: int = 112_640) -> Model:
     if not all(any(b) for b in built) or len(set(y[calibrates].tolist())) < 2:
         return Model(prior=float(np.clip(y.mean(), 0.01, 0.99)))
     model = Model(dictionary(built[0], size), dictionary(built[1], size))
-    x = model.features([t for (t, _), c in zip(sample, calibrates) if c])
-    model.final = logistic(x * SCALE, y[calibrates], ridge=0.05)
+    x = model.differences([t for (t, _), c in zip(sample, calibrates) if c])
+    model.final = logistic(SCALE * x[:, None], y[calibrates], ridge=0.05)
     return model
 
 

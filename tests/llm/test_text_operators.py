@@ -29,6 +29,25 @@ def test_held_out_accuracy(spark, name, label, folds, fold, least):
     assert sum(r["predicted"] == r[label] for r in held) / len(held) >= least
 
 
+def test_quality_is_the_size_difference():
+    import zstandard
+
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(60))
+    bad = lambda: " ".join(rng.choice("BUY!! NOW!! CLICK!! FREE!! WIN!! HERE!!".split()) for _ in range(60))
+    model = op7_quality.fit([(good() if y else bad(), y) for y in [0, 1] * 150])
+    texts = [good(), bad(), good()[:30], "", None]
+    sizes = []
+    for t in texts:
+        raw = (t or "").encode()
+        a, b = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw)) for d in (model.good, model.bad))
+        sizes.append((b - a) / len(raw) ** 0.5 if raw else 0.0)
+    assert np.allclose(model.differences(texts), sizes)
+    assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-(model.final[0] * np.array(sizes) + model.final[1]))))
+    s = model.scores(texts)
+    assert s[0] > 0.9 and s[1] < 0.1 and s[2] > 0.5 and s[3] == s[4]
+
+
 @pytest.mark.parametrize("module", [op3_toxicity, op7_quality])
 def test_classifier_edges(spark, make, texts, module):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
