@@ -3,17 +3,20 @@
 Rules are matched in SQL functions: a rule fits its host and all subdomains when the
 path starts with the rule's, and the longest fitting rule gives the verdict. Where none
 fits, boosted regression trees (logistic loss, histogram splits, fitted here with numpy)
-judge the url by length, depth, digit ratio, entropy, parameter counts, marks in the host,
-suffix statistics and the weight of the host's name parts. They are trained on labelled
-URLs: ``SEED_PARTS`` holds hand-labelled host-name parts, from which ``labelled_urls``
-composes a fixed set of labelled URLs with the shapes that URLs of either kind share;
-``train`` takes any labelled URLs instead.
+judge the url by its length, depth, digit ratio, entropy, parameter counts and suffix
+statistics: the share of unwanted URLs under the host's last one, two and three names.
+
+The trees learn from a bounded sample (``most``) of the pages' own URLs, labelled by the
+rules: unwanted if a rule blocks them, else wanted, as nothing else says what is unwanted.
+The model thus learns which kinds of hosts and URLs the block rules are aimed at.
 
 Scoring needs no shuffle; the model is a closure of fixed size.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule
-and is judged by the method; repeated rows get the same verdict; an empty table gives an
-empty result; other columns are ignored.
+and is judged by the method; a null page_id stays null; where the sample has no URLs of
+both kinds every score is the share of unwanted ones (0 without any); urls of any length
+are judged whole; repeated rows get the same verdict; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,51 +37,6 @@ from .learning import sigmoid
 #: (verdict, host, path), fixed values.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-#: Hand-labelled parts of host names: 1 unwanted, 0 wanted.
-SEED_PARTS = {
-    1: "casino bet bets betting poker slots jackpot win winner lottery pills pharma viagra cialis cheap discount replica loan loans payday credit-fix spam farm click clicks popup ads adserver track tracker tracking banner affiliate adult xxx porn sex cams escort dating hookup torrent warez crack keygen serial free-bets freebie giveaway prize bonus forex binary bitcoin-doubler doubler hacked phish login-verify verify-account secure-update malware clickbait seo-links backlinks link-farm".split(),
-    0: "news blog wiki docs journal library museum school university college science research health clinic city council gov weather recipes garden travel history music art books review forum support help learn course code dev data maps market store shop company bank energy garden-club sports football chess cinema radio theatre kitchen family parish church village archive gallery lab institute society foundation press magazine tribune gazette times herald".split(),
-}
-SUFFIXES = ["com", "org", "net", "info", "co.uk", "de", "fr", "es", "io", "edu", "biz", "top", "xyz"]
-#: Of every ten labelled URLs under these suffixes, how many more are unwanted (fixed values).
-WORSE = {"biz": 2, "top": 3, "xyz": 3}
-
-
-def labelled_urls(n: int = 6000, seed: int = 11) -> list[tuple[str, int]]:
-    """A fixed set of labelled URLs composed of the labelled parts.
-
-    Unwanted hosts join labelled parts, mostly by hyphens; wanted ones are plain words,
-    invented words or labelled parts. Schemes, subdomains, depths, numbers, parameters
-    and fragments follow the same odds for both, save that unwanted URLs carry somewhat
-    more parameters and digits.
-    """
-    rng = np.random.default_rng(seed)
-    syllables = "an ber con del en fir gal her in jor kel lin mer nor or per quin ros sel ther tion tor un ver wal".split()
-    pick = lambda a: a[int(rng.integers(len(a)))]
-    out = []
-    for k in range(n):
-        y = int(k % 3 == 0)
-        if y:
-            host = "-".join(pick(SEED_PARTS[1]) for _ in range(int(rng.integers(1, 4)))) if rng.random() < 0.8 else pick(SEED_PARTS[1]) + pick(SEED_PARTS[1]) + str(rng.integers(100))
-            if rng.random() < 0.4:
-                host += "-" + pick(["x", "win", "now", "24", "best", "online", "track", "farm"])
-        else:
-            u = rng.random()
-            host = "".join(pick(syllables) for _ in range(int(rng.integers(1, 5)))) if u < 0.6 else pick(SEED_PARTS[0]) if u < 0.75 else pick(SEED_PARTS[0]) + pick(["", "-"]) + pick(SEED_PARTS[0])
-        suffix = pick(SUFFIXES)
-        if not y and rng.random() < WORSE.get(suffix, 0) / 5:
-            suffix = pick(SUFFIXES[:8])
-        if rng.random() < 0.5:
-            host = f"{host}.example"
-            suffix = pick(SUFFIXES[:3])
-        path = f"/{pick(['en', 'de', 'fr', 'es', 'a', 'p', 'item'])}/{rng.integers(1, 10 ** int(rng.integers(1, 7)))}" + pick(["", "", ".html", "/"]) + (f"/{pick(syllables)}{pick(syllables)}" if rng.random() < 0.2 else "")
-        query = ""
-        if rng.random() < 0.35 + 0.15 * y:
-            query = "?" + "&".join(f"{pick(['page', 'ref', 'utm_source', 'id', 'q', 'sid'])}={pick(['2', 'x', 'feed', 'abc', str(rng.integers(10**6))])}" for _ in range(int(rng.integers(1, 3 + y))))
-        out.append((f"{pick(['http', 'https'])}://{pick(['', '', 'www.', 'm.', 'blog.'])}{host}.{suffix}{path}{query}{pick(['', '', '', '#top'])}", y))
-    return out
-
-
 def split_url(url: str | None) -> tuple[str, str, str]:
     """Host, path and the rest, as the rules see them."""
     if url is None or "://" not in url:
@@ -92,34 +51,39 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
+def suffixes(host: str) -> list[str]:
+    """The host's suffixes of one, two and three names: ``com``, ``example.com``, ``a.example.com``."""
+    names = host.split(".") if host else []
+    return [".".join(names[-k:]) for k in range(1, min(3, len(names)) + 1)]
+
+
 class Features:
-    """Lexical features; part and suffix statistics come from the training URLs."""
+    """Lexical features of a url; the suffix statistics come from the training URLs."""
 
-    def __init__(self, labelled: list[tuple[str, int]]):
-        parts, suffixes, n = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), [1, 1]
+    def __init__(self, labelled: list[tuple[str, int]], most: int = 20_000, weight: float = 8.0):
+        """``most`` suffixes are kept; a longer suffix leans on the next shorter one by ``weight`` URLs."""
+        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for url, y in labelled:
-            host = split_url(url)[0]
-            n[y] += 1
-            for p in set(self.parts(host)):
-                parts[p][y] += 1
-            suffixes[host.rpartition(".")[2]][y] += 1
-        odds = lambda c: math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
-        self.part_odds = {p: odds(c) for p, c in parts.items() if sum(c) >= 3}
-        self.suffix_odds = {s: odds(c) for s, c in suffixes.items() if sum(c) >= 3}
-
-    @staticmethod
-    def parts(host: str) -> list[str]:
-        return [p for p in re.split(r"[^a-z]+", host.rpartition(".")[0]) if p and p not in ("www", "m", "blog", "example")]
+            for s in suffixes(split_url(url)[0]):
+                counts[s][y] += 1
+        rate = (sum(y for _, y in labelled) + 1) / (len(labelled) + 2)
+        self.rate, self.share = rate, {}
+        for s in sorted(sorted(counts, key=lambda s: (-sum(counts[s]), s))[:most], key=lambda s: (s.count("."), s)):
+            above = self.share.get(s.partition(".")[2], rate)
+            self.share[s] = (counts[s][1] + weight * above) / (sum(counts[s]) + weight)
 
     def of(self, url: str | None) -> list[float]:
         host, path, rest = split_url(url)
         text = url or ""
         query = rest[1:].split("#")[0] if rest[:1] == "?" else ""
-        odds = [self.part_odds.get(p, 0.0) for p in self.parts(host)] or [0.0]
+        shares, last = [], self.rate
+        for s in suffixes(host):
+            shares.append(last := self.share.get(s, last))
+        shares += [last] * (3 - len(shares))
+        digits = sum(c.isdigit() for c in text)
         return [
-            len(text), len(host), len(path), path.count("/"), sum(c.isdigit() for c in text) / max(1, len(text)), sum(c.isdigit() for c in host),
-            entropy(host), entropy(path), query.count("=") + 0.0, len(query), host.count("-"), host.count("."),
-            self.suffix_odds.get(host.rpartition(".")[2], 0.0), max(odds), min(odds), sum(odds),
+            len(text), len(host), len(path), path.count("/"), host.count("."), host.count("-"), digits / max(1, len(text)), sum(c.isdigit() for c in host),
+            entropy(host), entropy(path), query.count("="), len(query), "#" in rest, *shares,
         ]
 
     def matrix(self, urls) -> np.ndarray:
@@ -179,16 +143,22 @@ class BoostedTrees:
 
 
 class Model:
+    """Trees on lexical features; ``prior`` where there is nothing to learn from."""
+
     def __init__(self, labelled: list[tuple[str, int]]):
-        self.features = Features(labelled)
-        self.trees = BoostedTrees().fit(self.features.matrix([u for u, _ in labelled]), np.array([y for _, y in labelled]))
+        y = np.array([v for _, v in labelled], dtype=float)
+        self.prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.0
+        self.trees = None
+        if len(y) and 0 < y.mean() < 1:
+            # suffix statistics come from one half and the trees from the other, so these do not see their own labels in them
+            half = np.random.default_rng(5).random(len(labelled)) < 0.5
+            self.features = Features([x for x, h in zip(labelled, half) if h])
+            self.trees = BoostedTrees(least=80.0).fit(self.features.matrix([u for (u, _), h in zip(labelled, half) if not h]), y[~half])
 
     def scores(self, urls) -> np.ndarray:
-        return self.trees.score(self.features.matrix(urls)) if len(urls) else np.zeros(0)
-
-
-def train(labelled: list[tuple[str, int]] | None = None) -> Model:
-    return Model(labelled_urls() if labelled is None else labelled)
+        if not len(urls):
+            return np.zeros(0)
+        return np.full(len(urls), self.prior) if self.trees is None else self.trees.score(self.features.matrix(urls))
 
 
 def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -205,21 +175,37 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
+def labelled_urls(pages: DataFrame, rules=RULES, most: int = 20_000) -> list[tuple[str, int]]:
+    """At most ``most`` URLs with labels from the explicit rules, chosen by a hash of page_id and url.
+
+    1: a rule blocks it. 0: a rule allows it, or none fits, as only rules say what is unwanted.
+    """
+    rows = with_rules(_urls(pages).where(F.col("url").contains("://")), rules).select("page_id", "url", (F.col("rule_verdict") == "block").alias("y"))
+    order = [F.xxhash64("page_id", "url"), F.col("url"), F.col("page_id")]
+    return [(r["url"], int(bool(r["y"]))) for r in rows.orderBy(*order).limit(most).collect()]
+
+
+def train(pages: DataFrame, rules=RULES, most: int = 20_000) -> Model:
+    return Model(labelled_urls(pages, rules, most))
+
+
+def _urls(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+
+
 def judge(pages: DataFrame, model: Model, rules=RULES, block_from: float = 0.5) -> DataFrame:
     """One row per page: host, path, rule, verdict and the method's score."""
 
-    def score(batches):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for urls in batches:
             yield pd.Series(model.scores(urls.tolist()))
 
-    from collections.abc import Iterator
-
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     scored = F.pandas_udf(score, "double")
-    rows = with_rules(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumn("url", F.coalesce("url", F.lit(""))), rules)
-    rows = rows.withColumn("score", scored("url"))
+    rows = with_rules(_urls(pages), rules).withColumn("score", scored("url"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("score") >= block_from, "block").otherwise("allow")).alias("verdict"), "score")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), train())
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, train(pages))
