@@ -75,6 +75,39 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+LOWEST = -(2**63)
+
+
+class RangeShards:
+    """Shards of rows by ranges of (id, spread), with about ``shard_rows`` rows each, however many rows an id has.
+
+    ``rows`` has the long columns ``id`` and ``spread``, which tells rows of one id apart.
+    The bounds are quantiles of a sample that a hash of the pair chooses, about
+    ``per_shard`` pairs for every shard; only these reach the driver. Range shards of a
+    sample differ in size by a fraction of themselves, whatever the number of shards.
+    """
+
+    def __init__(self, rows: DataFrame, shard_rows: int, per_shard: int = 32):
+        n = rows.count()
+        self.shards, self.ids, self.spreads = max(1, -(-n // shard_rows)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.shards > 1:
+            share = min(1.0, per_shard * self.shards / n)
+            chosen = rows.where(F.pmod(F.xxhash64("id", "spread", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "spread").toArrow()
+            ids, spreads = (chosen.column(c).to_numpy() for c in ("id", "spread"))
+            order = np.lexsort((spreads, ids))
+            at = order[(np.arange(1, self.shards) * len(order)) // self.shards] if len(order) else order
+            self.ids, self.spreads = ids[at], spreads[at]
+
+    def of(self, ids: np.ndarray, spreads: np.ndarray) -> np.ndarray:
+        """The shard of each (id, spread)."""
+        low, high = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        out = low.astype(np.int32)
+        for k in np.flatnonzero(low < high).tolist():  # ids on a bound, which the spread decides
+            a, b = int(low[k]), int(high[k])
+            out[k] = a + int(np.searchsorted(self.spreads[a:b], spreads[k], side="right"))
+        return out
+
+
 def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     """``docs``, with fewer rows to an Arrow batch where the session still has the default.
 

@@ -18,14 +18,14 @@ a side; a pair that shares several keys counts under the first. ``near_counts``
 number of near documents and the smallest doc_id among them and the document itself.
 
 ``with_edited`` pairs each document with the next in descending doc_id (after the last:
-the first). Rows are dealt to shards by doc_id ranges whose bounds come from quantiles of
-the doc_ids alone; the first row of a shard is also sent to the shard before it, so every
-shard finds all its neighbours. Texts cross the network once.
+the first). Rows are dealt to shards by ranges of doc_id and a hash of the text, whose
+bounds come from a sample of these alone; the first row of a shard is also sent to the
+shard before it, so every shard finds all its neighbours. Texts cross the network once.
 
 Defined cases: null text counts as empty, its fingerprint is all zeros and like only to
 itself; a single document is its own next one; rows with equal doc_id follow one another
-in the order of their texts; a null doc_id counts as the smallest; an empty table gives
-an empty result; other columns are ignored.
+in the order of a hash of their texts; a null doc_id counts as the smallest; texts of any
+length are walked whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, small_batches, table, utf8
+from .common import LOWEST, RangeShards, checkpointed, mix64, small_batches, table, utf8
 
 BINS, CLASSES, PERIOD = 256, 64, 1 << 16
-LOWEST = -(2**63)
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -164,27 +163,28 @@ def embedding() -> Embedding:
     return _SHARED[0]
 
 
-def with_edited(docs: DataFrame, shard_docs: int = 8192, most_shards: int = 20_000, batch_chars: int = 5_000_000) -> DataFrame:
+def with_edited(docs: DataFrame, shard_docs: int = 8192, batch_chars: int = 5_000_000) -> DataFrame:
     """One row per document with its fingerprint, its edited text's, and their likeness."""
-    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
-    ids = rows.select("id")
-    shards = max(1, min(most_shards, math.ceil(ids.count() / shard_docs)))
-    bounds = np.array([] if shards == 1 else ids.select(F.percentile_approx("id", [k / shards for k in range(1, shards)], 20 * shards)).head()[0] or [], dtype=np.int64)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), text.alias("text"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text).alias("spread"))
+    ids = rows.select("id", "spread")
+    bounds = RangeShards(ids, shard_docs)
 
     @F.pandas_udf("int")
-    def shard_of(id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, id.to_numpy(), side="right").astype(np.int32))
+    def shard_of(id: pd.Series, spread: pd.Series) -> pd.Series:
+        return pd.Series(bounds.of(id.to_numpy(), spread.to_numpy()))
 
-    tops = sorted((r["shard"], r["top"]) for r in ids.select("id", shard_of("id").alias("shard")).groupBy("shard").agg(F.max("id").alias("top")).collect())
+    found = ids.select("id", "spread", shard_of("id", "spread").alias("shard")).groupBy("shard").agg(F.max(F.struct("id", "spread")).alias("top")).collect()
+    tops = sorted((r["shard"], tuple(r["top"])) for r in found)
     also = {top: tops[(k + 1) % len(tops)][0] for k, (_, top) in enumerate(tops)}  # a shard's first row follows the last of the next higher shard
 
     @F.pandas_udf("array<int>")
-    def places(id: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, id.to_numpy(), side="right").tolist()
-        return pd.Series([[s, also[i]] if i in also else [s] for s, i in zip(own, id.tolist())])
+    def places(id: pd.Series, spread: pd.Series) -> pd.Series:
+        own = bounds.of(id.to_numpy(), spread.to_numpy()).tolist()
+        return pd.Series([[s, also[at]] if at in also else [s] for s, at in zip(own, zip(id.tolist(), spread.tolist()))])
 
-    dealt = rows.select("id", "text", "no_id", F.posexplode(places("id")).alias("ghost", "shard"))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("ghost", F.desc("id"), "text").select("id", "text", "no_id", "ghost")
+    dealt = rows.select("id", "spread", "text", "no_id", F.posexplode(places("id", "spread")).alias("ghost", "shard"))
+    dealt = dealt.repartitionById(bounds.shards, F.col("shard")).sortWithinPartitions("ghost", F.desc("id"), F.desc("spread"), "text").select("id", "text", "no_id", "ghost")
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])

@@ -8,24 +8,26 @@ lengths; a run never crosses a document. Decoding handles all words of a block a
 
 File: blocks one after another, then an index, then a footer. A block is the words of
 whole documents, about ``block_ids`` ids. The index holds, as little-endian arrays, per
-document its doc_id (int64) and ids (int64), and per block its byte offset, words, first
-document, documents and ids (int64 each), so any block can be decoded alone. The footer
+document its doc_id (int64), its number of ids (int64) and whether its doc_id is known or
+null (a byte), and per block its byte offset, words, first document, documents and ids
+(int64 each), so any block can be decoded alone. The footer
 is documents, blocks, ids, the index's byte offset (int64 each) and the magic ``EPS8B001``.
 
 Documents are encoded where they are read; the coded documents (not the texts) are dealt
-to shards by doc_id ranges, whose bounds come from quantiles of the doc_ids alone, and
-sorted. A shard is written to the session's shared folder under a name of its own and
-moved into place, so a second attempt of a lost task leaves the same file.
+to shards by ranges of doc_id and place, whose bounds come from a sample of these alone, so
+rows of one doc_id can fill many shards, and sorted. A shard has about ``shard_docs``
+documents however many there are; the driver holds a few sampled ids and one row a shard. A shard is written to the session's shared folder under a name of its own and
+moved into place, so a second attempt of a lost task leaves the same file. The files stay
+there, as the result reads them; whoever ends the session's folder removes them.
 
 Defined cases: null text counts as empty; an empty document holds just the end id; rows
-with equal doc_id are kept and ordered by their ids; a null doc_id sorts first and comes
-back null (kept as the lowest long in the file); an empty table gives an empty result;
+with equal doc_id are kept, in the order of the table; a null doc_id sorts first and comes
+back null; texts of any length are coded whole; an empty table gives an empty result;
 columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 import zlib
 
@@ -35,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table, task_memory
+from .common import LOWEST, RangeShards, shared_dir, small_batches, table, task_memory
 from .tokens import WORD_TOKENIZER, tokenizer_path, word_encoder
 
 MAGIC = b"EPS8B001"
@@ -43,12 +45,11 @@ MAGIC = b"EPS8B001"
 COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = 13
-NO_ID = -(2**63)
 SELECTORS = np.full(61, ESCAPE, dtype=np.uint8)
 SELECTORS[COUNTS] = np.arange(len(COUNTS))
 #: Bit lengths of small ids.
 WIDTHS = np.frexp(np.arange(65_536, dtype=np.float64))[1].astype(np.uint8)
-CODED = "doc_id long, n_tokens long, words binary, shard int"
+CODED = "doc_id long, spread long, n_tokens long, words binary, shard int"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
@@ -116,12 +117,19 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def encode(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    """Texts with ``id`` and ``spread``, by which rows are sorted: nulls first, then by doc_id, rows of one doc_id by their place in ``docs``."""
+    null, doc_id = F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("doc_id")
+    spread = F.monotonically_increasing_id() - F.when(null, F.lit(1 << 62)).otherwise(F.lit(0))
+    return docs.select(doc_id, F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), spread.alias("spread"))
+
+
+def encode(docs: DataFrame, path: str, end_id: int, shards: RangeShards) -> DataFrame:
     """Coded documents with the shard of their doc_id."""
 
     def run(batches):
-        encoder, end, edges = word_encoder(path), np.array([end_id], dtype="<u4").tobytes(), np.array(bounds, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("words", pa.binary()), ("shard", pa.int32())])
+        encoder, end = word_encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        schema = pa.schema([("doc_id", pa.int64()), ("spread", pa.int64()), ("n_tokens", pa.int64()), ("words", pa.binary()), ("shard", pa.int32())])
         with task_memory(encoder):
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
@@ -130,33 +138,29 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFr
                     lengths = np.array([len(i) // 4 for i in coded], dtype=np.int64)
                     words, sizes = encode_ids(np.frombuffer(b"".join(coded), dtype="<u4"), lengths)
                     raw, cut = words.tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * 8
-                    doc_id = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                    ids, spreads = (part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(0),
+                            part.column(3),
                             pa.array(lengths),
                             pa.array([raw[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary()),
-                            pa.array(np.searchsorted(edges, doc_id, side="right").astype(np.int32)),
+                            pa.array(shards.of(ids, spreads)),
                         ],
                         schema=schema,
                     )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CODED)
+    return _rows(small_batches(docs)).mapInArrow(run, CODED)
 
 
-def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_docs: int = 8192, most_shards: int = 20_000, block_ids: int = 65_536) -> DataFrame:
+def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_docs: int = 8192, block_ids: int = 65_536) -> DataFrame:
     """Writes all documents; one row per shard file. The result's rows are few: one a shard."""
-    n = docs.count()
-    shards = max(1, min(most_shards, math.ceil(n / shard_docs)))
-    bounds: list[int] = []
-    if shards > 1:
-        quantiles = [k / shards for k in range(1, shards)]
-        bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), quantiles, 20 * shards)).head()[0] or []
-    coded = encode(docs, path, end_id, bounds).repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "n_tokens", "words")
+    shards = RangeShards(_rows(docs).select("id", "spread"), shard_docs)
+    coded = encode(docs, path, end_id, shards).repartitionById(shards.shards, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "spread")
 
     def run(batches):
         out = None
-        doc_ids, n_ids, blocks, pending, pending_ids, offset = [], [], [], [], 0, 0
+        doc_ids, known, n_ids, blocks, pending, pending_ids, offset = [], [], [], [], [], 0, 0
 
         def flush():
             nonlocal pending, pending_ids, offset
@@ -168,14 +172,15 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_docs: int
 
         shard = fs = final = temp = None
         for batch in batches:
-            for doc, n_tokens, words, of in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for doc, n_tokens, words, of in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 if out is None:
                     shard = of
                     fs, root = _open(folder)
                     final, temp = f"{root}/shard-{shard:06d}.s8b", f"{root}/.shard-{shard:06d}-{uuid.uuid4().hex}"
                     fs.create_dir(root)
                     out = fs.open_output_stream(temp)
-                doc_ids.append(NO_ID if doc is None else doc)
+                doc_ids.append(0 if doc is None else doc)
+                known.append(doc is not None)
                 n_ids.append(n_tokens)
                 pending.append(words)
                 pending_ids += n_tokens
@@ -187,6 +192,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_docs: int
             flush()
         out.write(np.array(doc_ids, dtype="<i8").tobytes())
         out.write(np.array(n_ids, dtype="<i8").tobytes())
+        out.write(np.array(known, dtype="u1").tobytes())
         out.write(np.array(blocks, dtype="<i8").tobytes())
         out.write(np.array([len(doc_ids), len(blocks), sum(n_ids), offset], dtype="<i8").tobytes() + MAGIC)
         size = out.tell()
@@ -198,7 +204,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_docs: int
 
 
 def read_file(uri: str):
-    """Yields per block of a file: doc_ids, ids per document, and all its ids."""
+    """Yields per block of a file: doc_ids, whether each is known (else it is null), ids per document, and all its ids."""
     fs, path = _open(uri)
     with fs.open_input_file(path) as f:
         size = f.size()
@@ -210,13 +216,14 @@ def read_file(uri: str):
         f.seek(index)
         doc_ids = np.frombuffer(f.read(8 * n_docs), dtype="<i8")
         n_ids = np.frombuffer(f.read(8 * n_docs), dtype="<i8")
+        known = np.frombuffer(f.read(n_docs), dtype="u1").astype(bool)
         blocks = np.frombuffer(f.read(40 * n_blocks), dtype="<i8").reshape(-1, 5)
         for offset, words, first, docs, ids in blocks.tolist():
             f.seek(offset)
             got = decode_words(np.frombuffer(f.read(8 * words), dtype="<u8"))
             if len(got) != ids:
                 raise ValueError(f"{uri}: a block of {ids} ids has {len(got)}")
-            yield doc_ids[first : first + docs], n_ids[first : first + docs], got
+            yield doc_ids[first : first + docs], known[first : first + docs], n_ids[first : first + docs], got
 
 
 def read(spark: SparkSession, manifest: list) -> DataFrame:
@@ -232,11 +239,11 @@ def read(spark: SparkSession, manifest: list) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for doc_ids, n_ids, ids in read_file(path):
+                for doc_ids, known, n_ids, ids in read_file(path):
                     raw, cut = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(n_ids)])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(doc_ids, mask=doc_ids == NO_ID),
+                            pa.array(doc_ids, mask=~known),
                             pa.array(start + cut[:-1]),
                             pa.array(n_ids),
                             pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.int64()),

@@ -499,6 +499,19 @@ def test_fingerprints(make, texts, shard_docs):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
 
 
+def test_long_texts_and_ties(spark):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    long = word(150_000)  # its walk goes round the shared bits several times
+    docs = [(3, long), (2, long[:70_000] + "X" + long[70_001:]), (1, word(150_000))] + [(0, word(50)) for _ in range(30)] + [(None, "n")]
+    rows = op10_fingerprints.with_edited(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shard_docs=5).collect()
+    assert len(rows) == len(docs)
+    of = {r["n_chars"] * 10 + (r["doc_id"] or 0): r for r in rows if r["doc_id"]}
+    assert of[1_500_003]["fingerprint"] == brute_fingerprint(long) and of[1_500_003]["near_next"] > 0.9 and of[1_500_002]["near_next"] < 0.3
+    edited = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a in (t for _, t in docs) for b in (t for _, t in docs)}
+    assert all(r["edited_sha256"] in edited for r in rows)
+
+
 def test_fingerprint_likeness(make):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(2000))

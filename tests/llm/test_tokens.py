@@ -100,10 +100,34 @@ def test_op2_edges(make):
 def test_file_format(tmp_path, spark, make, texts):
     made = op2_simple8b.write(make(texts), WORD, 2, str(tmp_path / "t"), shard_docs=4, block_ids=50).collect()
     assert sum(r["n_docs"] for r in made) == len(texts)
-    back = [(int(d), ids[a:b].tolist()) for r in sorted(made, key=lambda r: r["shard"]) for docs, n, ids in op2_simple8b.read_file(r["path"]) for d, a, b in zip(docs, np.cumsum(n) - n, np.cumsum(n))]
+    back = [(int(d), ids[a:b].tolist()) for r in sorted(made, key=lambda r: r["shard"]) for docs, _, n, ids in op2_simple8b.read_file(r["path"]) for d, a, b in zip(docs, np.cumsum(n) - n, np.cumsum(n))]
     assert back == [(i, plain(WORD, t) + [2]) for i, t in enumerate(texts)]
 
 
+def test_shards_split_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    from eponym.llm.common import RangeShards
+
+    rows = spark.range(20_000, numPartitions=4).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("id"), F.xxhash64("id").alias("spread"))
+    shards = RangeShards(rows, 1000)
+    held = rows.toPandas()
+    of = shards.of(held["id"].to_numpy(), held["spread"].to_numpy())
+    assert shards.shards == 20 and np.bincount(of, minlength=20).max() < 2500 and len(set(of[held["id"] == 7])) >= 8
+    order = np.lexsort((held["spread"], held["id"]))
+    assert (np.diff(of[order]) >= 0).all()
+
+
+def test_null_lowest_and_repeated_ids(spark, tmp_path):
+    texts = [(None, "a b"), (-(2**63), "c"), (5, "d e f"), (5, "g"), (None, None), (5, "d e f"), (0, "zero")] + [(9, f"many {k}") for k in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = op2_simple8b.write_and_read(frame, WORD, shard_docs=6).collect()
+    assert len({r["start"] for r in rows}) == len(texts) and sum(r["n_tokens"] for r in rows) == sum(len(plain(WORD, t)) + 1 for _, t in texts)
+    by_place = sorted(rows, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in by_place] == [None, None, -(2**63), 0, 5, 5, 5] + [9] * 40
+    assert sorted(r["ids_crc32"] for r in rows) == sorted(crc(plain(WORD, t) + [2]) for _, t in texts)
+
+
 def test_packing_small():
     rng = np.random.default_rng(3)
     for _ in range(40):
