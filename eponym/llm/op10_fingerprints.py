@@ -11,8 +11,8 @@ output's bits. The signs of the sums are the fingerprint (two bit masks in hexad
 positive then negative), over the whole text. The likeness of two fingerprints is the
 cosine of their signs, set straight by the arc-sine law, 0 to 1.
 
-Near documents are found by banding: ``bands`` keys, each of a fixed random sample of
-bins. Equal fingerprints are one class, so a group of copies costs one row per band, and
+Near documents are found by banding: keys, each of the bits of a fixed random sample of
+bins, as many as a pair of the least likeness needs to share one with a chance of 0.9. Equal fingerprints are one class, so a group of copies costs one row per band, and
 all classes under a key are compared with each other, in blocks of at most ``block`` rows
 a side; a pair that shares several keys counts under the first. ``near_counts`` adds the
 number of near documents and the smallest doc_id among them and the document itself.
@@ -224,16 +224,25 @@ def with_edited(docs: DataFrame, shard_docs: int = 8192, batch_chars: int = 5_00
     return dealt.mapInArrow(run, RESULT)
 
 
-SAMPLES = np.argsort(mix64(np.arange(64 * BINS, dtype=np.uint64).reshape(64, BINS) + np.uint64(77)), axis=1)
+MOST_BANDS = 200
+SAMPLES = np.argsort(mix64(np.arange(MOST_BANDS * BINS, dtype=np.uint64).reshape(MOST_BANDS, BINS) + np.uint64(77)), axis=1)
+
+
+def banding(classes: int, least: float, recall: float = 0.9) -> tuple[int, int]:
+    """Bands and bins: keys grow by a bin for each doubling beyond some million classes, so buckets stay as they are, and bands with them, so that a pair of just the least likeness is found with the given chance."""
+    agree = (1 + math.asin(least) * 2 / math.pi) / 2
+    bins = min(20, max(12, math.ceil(math.log2(max(2, classes))) - 8))
+    return min(MOST_BANDS, math.ceil(math.log(1 - recall) / math.log(1 - agree**bins))), bins
 
 
 def band_keys(signs: np.ndarray, bands: int, bins: int) -> np.ndarray:
-    """One key a band for every fingerprint."""
+    """One key a band for every fingerprint: the bits of its bins, a sum of zero counting as positive."""
     out = np.empty((len(signs), bands), dtype=np.int64)
+    bits = (signs >= 0).astype(np.uint64)
     for k in range(bands):
         h = np.full(len(signs), k + 1, dtype=np.uint64)
         for b in SAMPLES[k, :bins]:
-            h = h * np.uint64(3) + (signs[:, b] + 1).astype(np.uint64)
+            h = h * np.uint64(2) + bits[:, b]
         out[:, k] = (mix64(h) >> np.uint64(1)).astype(np.int64)
     return out
 
@@ -303,21 +312,27 @@ def _compared(classes: DataFrame, bands: int, bins: int, least: float, block: in
         return pd.Series(list(band_keys(signs_of(fp.tolist()), bands, bins)) if len(fp) else [], dtype=object)
 
     keyed = small_batches(classes).select("id", "n", F.unhex("fingerprint").alias("fp"), F.posexplode(keys("fingerprint")).alias("band", "key"))
-    large = checkpointed(classes.select(F.explode(keys("fingerprint")).alias("key")).groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    # buckets of more than about a block, estimated from one class in ``rate``; the estimate only sets the size of tasks
+    rate = 1 if block < 1024 else 16
+    some = classes.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(rate)) == 0).select(F.explode(keys("fingerprint")).alias("key"))
+    large = checkpointed(some.groupBy("key").count().where(F.col("count") * rate > block).select("key", F.ceil(F.col("count") * rate / block).cast("int").alias("blocks")))
     large = F.broadcast(large) if large.count() <= broadcast_rows else large
     keyed = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a block of a large bucket meets every other one, and itself
+    # a block of a large bucket meets every other one, and itself; a row is kept small, as there is one for every band
     dealt = keyed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "id", "n", "fp")
-    dealt = dealt.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    flags = F.when(low == high, 0).when(F.col("own") == low, 2).otherwise(3)
+    dealt = dealt.select(F.xxhash64("key", low, high).alias("unit"), F.expr("shiftleft(n, 10) + shiftleft(band, 2)").alias("tag"), flags.cast("long").alias("flags"), "id", "fp")
+    dealt = dealt.select("unit", (F.col("tag") + F.col("flags")).alias("tag"), "id", "fp").repartition(F.col("unit")).sortWithinPartitions("unit")
 
     fields = [("id", pa.int64()), ("n", pa.int64()), ("near_id", pa.int64())] if counts else [("id", pa.int64()), ("near_id", pa.int64()), ("likeness", pa.float64())]
     schema = pa.schema(fields)
 
     def run(batches):
         def result(held):
-            unit, own, band, ids, sizes, fp = (np.concatenate(c) for c in zip(*held))
-            cuts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1), [True]]))
+            unit, tag, ids, fp = (np.concatenate(c) for c in zip(*held))
+            sizes, band, crossed, upper = tag >> 10, (tag >> 2) & 255, (tag & 2) > 0, (tag & 1) > 0
+            cuts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
             total, nearest, found = np.zeros(len(ids), np.int64), ids.copy(), []
 
             def take(x, y, score):
@@ -329,15 +344,14 @@ def _compared(classes: DataFrame, bands: int, bins: int, least: float, block: in
                     found.append((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), score))
 
             length = np.diff(cuts)
-            small = (length <= few) & (unit[cuts[:-1], 1] == unit[cuts[:-1], 2])
+            small = (length <= few) & ~crossed[cuts[:-1]]
             end = np.repeat(np.where(small, cuts[1:], 0), length)
             for near in small_links(fp.view(np.uint64), end, band, bands, bins, least):
                 take(*near)
             for a, z in zip(cuts[:-1][~small], cuts[1:][~small]):
                 bits = np.unpackbits(fp[a:z].reshape(-1, 2, BINS // 8), axis=2).astype(np.int8)
-                low, high = unit[a, 1], unit[a, 2]
-                left = np.flatnonzero(own[a:z] == low)
-                right = left if low == high else np.flatnonzero(own[a:z] == high)
+                left = np.flatnonzero(~upper[a:z])
+                right = np.flatnonzero(upper[a:z]) if crossed[a] else left
                 for x, y, score in bucket_links(bits[:, 0] - bits[:, 1], left, right, int(band[a]), bins, least):
                     take(x + a, y + a, score)
             if counts:
@@ -351,13 +365,12 @@ def _compared(classes: DataFrame, bands: int, bins: int, least: float, block: in
             if not batch.num_rows:
                 continue
             c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            part = [np.column_stack([c[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("key", "low", "high")])]
-            part += [c[n].to_numpy(zero_copy_only=False) for n in ("own", "band", "id", "n")]
+            part = [c[n].to_numpy(zero_copy_only=False) for n in ("unit", "tag", "id")]
             part.append(np.frombuffer(b"".join(c["fp"].to_pylist()), np.uint8).reshape(-1, BINS // 4))
-            changed = np.flatnonzero((part[0] != part[0][-1]).any(axis=1))
+            changed = np.flatnonzero(part[0] != part[0][-1])
             last = int(changed[-1]) + 1 if len(changed) else 0  # where the batch's last unit begins
             rows += batch.num_rows
-            if rows >= held_rows and not last and held and (held[-1][0][-1] != part[0][0]).any():
+            if rows >= held_rows and not last and held and held[-1][0][-1] != part[0][0]:
                 yield result(held)
                 held, rows, last = [], batch.num_rows, 0
             elif rows >= held_rows and last:
@@ -372,19 +385,19 @@ def _compared(classes: DataFrame, bands: int, bins: int, least: float, block: in
     return dealt.mapInArrow(run, "id long, n long, near_id long" if counts else "id long, near_id long, likeness double")
 
 
-def near_links(fingerprints: DataFrame, bands: int = 24, bins: int = 12, least: float = 0.8, block: int = 4096) -> DataFrame:
+def near_links(fingerprints: DataFrame, least: float = 0.8, block: int = 4096) -> DataFrame:
     """Links (doc_id, near_id, likeness): from documents to the smallest doc_id with their fingerprint, and between those of all near fingerprints that share a band key."""
     classes = checkpointed(_classes(fingerprints))
     real = F.when(F.col("near_id") != LOWEST, F.col("near_id")).alias("near_id")
-    between = _compared(classes, bands, bins, least, block, False).select(F.col("id").alias("doc_id"), real, "likeness")
+    between = _compared(classes, *banding(classes.count(), least), least, block, False).select(F.col("id").alias("doc_id"), real, "likeness")
     within = fingerprints.select("doc_id", "fingerprint").join(classes.where("n > 1"), "fingerprint").where(F.col("doc_id") > F.col("id"))
     return between.unionByName(within.select("doc_id", F.col("id").alias("near_id")).select("doc_id", real).distinct().withColumn("likeness", F.lit(1.0)))
 
 
-def near_counts(fingerprints: DataFrame, bands: int = 24, bins: int = 12, least: float = 0.8, block: int = 4096) -> DataFrame:
+def near_counts(fingerprints: DataFrame, least: float = 0.8, block: int = 4096) -> DataFrame:
     """``fingerprints`` with ``n_near``, the number of other documents with an equal fingerprint or a near one that shares a band key, and ``near_id``, the smallest doc_id among them and the document's own."""
     classes = checkpointed(_classes(fingerprints))
-    linked = _compared(classes, bands, bins, least, block, True).groupBy("id").agg(F.sum("n").alias("more"), F.min("near_id").alias("near_id"))
+    linked = _compared(classes, *banding(classes.count(), least), least, block, True).groupBy("id").agg(F.sum("n").alias("more"), F.min("near_id").alias("near_id"))
     some = classes.join(linked, "id", "left").where("n > 1 or more is not null").select("fingerprint", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), F.coalesce(F.least("id", "near_id"), "id").alias("__near"))
     out = fingerprints.join(checkpointed(some), "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     near = F.when(F.col("__near").isNull(), F.col("doc_id")).when(F.col("__near") != LOWEST, F.col("__near"))

@@ -556,6 +556,20 @@ def test_near_links_beyond_bucket_heads(spark, block):
     assert got == {i: (int((row >= 0.8).sum()) - 1, int(np.flatnonzero(row >= 0.8)[0])) for i, row in enumerate(like)}
 
 
+def test_banding_recall(spark):
+    """Near pairs of fingerprints of the tables' texts, against all pairs."""
+    f = op10_fingerprints.with_edited(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("doc_id", "fingerprint").checkpoint()
+    links = {(r["doc_id"], r["near_id"]) for r in op10_fingerprints.near_links(f).collect()}
+    frame = f.toPandas().groupby("fingerprint")["doc_id"].min().reset_index()
+    signs, ids = op10_fingerprints.signs_of(frame["fingerprint"].tolist()), frame["doc_id"].to_numpy()
+    near = {(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in np.argwhere(np.triu(brute_likeness(signs) >= 0.8, 1))}
+    assert len(near) > 100 and len(near & links) >= 0.9 * len(near)
+    assert {x for x in links if x[0] in set(ids) and x[1] in set(ids)} <= near
+    for n in (1000, 10**6, 10**8):
+        bands, bins = op10_fingerprints.banding(n, 0.8)
+        assert n >> bins < 2000 and 1 - (1 - ((1 + np.arcsin(0.8) * 2 / np.pi) / 2) ** bins) ** bands >= 0.9
+
+
 def test_bucket_links():
     rng = np.random.default_rng(9)
     signs = rng.choice(np.array([-1, 0, 1], np.int8), (90, op10_fingerprints.BINS))
