@@ -299,9 +299,15 @@ def small_links(words: np.ndarray, end: np.ndarray, band: np.ndarray, bands: int
         yield x[near], y[near], score[near]
 
 
+def _written(rows: DataFrame, digests: list[str]) -> DataFrame:
+    """``rows``, written once, with hexadecimal columns as half as many bytes."""
+    held = checkpointed(rows.withColumns({c: F.unhex(c) for c in digests}))
+    return held.withColumns({c: F.lower(F.hex(c)) for c in digests})
+
+
 def _classes(fingerprints: DataFrame) -> DataFrame:
     """One row per fingerprint: smallest id, number of documents."""
-    return fingerprints.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("id"), F.count(F.lit(1)).alias("n"))
+    return _written(fingerprints.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("id"), F.count(F.lit(1)).alias("n")), ["fingerprint"])
 
 
 def _compared(classes: DataFrame, bands: int, bins: int, least: float, block: int, counts: bool, broadcast_rows: int = 200_000, few: int = 64, held_rows: int = 16_000) -> DataFrame:
@@ -387,7 +393,7 @@ def _compared(classes: DataFrame, bands: int, bins: int, least: float, block: in
 
 def near_links(fingerprints: DataFrame, least: float = 0.8, block: int = 4096) -> DataFrame:
     """Links (doc_id, near_id, likeness): from documents to the smallest doc_id with their fingerprint, and between those of all near fingerprints that share a band key."""
-    classes = checkpointed(_classes(fingerprints))
+    classes = _classes(fingerprints)
     real = F.when(F.col("near_id") != LOWEST, F.col("near_id")).alias("near_id")
     between = _compared(classes, *banding(classes.count(), least), least, block, False).select(F.col("id").alias("doc_id"), real, "likeness")
     within = fingerprints.select("doc_id", "fingerprint").join(classes.where("n > 1"), "fingerprint").where(F.col("doc_id") > F.col("id"))
@@ -396,7 +402,7 @@ def near_links(fingerprints: DataFrame, least: float = 0.8, block: int = 4096) -
 
 def near_counts(fingerprints: DataFrame, least: float = 0.8, block: int = 4096) -> DataFrame:
     """``fingerprints`` with ``n_near``, the number of other documents with an equal fingerprint or a near one that shares a band key, and ``near_id``, the smallest doc_id among them and the document's own."""
-    classes = checkpointed(_classes(fingerprints))
+    classes = _classes(fingerprints)
     linked = _compared(classes, *banding(classes.count(), least), least, block, True).groupBy("id").agg(F.sum("n").alias("more"), F.min("near_id").alias("near_id"))
     some = classes.join(linked, "id", "left").where("n > 1 or more is not null").select("fingerprint", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), F.coalesce(F.least("id", "near_id"), "id").alias("__near"))
     out = fingerprints.join(checkpointed(some), "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
@@ -405,4 +411,4 @@ def near_counts(fingerprints: DataFrame, least: float = 0.8, block: int = 4096)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_counts(checkpointed(with_edited(table(spark, sf_dir, "documents"))))
+    return near_counts(_written(with_edited(table(spark, sf_dir, "documents")), ["edited_sha256", "fingerprint", "edited_fingerprint"]))
