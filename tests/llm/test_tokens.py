@@ -47,6 +47,23 @@ def test_chunks_are_shared():
     assert len(e.known) - before < 12
 
 
+def test_windows_grow_until_chunks_agree():
+    text = " ".join(f"word{i} and some more, number {i * i};" for i in range(400))
+    e = op4_bpe.ChunkEncoder(BYTE, chunk_bits=5)
+    e.encode([text])
+    assert len(e.joins) > 50 and not e.grown
+    chunks = [c for c in e.known.values() if c.places]
+    for c in chunks[3::4]:  # ids at the ends of some chunks are made wrong: no window agrees with them
+        c.head, c.tail = b"\xff" * len(c.head), b"\xff" * len(c.tail)
+    e.joins.clear()
+    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == plain(BYTE, text) and e.grown > 0
+    for c in chunks:
+        c.head = c.tail = b"\xff\xff\xff\xff"
+    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == plain(BYTE, text)
+    long = "x" * 300_000 + " " + "ab cd " * 60_000
+    assert np.frombuffer(op4_bpe.ChunkEncoder(BYTE).encode([long])[0], "<u4").tolist() == plain(BYTE, long)
+
+
 def test_op4_query(make, texts):
     got = {r["doc_id"]: r for r in op4_bpe.round_trip(make(texts), BYTE).collect()}
     assert len(got) == len(texts)
