@@ -187,6 +187,37 @@ def test_join_equals_brute_force(make, texts, options):
     assert got == brute_components(list(enumerate(some)), options.get("percent", 90), options.get("words", 3))
 
 
+def test_repeated_ids_have_all_links(make):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    near = [t + " and one more" for t in base]
+    rows = op5_jaccard.join(make([*base, *near, base[1], "far away from all"], [1, 1, 2, 3, 0, 9])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    rows = op5_jaccard.join(make([base[0], base[1], near[0], near[1]], [1, 1, 2, 3]), short_list=1).collect()
+    assert {r["component_id"] for r in rows} == {1}
+
+
+def test_merge_skip_equals_counting():
+    rng = random.Random(3)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(rng.choice([8, 60])), rng.randint(0, 8))) for _ in range(rng.randint(0, 9))]
+        for need in (1, 2, 3, 5):
+            counts = __import__("collections").Counter(x for y in lists for x in y)
+            assert list(op5_jaccard.merge_skip(lists, need)) == sorted((x, c) for x, c in counts.items() if c >= need)
+
+
+def test_hot_shingles_of_many_sizes(make):
+    """A passage in every document, so all lists of it are long, and groups of near copies besides."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for g in range(60):
+        own = [f"g{g}x{i}" for i in range(rng.choice([2, 4, 30, 300]))]
+        for _ in range(3):
+            texts.append(" ".join(passage + own + [f"r{rng.randint(0, 9)}"] * rng.randint(0, 1)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op5_jaccard.join(make(texts), short_list=6, block=400).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 def test_join_edges(make):
     assert op5_jaccard.join(make([])).count() == 0
     assert [tuple(r) for r in op5_jaccard.join(make([None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
