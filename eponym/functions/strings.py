@@ -40,7 +40,7 @@ def jaro(a: str, b: str) -> float:
     if not m:
         return 0.0
     other = [c for c, f in zip(b, free) if not f]
-    half = sum(x != y for x, y in zip(matched, other)) / 2
+    half = sum(x != y for x, y in zip(matched, other)) // 2
     return (m / len(a) + m / len(b) + (m - half) / m) / 3
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,21 +69,44 @@ def same_code_pairs(names: DataFrame, code) -> DataFrame:
     return codes.join(codes.withColumnRenamed("name", "alt_name"), "code").where("name != alt_name").select("name", "alt_name").distinct()
 
 
+def segments(least: float, longest: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Rows (shorter, longer, segment, place, size, first, last) of names that may be alike.
+
+    At most k = floor((1 - least) * longer) edits leave one of k + 1 segments of the shorter
+    name whole; in the longer one it starts between ``first`` and ``last`` (places from 1).
+    """
+    out = []
+    for short in range(1, longest + 1):
+        for long in range(short, min(longest, math.floor(short / least + 1e-9)) + 1):
+            k = math.floor((1 - least) * long + 1e-9)
+            more = long - short
+            for i in range(k + 1):
+                at, past = 1 + short * i // (k + 1), 1 + short * (i + 1) // (k + 1)
+                low, high = max(1, at - (k - more) // 2), min(long - (past - at) + 1, at + (k + more) // 2)
+                if low <= high:
+                    out.append((short, long, i, at, past - at, low, high))
+    return out
+
+
 def similar_name_pairs(names: DataFrame, least: float) -> DataFrame:
     """Unordered pairs (name < alt_name) with edit similarity of at least ``least``.
 
-    For ``least`` of a half or more the edits are too few to break every bigram of the
-    padded names, so candidates come from an equi-join on bigrams; each edit breaks at
-    most two of them, and a length band and a bounded distance decide.
+    Candidates come from an equi-join on a segment of the shorter name that the edits must
+    leave whole, its number, and both lengths; the longer name offers its letters at the few
+    places where that segment can be. A bounded distance decides.
     """
-    if least < 0.5:
-        raise ValueError("below 0.5 two names need not share a bigram")
-    padded = F.concat(F.lit("<"), F.col("name"), F.lit(">"))
-    grams = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") + 1), lambda i: F.substring(padded, i, F.lit(2))))).alias("gram"))
-    other = grams.select(F.col("name").alias("alt_name"), "gram")
-    band = F.abs(F.length("name") - F.length("alt_name")) <= (1 - least) * F.greatest(F.length("name"), F.length("alt_name")) + 1e-9
-    shared = grams.join(other, "gram").where((F.col("name") < F.col("alt_name")) & band).groupBy("name", "alt_name").agg(F.count("*").alias("g"))
-    return shared.where(levenshtein_at_least(F.col("name"), F.col("alt_name"), least)).select("name", "alt_name", levenshtein_similarity(F.col("name"), F.col("alt_name")).alias("similarity"))
+    own = names.select("name").where(F.length("name") > 0).distinct()
+    longest = own.agg(F.max(F.length("name"))).head()[0] or 0
+    if not longest:
+        return own.select("name", F.col("name").alias("alt_name"), F.lit(0.0).alias("similarity")).limit(0)
+    parts = own.sparkSession.createDataFrame(segments(least, longest), "shorter int, longer int, segment int, place int, size int, first int, last int")
+    piece = F.expr("substring(name, place, size)").alias("piece")
+    held = own.join(F.broadcast(parts), F.length("name") == F.col("shorter")).select("shorter", "longer", "segment", piece, F.col("name").alias("a"))
+    spread = own.join(F.broadcast(parts), F.length("name") == F.col("longer")).select("shorter", "longer", "segment", "size", "name", F.explode(F.sequence("first", "last")).alias("place"))
+    offered = spread.select("shorter", "longer", "segment", piece, F.col("name").alias("b")).distinct()
+    met = held.join(offered, ["shorter", "longer", "segment", "piece"]).where((F.col("a") != F.col("b")) & ((F.col("shorter") < F.col("longer")) | (F.col("a") < F.col("b"))))
+    near = met.where(levenshtein_at_least(F.col("a"), F.col("b"), least)).select(F.least("a", "b").alias("name"), F.greatest("a", "b").alias("alt_name")).distinct()
+    return near.select("name", "alt_name", levenshtein_similarity(F.col("name"), F.col("alt_name")).alias("similarity"))
 
 
 def near_negatives(names: DataFrame, positives: DataFrame, lower: float, upper: float, k: int) -> DataFrame:
@@ -180,14 +205,21 @@ def symmetric_examples(triples: DataFrame) -> DataFrame:
     return p.union(p.select("name2", "name1", "score")).union(names.select("name1", F.col("name1").alias("name2"), F.lit(1.0))).distinct()
 
 
-def weighted_draw(ranked: DataFrame, draws: int) -> DataFrame:
-    """``draws`` names drawn with odds log10(frequency), at hash-uniform places of the running total."""
+def weighted_draw(ranked: DataFrame, draws: int, width: int = 1024) -> DataFrame:
+    """``draws`` names drawn with odds log10(frequency), at hash-uniform places of the running total.
+
+    Totals run over buckets of ``width`` ranks first, so no task orders all names; a draw
+    finds its bucket among these few, then its name in the bucket.
+    """
     w = F.log10("frequency")
-    edges = ranked.withColumn("w", w).where("w > 0").withColumn("high", F.sum("w").over(W.orderBy("rank"))).withColumn("low", F.col("high") - F.col("w"))
-    total = edges.agg(F.max("high").alias("total"))
-    spark = ranked.sparkSession
-    at = spark.range(1, draws + 1).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), (hash_unit(F.col("id").cast("string")) * F.col("total")).alias("u"))
-    return at.join(edges, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", "name")
+    weighted = ranked.withColumn("w", w).where("w > 0").withColumn("bucket", F.floor((F.col("rank") - 1) / width))
+    order = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    buckets = weighted.groupBy("bucket").agg(F.sum("w").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(order), F.lit(0.0)))
+    total = buckets.agg(F.sum("s").alias("total"))
+    at = ranked.sparkSession.range(1, draws + 1).join(F.broadcast(total), F.lit(True)).select(F.col("id").alias("draw"), (hash_unit(F.col("id").cast("string")) * F.col("total")).alias("u"))
+    placed = buckets.join(F.broadcast(at), (F.col("u") >= F.col("before")) & (F.col("u") < F.col("before") + F.col("s"))).select("draw", "bucket", (F.col("u") - F.col("before")).alias("u"))
+    inner = weighted.withColumn("high", F.sum("w").over(W.partitionBy("bucket").orderBy("rank"))).withColumn("low", F.col("high") - F.col("w"))
+    return placed.join(inner, "bucket").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", "name")
 
 
 def every_nth(ranked: DataFrame, n: int) -> DataFrame:

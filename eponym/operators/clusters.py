@@ -75,11 +75,17 @@ def assign_by_table(names: DataFrame, table: DataFrame) -> DataFrame:
     return names.join(table, "name", "left").select("name", F.coalesce(F.col("cluster").cast("string"), F.concat(F.lit("CLUSTER_"), "name")).alias("cluster"))
 
 
-def own_cluster_for_noise(labels: DataFrame) -> DataFrame:
-    """Names with a negative label get a new label of their own, above all others."""
+def own_cluster_for_noise(labels: DataFrame, buckets: int = 64) -> DataFrame:
+    """Names with a negative label get a new label of their own, above all others, in the order of names.
+
+    Names are numbered within ranges of themselves and shifted by the sizes of the ranges
+    before, so no task orders them all.
+    """
     top = labels.agg(F.greatest(F.max("label"), F.lit(-1)).alias("top"))
-    alone = labels.where("label < 0").select("name", F.row_number().over(W.orderBy("name")).alias("k"))
-    return labels.join(alone, "name", "left").join(F.broadcast(top), F.lit(True)).select("name", F.when(F.col("k").isNotNull(), F.col("top") + F.col("k")).otherwise(F.col("label")).cast("long").alias("label"))
+    alone = _kept(labels.where("label < 0").select("name").repartitionByRange(buckets, "name").withColumn("p", F.spark_partition_id()))
+    before = alone.groupBy("p").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
+    numbered = alone.withColumn("i", F.row_number().over(W.partitionBy("p").orderBy("name"))).join(F.broadcast(before), "p").select("name", (F.col("before") + F.col("i")).alias("k"))
+    return labels.join(numbered, "name", "left").join(F.broadcast(top), F.lit(True)).select("name", F.when(F.col("k").isNotNull(), F.col("top") + F.col("k")).otherwise(F.col("label")).cast("long").alias("label"))
 
 
 def code_tables(coded: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,15 +128,15 @@ def linkage(distance: np.ndarray, method: str = "average", weights: np.ndarray |
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     size = np.ones(n) if weights is None else weights.astype(float).copy()
-    ids, alive, merges = list(range(n)), list(range(n)), []
+    ids, merges = list(range(n)), []
+    nearest = d.min(axis=1) if n else np.zeros(0)  # of each place, so a step looks at one row, not at all
     for step in range(n - 1):
-        sub = d[np.ix_(alive, alive)]
-        a, b = divmod(int(sub.argmin()), len(alive))
-        a, b = sorted((a, b))
-        i, j = alive[a], alive[b]
-        height = float(d[i, j])
+        i = int(nearest.argmin())
+        height = float(nearest[i])
         if not np.isfinite(height):
             break
+        j = int(d[i].argmin())
+        i, j = sorted((i, j))
         if method == "average":
             row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         elif method == "complete":
@@ -139,10 +145,14 @@ def linkage(distance: np.ndarray, method: str = "average", weights: np.ndarray |
             row = np.minimum(d[i], d[j])
         else:
             raise ValueError(f"unknown linkage {method}")
+        row[[i, j]] = np.inf
+        lost = np.flatnonzero((nearest == d[i]) | (nearest == d[j]))  # places whose nearest may have gone
         d[i, :], d[:, i] = row, row
-        d[i, i] = np.inf
+        d[j, :], d[:, j] = np.inf, np.inf
+        nearest = np.minimum(nearest, row)
+        nearest[lost] = d[lost].min(axis=1)
+        nearest[i], nearest[j] = row.min(), np.inf
         size[i] += size[j]
-        alive.pop(b)
         merges.append((ids[i], ids[j], height, int(size[i])))
         ids[i] = n + step
     return merges
@@ -208,40 +218,54 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder (one of its own where none is set)."""
+    """Written to the session's checkpoint folder; one of its own where a session on one machine has none."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eponym-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="eponym-"))
     return df.checkpoint(eager=True)
 
 
 def capped_closures(scored: DataFrame, most: int = 10_000) -> DataFrame:
     """name, closure: closures grown over pairs in ascending distance, joined only while their sizes sum to ``most`` or less.
 
-    Inherently sequential: the order decides. Pairs stream to the driver in order; it holds
-    one entry per name.
+    The order of pairs decides, but only among pairs of one connected component, and the
+    cap binds only in components over ``most``. Smaller ones are closures as they are;
+    each larger one is folded in order by a task of its own (one entry per name).
     """
-    up: dict = {}
-    size: dict = {}
-
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for r in scored.select("a", "b", "distance").orderBy("distance", "a", "b").toLocalIterator():
-        for x in (r["a"], r["b"]):
-            up.setdefault(x, x)
-            size.setdefault(x, 1)
-        i, j = sorted((root(r["a"]), root(r["b"])))
-        if i != j and size[i] + size[j] <= most:
-            up[j] = i
-            size[i] += size[j]
     kind = dict(scored.dtypes)["a"]
-    return scored.sparkSession.createDataFrame([(x, root(x)) for x in sorted(up)], f"name {kind}, closure {kind}")
+    whole = _kept(components(scored))
+    sizes = whole.groupBy("component").agg(F.count("*").alias("n"))
+    over = sizes.where(F.col("n") > most).select("component")
+    small = whole.join(sizes.where(F.col("n") <= most).select("component"), "component", "left_semi").select("name", F.col("component").alias("closure"))
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        up: dict = {}
+        size: dict = {}
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for r in frame.sort_values(["distance", "a", "b"]).itertuples():
+            for x in (r.a, r.b):
+                up.setdefault(x, x)
+                size.setdefault(x, 1)
+            i, j = sorted((root(r.a), root(r.b)))
+            if i != j and size[i] + size[j] <= most:
+                up[j] = i
+                size[i] += size[j]
+        names = sorted(up)
+        return pd.DataFrame({"name": names, "closure": [root(x) for x in names]})
+
+    pairs = scored.select("a", "b", "distance").join(whole.withColumnRenamed("name", "a"), "a").join(over, "component", "left_semi")
+    return small.unionByName(pairs.groupBy("component").applyInPandas(fold, f"name {kind}, closure {kind}"))
 
 
 def greedy(ranked: DataFrame, threshold: float, heads: dict | None = None) -> DataFrame:

@@ -70,12 +70,50 @@ def tfidf(names: DataFrame, grams: Column, min_df: int = 1) -> DataFrame:
     return raw.select("name", "gram", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("name")))).alias("weight"))
 
 
-def tfidf_nearest(inputs: DataFrame, candidates: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """name, alt_name, score, rank by sparse dot products of ``tfidf`` rows, without equal names."""
-    pairs = inputs.join(candidates.select(F.col("name").alias("alt_name"), "gram", F.col("weight").alias("w2")), "gram").where("name != alt_name")
-    scored = pairs.groupBy("name", "alt_name").agg(F.sum(F.col("weight") * F.col("w2")).alias("score")).where(F.col("score") > least)
+def tfidf_nearest(inputs: DataFrame, candidates: DataFrame, k: int, least: float = 0.0, block: int = 2000) -> DataFrame:
+    """name, alt_name, score, rank by sparse dot products of ``tfidf`` rows, without equal names.
+
+    Exact, and no join on n-grams, of which a few are in most names: blocks of inputs meet
+    blocks of candidates, a meeting adds up the weights of its own n-grams only and keeps
+    the best ``k`` (with ties) of every input, and a window picks from those.
+    """
+
+    def rows(df, side):
+        n = max(1, -(-df.select("name").distinct().count() // block))
+        held = df.groupBy("name").agg(F.collect_list(F.struct("gram", "weight")).alias("cells"))
+        r = held.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias(f"{side}_block")).agg(F.sort_array(F.collect_list(F.struct("name", "cells"))).alias("r"))
+        flat = {"names": "r.name", "sizes": "transform(r, x -> size(x.cells))", "grams": "flatten(transform(r, x -> x.cells.gram))", "weights": "flatten(transform(r, x -> x.cells.weight))"}
+        return r.select(f"{side}_block", *[F.expr(e).alias(f"{side}_{c}") for c, e in flat.items()])
+
+    def meet(frames):
+        for frame in frames:
+            for f in frame.itertuples():
+                place: dict[str, int] = {}
+                at = np.array([place.setdefault(g, len(place)) for g in f.i_grams])
+                dense = np.zeros((len(place), len(f.i_names)))
+                dense[at, np.repeat(np.arange(len(f.i_names)), f.i_sizes)] = f.i_weights
+                there = np.array([place.get(g, -1) for g in f.c_grams])
+                cut = np.concatenate([[0], np.cumsum(f.c_sizes)])
+                names, others = np.asarray(f.i_names, dtype=object), np.asarray(f.c_names, dtype=object)
+                scores = np.zeros((len(others), len(names)))
+                for m in range(len(others)):
+                    own = there[cut[m] : cut[m + 1]]
+                    known = own >= 0
+                    scores[m] = np.asarray(f.c_weights[cut[m] : cut[m + 1]])[known] @ dense[own[known]]
+                where = {x: k for k, x in enumerate(others)}
+                same = [(where[x], k) for k, x in enumerate(names) if x in where]
+                if same:
+                    scores[tuple(zip(*same))] = -1.0
+                scores = np.ascontiguousarray(scores.T)
+                take = min(k, scores.shape[1])
+                edge = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+                i, m = np.nonzero((scores >= edge[:, None] - 1e-9) & (scores > least))
+                yield pd.DataFrame({"name": names[i], "alt_name": others[m], "score": scores[i, m]})
+
+    met = rows(inputs, "i").join(rows(candidates, "c"), F.lit(True))
+    met = met.repartition(met.sparkSession.sparkContext.defaultParallelism * 4, "i_block", "c_block").mapInPandas(meet, "name string, alt_name string, score double")
     order = W.partitionBy("name").orderBy(F.desc(F.round("score", 9)), "alt_name")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def rerank_by_edits(blocked: DataFrame, k: int) -> DataFrame:

@@ -321,19 +321,23 @@ def orientation_swap(spark, d):
     return pair_statistics.orient(v.select(F.col("name").alias("tree_name"), F.col("alt_name").alias("record_name"), F.col("votes").alias("frequency")), a)
 
 
-@query(sql("attached pref", "select tree_name, record_name, a.frequency from attached a where not (tree_name in (select name from pref where rank <= 500) and record_name in (select name from pref where rank <= 500) and 1 - levenshtein(tree_name, record_name) / greatest(length(tree_name), length(record_name)) <= 0.65)"))
+@query(sql("attached pref", "select tree_name, record_name, a.frequency from attached a where not (tree_name in (select name from pref where rank <= 5000) and record_name in (select name from pref where rank <= 5000) and 1 - levenshtein(tree_name, record_name) / greatest(length(tree_name), length(record_name)) <= 0.65)"))
 def drop_frequent_dissimilar(spark, d):
     """[D15]"""
-    return pair_statistics.drop_frequent_dissimilar(tables.attached(spark, d), tables.preferred(spark, d).where("rank <= 500"))
+    return pair_statistics.drop_frequent_dissimilar(tables.attached(spark, d), tables.preferred(spark, d).where("rank <= 5000"))
+
+
+_ALIKE = "1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))"
 
 
 def _lev(least):
-    s = sql("top300", f"select a.name, b.name as alt_name, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) as similarity from top300 a join top300 b on a.name < b.name where 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= {least} - 1e-12")
+    band = f"length(b.name) between {least} * length(a.name) - 1e-9 and length(a.name) / {least} + 1e-9"
+    s = sql("pref", f"select a.name, b.name as alt_name, round({_ALIKE}, 6) as similarity from pref a join pref b on a.name < b.name and {band} where {_ALIKE} >= {least} - 1e-12")
 
     @query(s, name=f"lev_pairs_{round(least * 100)}")
     def run(spark, d):
         """[J18, F20, F23]"""
-        return rounded(augment.similar_name_pairs(tables.preferred(spark, d).where("rank <= 300"), least))
+        return rounded(augment.similar_name_pairs(tables.preferred(spark, d), least))
 
 
 for _least in (0.65, 0.75, 0.85):
@@ -342,46 +346,46 @@ for _least in (0.65, 0.75, 0.85):
 
 @query(
     sql(
-        "top300 attached",
+        "pref attached",
         "select name, alt_name, round(similarity, 6) as similarity from (select *, row_number() over (partition by name order by md5(name || ',' || alt_name), alt_name) as r from n) where r <= 5",
-        n="select a.name, b.name as alt_name, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) as similarity from top300 a join top300 b on a.name <> b.name where 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) between 0.5 - 1e-12 and 0.75 + 1e-12 and not exists (from attached where (tree_name = a.name and record_name = b.name) or (tree_name = b.name and record_name = a.name))",
+        m=f"select a.name, b.name as alt_name, {_ALIKE} as similarity from pref a join pref b on a.name < b.name and length(b.name) between 0.65 * length(a.name) - 1e-9 and length(a.name) / 0.65 + 1e-9 where {_ALIKE} between 0.65 - 1e-12 and 0.75 + 1e-12",
+        w="select * from m union all select alt_name, name, similarity from m",
+        n="select w.* from w left join attached x on x.tree_name = w.name and x.record_name = w.alt_name left join attached y on y.tree_name = w.alt_name and y.record_name = w.name where x.tree_name is null and y.tree_name is null",
     )
 )
 def near_negatives(spark, d):
     """[D9]"""
-    return rounded(augment.near_negatives(tables.preferred(spark, d).where("rank <= 300"), tables.attached(spark, d), 0.5, 0.75, 5))
+    return rounded(augment.near_negatives(tables.preferred(spark, d), tables.attached(spark, d), 0.65, 0.75, 5))
 
 
-def _top_pairs(spark, d, n=150):
-    p = tables.preferred(spark, d).where(F.col("rank") <= n)
-    return p.select("name").join(p.select(F.col("name").alias("alt_name")), F.col("name") < F.col("alt_name"))
-
-
-@query(sql("top150", "select a.name, b.name as alt_name, round(jaro_winkler_similarity(a.name, b.name), 6) as similarity from top150 a join top150 b on a.name < b.name where round(jaro_winkler_similarity(a.name, b.name), 9) >= 0.8"))
+@query(sql("attached", "select tree_name as name, record_name as alt_name, round(jaro_winkler_similarity(tree_name, record_name), 6) as similarity from attached"))
 def jaro_winkler_pairs(spark, d):
-    """[F22]"""
-    s = _top_pairs(spark, d).withColumn("similarity", strings.jaro_winkler("name", "alt_name"))
-    return rounded(s.where("round(similarity, 9) >= 0.8"))
+    """every pair of attached names"""
+    a = tables.attached(spark, d)
+    return rounded(a.select(F.col("tree_name").alias("name"), F.col("record_name").alias("alt_name"), strings.jaro_winkler("tree_name", "record_name").alias("similarity")))
 
 
-@query(sql("top150", "select a.name, b.name as alt_name, damerau_levenshtein(a.name, b.name) as distance from top150 a join top150 b on a.name < b.name where damerau_levenshtein(a.name, b.name) <= 2"))
+@query(sql("attached", "select tree_name as name, record_name as alt_name, damerau_levenshtein(tree_name, record_name) as distance from attached"))
 def damerau_pairs(spark, d):
-    """[F21]"""
-    return _top_pairs(spark, d).withColumn("distance", strings.damerau_levenshtein("name", "alt_name").cast("long")).where("distance <= 2")
+    """every pair of attached names"""
+    a = tables.attached(spark, d)
+    return a.select(F.col("tree_name").alias("name"), F.col("record_name").alias("alt_name"), strings.damerau_levenshtein("tree_name", "record_name").cast("long").alias("distance"))
 
 
 @query()
 def edit_scripts(spark, d):
-    """[F24, F25]"""
-    p = _top_pairs(spark, d, 60).withColumn("e", strings.edit_script("name", "alt_name"))
-    return p.select("name", "alt_name", F.col("e.cost").cast("long").alias("cost"), F.col("e.operations").alias("operations"))
+    """every pair of attached names"""
+    p = tables.attached(spark, d).withColumn("e", strings.edit_script("tree_name", "record_name"))
+    return p.select(F.col("tree_name").alias("name"), F.col("record_name").alias("alt_name"), F.col("e.cost").cast("long").alias("cost"), F.col("e.operations").alias("operations"))
 
 
 @query()
 def match_name_pieces(spark, d):
-    """[F26, P7]"""
-    p = tables.word_lists(spark, d, "benchmark", "item_id").where("size(words) >= 4").select("item_id", F.slice("words", 1, 2).alias("a"), F.slice("words", 3, 2).alias("b"))
-    return p.select("item_id", F.inline(strings.match_pieces("a", "b")))
+    """[F26, P7] all composite part names that share a word"""
+    n = tables.table(spark, d, "part").select(F.col("p_name").alias("n")).distinct().select("n", tables.words_of(F.col("n")).alias("a"))
+    w = n.select("n", "a", F.explode("a").alias("w"))
+    both = w.join(w.select(F.col("n").alias("m"), F.col("a").alias("b"), "w"), "w").where("n < m").select("n", "m", "a", "b").distinct()
+    return both.select("n", "m", F.inline(strings.match_pieces("a", "b")))
 
 
 @query()
@@ -452,10 +456,10 @@ def coder_distinct_counts(spark, d):
     return metrics.distinct_codes(tables.preferred(spark, d), {"soundex": coders.soundex(F.col("name")), "refined_soundex": coders.refined_soundex(F.col("name"))}, [100, 1000, 10000])
 
 
-@query(sql("top300", "select name, alt_name from (select a.name, b.name as alt_name from c a join c b on a.code = b.code and a.name <> b.name) group by all", c="select name, " + refined_soundex_sql("name") + " as code from top300"))
+@query(sql("pref", "select name, alt_name from (select a.name, b.name as alt_name from c a join c b on a.code = b.code and a.name <> b.name) group by all", c="select name, " + refined_soundex_sql("name") + " as code from pref"))
 def same_code_pairs(spark, d):
     """[J16, J17]"""
-    return augment.same_code_pairs(tables.preferred(spark, d).where("rank <= 300"), coders.refined_soundex(F.col("name")))
+    return augment.same_code_pairs(tables.preferred(spark, d), coders.refined_soundex(F.col("name")))
 
 
 @query()
@@ -473,26 +477,18 @@ def char_ngrams(spark, d):
     return tables.preferred(spark, d).select("frequency", F.explode(strings.char_ngrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.sum("frequency").alias("frequency"))
 
 
-_TFIDF = dict(
-    g=_GRAMS + " from top300", tc="select name, gram, count(*) as c from g group by all", dfr="select gram, count(*) as df from tc group by gram",
-    raw="select name, tc.gram, c * (ln(301.0 / (1 + df)) + 1) as x from tc join dfr using (gram)", w="select name, gram, x / sqrt(sum(x * x) over (partition by name)) as w from raw",
-    sc="select a.name, b.name as alt_name, sum(a.w * b.w) as score from w a join w b on a.gram = b.gram and a.name <> b.name group by all",
-    tk="select *, row_number() over (partition by name order by round(score, 9) desc, alt_name) as rank from sc",
-)
-
-
 def _tfidf(spark, d):
-    t = similarity.tfidf(tables.preferred(spark, d).where("rank <= 300"), strings.char_ngrams(F.col("name")))
+    t = similarity.tfidf(tables.preferred(spark, d), strings.char_ngrams(F.col("name")))
     return similarity.tfidf_nearest(t, t, 10)
 
 
-@query(sql("top300", "select name, alt_name, round(score, 6) as score, rank from tk where rank <= 10", **_TFIDF))
+@query()
 def tfidf_topk(spark, d):
-    """[F40, J25]"""
+    """[F40, J25] the ten nearest of every name (too many sums for SQL; see the tests)"""
     return rounded(_tfidf(spark, d))
 
 
-@query(sql("top300", "select name, alt_name, round(score, 6) as score, rank from (select name, alt_name, s as score, row_number() over (partition by name order by s desc, alt_name) as rank from (select name, alt_name, 1 - levenshtein(name, alt_name) / greatest(length(name), length(alt_name)) as s from tk where rank <= 10)) where rank <= 3", **_TFIDF))
+@query()
 def tfidf_lev_rerank(spark, d):
     """[J25, J26]"""
     return rounded(similarity.rerank_by_edits(_tfidf(spark, d), 3))
@@ -607,11 +603,11 @@ def take_clusters(spark, d):
     return rounded(clusters.take_clusters(n.select(F.col("input_name").alias("name"), F.col("label").cast("long").alias("cluster"), "score"), 0.3, 3))
 
 
-@query(sql("top300", "select name, coalesce(c, 'CLUSTER_' || name) as cluster from top300 left join (select name as m, " + soundex_sql("name") + " as c from top300 where rank <= 100) on m = name"))
+@query(sql("pref", "select name, coalesce(c, 'CLUSTER_' || name) as cluster from pref left join (select name as m, " + soundex_sql("name") + " as c from pref where frequency >= 10) on m = name"))
 def assign_by_table(spark, d):
     """[C18]"""
-    p = tables.preferred(spark, d).where("rank <= 300")
-    return clusters.assign_by_table(p.select("name"), p.where("rank <= 100").select("name", coders.soundex(F.col("name")).alias("cluster")))
+    p = tables.preferred(spark, d)
+    return clusters.assign_by_table(p.select("name"), p.where("frequency >= 10").select("name", coders.soundex(F.col("name")).alias("cluster")))
 
 
 _EVAL = dict(
@@ -633,14 +629,14 @@ def code_index_eval(spark, d):
 
 @query(
     sql(
-        "top300",
+        "pref",
         "select a.name, b.name as candidate from c a join c b using (code) where a.name <> b.name",
-        c="select name, " + soundex_sql("name") + " as code from top300",
+        c="select name, " + soundex_sql("name") + " as code from pref",
     )
 )
 def code_lookup(spark, d):
     """[J28, J29]"""
-    p = tables.preferred(spark, d).where("rank <= 300").select("name", F.array(coders.soundex(F.col("name"))).alias("codes"))
+    p = tables.preferred(spark, d).select("name", F.array(coders.soundex(F.col("name"))).alias("codes"))
     return clusters.code_join(*clusters.code_tables(p)).where("name != candidate")
 
 
@@ -829,26 +825,26 @@ def cross_minus_exclusions(spark, d):
 
 @query(
     sql(
-        "scored top300",
-        "select distinct anchor, positive, name as negative, 0.0::double as negative_score from (select anchor, positive, (cast(('0x' || substring(md5(anchor || ',' || positive || ',' || k), 1, 6)) as bigint) % (select count(*) from top300)) + 1 as rank from (select distinct anchor, positive from tr), (select unnest(range(1, 6)) as k)) join top300 using (rank) where name <> anchor and name <> positive",
+        "scored pref",
+        "select distinct anchor, positive, name as negative, 0.0::double as negative_score from (select anchor, positive, (cast(('0x' || substring(md5(anchor || ',' || positive || ',' || k), 1, 6)) as bigint) % (select count(*) from pref)) + 1 as rank from (select distinct anchor, positive from tr), (select unnest(range(1, 6)) as k)) join pref using (rank) where name <> anchor and name <> positive",
         tr=_TRIPLES,
     )
 )
 def easy_negatives(spark, d):
     """[D6, W10]"""
-    return augment.easy_negatives(_triples(spark, d), tables.preferred(spark, d).where("rank <= 300"))
+    return augment.easy_negatives(_triples(spark, d), tables.preferred(spark, d))
 
 
-@query(sql("top300", "select name, cast(unnest(range(1, frequency // 2 + 1)) as bigint) as copy from top300"))
+@query(sql("pref", "select name, cast(unnest(range(1, frequency // 2 + 1)) as bigint) as copy from pref"))
 def replicate_by_frequency(spark, d):
     """[D10]"""
-    return rounded(augment.replicate(tables.preferred(spark, d).where("rank <= 300")))
+    return rounded(augment.replicate(tables.preferred(spark, d)))
 
 
-@query(sql("top300", f"select draw, name from (select cast(unnest(range(1, 1001)) as bigint) as draw) q join e on {_unit('draw::varchar')} * (select max(high) from e) >= low and {_unit('draw::varchar')} * (select max(high) from e) < high", e="select name, high - log10(frequency) as low, high from (select *, sum(log10(frequency)) over (order by rank) as high from top300)"))
+@query(sql("pref", f"select draw, name from (select cast(unnest(range(1, 1001)) as bigint) as draw) q join e on {_unit('draw::varchar')} * (select max(high) from e) >= low and {_unit('draw::varchar')} * (select max(high) from e) < high", e="select name, high - log10(frequency) as low, high from (select *, sum(log10(frequency)) over (order by rank) as high from pref)"))
 def weighted_draw(spark, d):
     """[P28, W6]"""
-    return augment.weighted_draw(tables.preferred(spark, d).where("rank <= 300"), 1000)
+    return augment.weighted_draw(tables.preferred(spark, d), 1000)
 
 
 @query(sql("", "select page_id, string_split(t, '=')[1] as key, url_decode(substring(t, strpos(t, '=') + 1)) as value from (select page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) as t from pages) where contains(t, '=')"))
@@ -864,10 +860,10 @@ def text_alias_parse(spark, d):
     return files.buckets_of_lines(lines).distinct()
 
 
-@query(sql("bw", "select distinct a as name, b as nickname from (select w, unnest(w[1:6]) as a from bw), lateral (select unnest(w[1:6]) as b)"))
+@query(sql("bw", "select distinct a as name, b as nickname from (select w, unnest(w) as a from bw), lateral (select unnest(w) as b)"))
 def nickname_parse(spark, d):
     """[S11, S12]"""
-    lines = tables.word_lists(spark, d, "benchmark", "item_id").select(F.array_join(F.slice("words", 1, 6), ",").alias("value"))
+    lines = tables.word_lists(spark, d, "benchmark", "item_id").select(F.array_join("words", ",").alias("value"))
     return files.nicknames_symmetric(lines)
 
 
@@ -886,10 +882,10 @@ def corpus_text(spark, d):
     return rounded(files.corpus_lines(tables.attached(spark, d)))
 
 
-@query(sql("top300", "select name, array_to_string(list_transform(range(1, 31), lambda i: case when i <= length(name) then ascii(name[i]) - 96 else 0 end), ' ') as ids from top300"))
+@query(sql("pref", "select name, array_to_string(list_transform(range(1, 31), lambda i: case when i <= length(name) then ascii(name[i]) - 96 else 0 end), ' ') as ids from pref"))
 def char_ids(spark, d):
     """[F35, F36]"""
-    return tables.preferred(spark, d).where("rank <= 300").select("name", F.array_join(F.transform(strings.char_ids(F.col("name")), lambda x: x.cast("string")), " ").alias("ids"))
+    return tables.preferred(spark, d).select("name", F.array_join(F.transform(strings.char_ids(F.col("name")), lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query()
@@ -902,31 +898,27 @@ def wordpieces(spark, d):
     return p.select("name", F.array_join(tok("name"), " ").alias("pieces"))
 
 
-_CLOSE = "select a.name as a, b.name as b from top300 a join top300 b on a.name < b.name where 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.75 - 1e-12"
-
-
-@query(
-    "with recursive " + sql("top300", "", e=_CLOSE).removeprefix("with ").rstrip() + ",\nboth_ as (select a, b from e union select b, a from e),\nreach as (select a as x, a as y from both_ union select reach.x, both_.b from reach join both_ on reach.y = both_.a)\nselect x as name, min(y) as component from reach group by x"
-)
+@query()
 def connected_components(spark, d):
-    """[C7 uncapped]"""
-    p = augment.similar_name_pairs(tables.preferred(spark, d).where("rank <= 300"), 0.75)
+    """[C7 uncapped] over all names (the closure is too large for recursive SQL; see the tests)"""
+    p = augment.similar_name_pairs(tables.preferred(spark, d), 0.75)
     return clusters.components(p.select(F.col("name").alias("a"), F.col("alt_name").alias("b")))
 
 
 @query()
 def capped_closures(spark, d):
     """[C7]"""
-    p = augment.similar_name_pairs(tables.preferred(spark, d).where("rank <= 300"), 0.6)
-    return clusters.capped_closures(p.select(F.col("name").alias("a"), F.col("alt_name").alias("b"), F.round(1 - F.col("similarity"), 9).alias("distance")), 40)
+    p = augment.similar_name_pairs(tables.preferred(spark, d), 0.75)
+    return clusters.capped_closures(p.select(F.col("name").alias("a"), F.col("alt_name").alias("b"), F.round(1 - F.col("similarity"), 9).alias("distance")), 10_000)
 
 
 @query()
 def agglomerative(spark, d):
-    """[C1-C3, C8, V13]"""
-    p = tables.preferred(spark, d).where("rank <= 300").withColumn("bucket", F.substring("name", 1, 1))
-    near = augment.similar_name_pairs(p, 0.5).withColumn("bucket", F.substring("name", 1, 1))
-    return clusters.agglomerative(p.select("bucket", "name", vectors.cluster_weight(F.col("frequency")).alias("weight")), near.select("bucket", "name", "alt_name", F.col("similarity").alias("score")), 0.6)
+    """[C1-C3, C8, V13] clusters inside the buckets of names with one refined code"""
+    p = tables.preferred(spark, d).withColumn("bucket", coders.refined_soundex(F.col("name")))
+    pairs = p.select("bucket", "name").join(p.select("bucket", F.col("name").alias("alt_name")), "bucket").where("name < alt_name")
+    near = pairs.withColumn("score", strings.levenshtein_similarity(F.col("name"), F.col("alt_name"))).where("score >= 0.5")
+    return clusters.agglomerative(p.select("bucket", "name", vectors.cluster_weight(F.col("frequency")).alias("weight")), near, 0.6)
 
 
 @query()
@@ -966,13 +958,13 @@ def mean_vector_scores(spark, d):
 
 @query(
     sql(
-        "top300",
-        "select name, round(sum(t * p) / 30, 6) as first_dimension from (select name, (1 + i % 5) / 7.0 as p, (ascii(name[i]) - 96) / 26.0 as t from (select name, unnest(range(1, length(name) + 1)) as i from top300)) group by name",
+        "pref",
+        "select name, round(sum(t * p) / 30, 6) as first_dimension from (select name, (1 + i % 5) / 7.0 as p, (ascii(name[i]) - 96) / 26.0 as t from (select name, unnest(range(1, length(name) + 1)) as i from pref)) group by name",
     )
 )
 def encode_names(spark, d):
     """[V10, V11] mean over 30 positions of token weight times position weight; unknown and padding weigh nothing"""
-    p = tables.preferred(spark, d).where("rank <= 300").select("name", F.posexplode(strings.char_ids(F.col("name"))).alias("at", "token"))
+    p = tables.preferred(spark, d).select("name", F.posexplode(strings.char_ids(F.col("name"))).alias("at", "token"))
     tokens = spark.createDataFrame([(i, i / 26.0) for i in range(1, 27)], "token int, t double")
     places = spark.createDataFrame([(i, (1 + (i + 1) % 5) / 7.0) for i in range(30)], "at int, p double")
     cells = p.join(F.broadcast(tokens), "token").join(F.broadcast(places), "at")
@@ -1036,11 +1028,11 @@ def rare_token_names(spark, d):
     return g.join(rare, "gram", "left_semi").select("name").distinct()
 
 
-@query(sql("top300", "select bigram, count(*) as n from (select l[i] || ' ' || l[i + 1] as bigram from (select l, unnest(range(1, len(l))) as i from (select list_concat(['START'], string_split(name, ''), ['END']) as l from top300))) group by bigram"))
+@query(sql("pref", "select bigram, count(*) as n from (select l[i] || ' ' || l[i + 1] as bigram from (select l, unnest(range(1, len(l))) as i from (select list_concat(['START'], string_split(name, ''), ['END']) as l from pref))) group by bigram"))
 def phoneme_bigrams(spark, d):
     """[F41, A31] letters stand for phonemes"""
     letters = F.filter(F.split("name", ""), lambda x: x != "")
-    return tables.preferred(spark, d).where("rank <= 300").select(F.explode(strings.phoneme_bigrams(letters)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+    return tables.preferred(spark, d).select(F.explode(strings.phoneme_bigrams(letters)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
 @query(sql("vec", "select name, cast(case when x < 0 then (select max(case when label = 9 then -1 else label end) from vec) + row_number() over (partition by x < 0 order by name) else x end as bigint) as label from (select name, case when label = 9 then -1 else label end as x from vec)"))
@@ -1054,8 +1046,7 @@ def noise_to_own_clusters(spark, d):
 def subtree_leaves(spark, d):
     """[C5] leaves below the root of a hierarchy of brands and types"""
     p = tables.table(spark, d, "part").select("p_brand", "p_type").distinct()
-    p.createOrReplaceTempView("eponym_part")
-    return spark.sql("with recursive e as (select distinct p_brand as node, p_type as child from eponym_part union select distinct 'all', p_brand from eponym_part), walk as (select 'all' as node union all select child from walk join e on walk.node = e.node) select node, 1L as n from walk left anti join e on walk.node = e.node group by node")
+    return spark.sql("with recursive e as (select distinct p_brand as node, p_type as child from {part} union select distinct 'all', p_brand from {part}), walk as (select 'all' as node union all select child from walk join e on walk.node = e.node) select node, 1L as n from walk left anti join e on walk.node = e.node group by node", part=p)
 
 
 @query()
