@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_lists as L
@@ -128,8 +128,7 @@ def normalize(name: Column, is_surname: bool, preserve_wildcards: bool = False,
     shortest = 2 if is_surname else 1
     pieces = F.filter(pieces, lambda x: F.length(x) >= shortest)
     if dont_return_empty:
-        bare = F.regexp_replace(text, "\\s", "")
-        fallback = F.array(F.when(F.length(bare) > 0, bare).otherwise(name))
+        fallback = F.array(F.regexp_replace(F.when(F.length(text) > 0, text).otherwise(name), "\\s", ""))
         pieces = _let(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(fallback))
     if is_surname and handle_patronymics:
         pieces = F.transform(pieces, standardize_patronymic)
@@ -169,3 +168,13 @@ def pad(name: Column) -> Column:
 
 def unpad(name: Column) -> Column:
     return F.substring(name, F.lit(2), F.length(name) - 2)
+
+
+def frequent_names(raw: DataFrame, is_surname: bool) -> DataFrame:
+    """name, frequency of raw names (name, frequency, place) that are one latin piece of several letters.
+
+    Of raw names that become the same, the first by ``place`` gives the frequency.
+    """
+    one = raw.select("frequency", "place", normalize(F.col("name"), is_surname).alias("p")).where(F.size("p") == 1).select(F.col("p")[0].alias("name"), "frequency", "place")
+    first = one.where("length(name) > 1 and not name rlike '[^a-z]'").groupBy("name").agg(F.min_by("frequency", "place").alias("frequency"))
+    return first

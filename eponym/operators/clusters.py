@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 
 import numpy as np
@@ -268,32 +270,77 @@ def capped_closures(scored: DataFrame, most: int = 10_000) -> DataFrame:
     return small.unionByName(pairs.groupBy("component").applyInPandas(fold, f"name {kind}, closure {kind}"))
 
 
-def greedy(ranked: DataFrame, threshold: float, heads: dict | None = None) -> DataFrame:
-    """name, cluster: names in order of frequency join the cluster of their nearest clustered name when its cosine reaches the threshold.
+def greedy(ranked: DataFrame, threshold: float) -> DataFrame:
+    """name, cluster: names in order of frequency join the clusters of their nearest clustered name when its cosine reaches the threshold.
 
-    ``ranked`` is (name, rank, vector). Each step depends on all before, so it runs over
-    one ordered group in a single task with a growing matrix.
+    ``ranked`` is (name, rank, vector) and may have ``heads``, a list of the heads of a
+    nickname: such a name joins the clusters of its heads instead, and a head without
+    clusters starts its own. Each step depends on all before, so it runs over one ordered
+    group in a single task with a growing matrix (one row per name).
     """
-    kind = dict(ranked.dtypes)["name"]
+    kind, with_heads = dict(ranked.dtypes)["name"], "heads" in ranked.columns
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank")
         m = np.array(frame["vector"].tolist(), dtype=float)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        own = np.zeros(len(m), dtype=int)
-        for i in range(len(m)):
-            own[i] = i
-            if i:
+        names = frame["name"].tolist()
+        heads = frame["heads"].tolist() if with_heads else [None] * len(names)
+        of: dict = {}
+        for i, name in enumerate(names):
+            own = of.setdefault(name, [])
+            if heads[i] is not None and len(heads[i]):
+                for h in heads[i]:
+                    own += [c for c in (of.get(h) or of.setdefault(h, [h])) if c not in own]
+                if not own:
+                    own.append(name)
+            elif i:
                 s = m[:i] @ m[i]
                 j = int(s.argmax())
-                if s[j] >= threshold:
-                    own[i] = own[j]
-        names = frame["name"].to_numpy()
-        return pd.DataFrame({"name": names, "cluster": names[own]})
+                own += [c for c in (of[names[j]] if s[j] >= threshold else [name]) if c not in own]
+            elif not own:
+                own.append(name)
+        rows = [(n, c) for n, cs in of.items() for c in cs]
+        return pd.DataFrame(rows, columns=["name", "cluster"])
 
     return ranked.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, f"name {kind}, cluster {kind}")
 
 
+def augment_clusters(known: DataFrame, unseen: DataFrame, threshold: float) -> DataFrame:
+    """name, cluster of ``unseen`` (name, rank, vector, optional basename), one after another.
+
+    A name goes to the cluster of its base name if that has one; else to the cluster of the
+    nearest name, known or seen before, whose cosine reaches ``threshold``; else it starts
+    its own. ``known`` is (name, vector, cluster). Each name is a candidate for later ones,
+    so this is a fold in one task, like ``greedy``.
+    """
+    kind = dict(unseen.dtypes)["name"]
+    base = F.col("basename").cast("string") if "basename" in unseen.columns else F.lit(None).cast("string")
+    rows = known.select(F.col("name"), F.lit(-1).cast("long").alias("rank"), "vector", F.col("cluster").cast("string").alias("cluster"), F.lit(None).cast("string").alias("basename"))
+    rows = rows.unionByName(unseen.select("name", F.col("rank").cast("long").alias("rank"), "vector", F.lit(None).cast("string").alias("cluster"), base.alias("basename")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["rank", "name"])
+        m = np.array(frame["vector"].tolist(), dtype=float)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        names, cluster = frame["name"].tolist(), frame["cluster"].tolist()
+        of = {str(n): c for n, c, r in zip(names, cluster, frame["rank"]) if r < 0}
+        compared = [k for k, r in enumerate(frame["rank"]) if r < 0]
+        for i in range(len(compared), len(names)):
+            b = frame["basename"].iloc[i]
+            if b is not None and b in of:
+                cluster[i] = of[b]
+            else:
+                s = m[compared] @ m[i] if compared else np.zeros(0)
+                cluster[i] = cluster[compared[int(s.argmax())]] if len(s) and s.max() >= threshold else str(names[i])
+                compared.append(i)
+            of[str(names[i])] = cluster[i]
+        seen = (frame["rank"] >= 0).to_numpy()
+        return pd.DataFrame({"name": frame["name"][seen], "cluster": np.array(cluster, dtype=object)[seen]})
+
+    return rows.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, f"name {kind}, cluster string")
+
+
 def phonebook(sizes: list[tuple], neighbours: list[tuple], supers: dict, n_partitions: int, most: float) -> dict:
     """cluster -> list of partitions.
 
@@ -321,8 +368,11 @@ def phonebook(sizes: list[tuple], neighbours: list[tuple], supers: dict, n_parti
         return i
 
     def merge(a, b) -> bool:
-        i, j = at(holds[a][0]), at(holds[b][0])
-        if i == j or len(holds[a]) > 1 or len(holds[b]) > 1 or parts[i] + parts[j] > most:
+        many_a, many_b = ({at(i) for i in holds[x]} for x in (a, b))
+        if (len(many_a) > 1 and len(many_b) > 1) or many_a & many_b:
+            return False
+        i, j = (min(x, key=lambda k: (parts[k], k)) for x in (many_a, many_b))
+        if parts[i] + parts[j] > most:
             return False
         where[j] = i
         parts[i] += parts.pop(j)
@@ -353,6 +403,71 @@ def phonebook(sizes: list[tuple], neighbours: list[tuple], supers: dict, n_parti
     return {c: [numbers.setdefault(at(i), len(numbers)) for i in ids] for c, ids in holds.items()}
 
 
+def place_single_letters(sizes: dict, singles: list[tuple]) -> dict:
+    """name -> partition: names of one letter, most frequent first, each to the partition that is smallest by then."""
+    heap = [(s, p) for p, s in sizes.items()]
+    heapq.heapify(heap)
+    out = {}
+    for name, frequency in sorted(singles, key=lambda x: (-x[1], x[0])):
+        size, p = heapq.heappop(heap)
+        out[name] = p
+        heapq.heappush(heap, (size + frequency, p))
+    return out
+
+
+def split_hierarchy(children: dict, sizes: dict, root, most: float, least: float, n_partitions: int) -> list[tuple[float, list, int]]:
+    """(size of each part, nodes, number of parts) of a hierarchy cut into partitions.
+
+    The largest partition is split while it is over ``most``: a merged one into its nodes, a
+    node into its children, a leaf into equal parts. Then small partitions merge, the
+    largest below ``least`` first, each into the largest that it fits in, until there are
+    ``n_partitions`` or none fits. Over nodes of a hierarchy, on the driver.
+    """
+    parts: list[tuple[float, list, int]] = [(sizes[root], [root], 1)]
+    while parts[-1][0] > most:
+        _, nodes, k = parts.pop()
+        if len(nodes) > 1:
+            new = [(sizes[x], [x], 1) for x in nodes]
+        elif nodes[0] in children:
+            new = [(sizes[x], [x], 1) for x in children[nodes[0]]]
+        else:
+            new = [(sizes[nodes[0]] / (k + 1), nodes, k + 1)]
+        for x in new:
+            bisect.insort(parts, x, key=lambda y: y[0])
+    below = len(parts)
+    while sum(k for _, _, k in parts) > n_partitions and below > 0:
+        below -= 1
+        size, nodes, k = parts[below]
+        if k > 1 or size >= least:
+            continue
+        fits = [j for j in range(below + 1, len(parts)) if parts[j][2] == 1 and size + parts[j][0] <= most]
+        if fits:
+            other = parts.pop(fits[-1])
+            parts.pop(below)
+            bisect.insort(parts, (size + other[0], nodes + other[1], 1), key=lambda y: y[0])
+            below = len(parts)
+    return parts
+
+
+def partition_lookups(clusters: DataFrame, partitions: DataFrame) -> DataFrame:
+    """name, lookups: the partitions that a name's clusters (name, cluster) lie in, by (cluster, start, n); each start counts its n once."""
+    each = clusters.join(partitions, "cluster").groupBy("name", "start").agg(F.max("n").alias("n"))
+    return clusters.select("name").distinct().join(each, "name", "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("lookups"))
+
+
+def standard_clusters(variants: DataFrame, scored: DataFrame, digits: int = 3) -> DataFrame:
+    """name, cluster, score: the best score of a cluster over all variants (name, variant) of a name, from (name, cluster, score)."""
+    best = variants.join(scored.withColumnRenamed("name", "variant"), "variant").groupBy("name", "cluster").agg(F.max("score").alias("score"))
+    return best.select("name", "cluster", F.round("score", digits).alias("score"))
+
+
+def bucket_closure(codes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """cluster, other: clusters reached over a cluster's names (name, cluster), their buckets (head, name) and the names of these."""
+    held = codes.join(buckets, "name").select("cluster", "head").distinct()
+    reached = held.join(buckets, "head").select("cluster", "name").distinct()
+    return reached.join(codes.withColumnRenamed("cluster", "other"), "name").select("cluster", "other").distinct()
+
+
 def round_robin(partitions: DataFrame, machines: int = 40) -> DataFrame:
     """machine and its summed size when partitions are dealt in order of size."""
     rank = F.row_number().over(W.orderBy(F.desc("size"), "partition"))

@@ -44,6 +44,30 @@ def threshold_curve(actuals: DataFrame, scored: DataFrame, thresholds: list[floa
     return per.groupBy("threshold").agg(F.avg(p).alias("precision"), F.avg(r).alias("recall"))
 
 
+def validation_sweep(actuals: DataFrame, scored: DataFrame, sizes: list[int], thresholds: list[float], frequency: DataFrame, clusters: DataFrame | None = None, partitions: DataFrame | None = None) -> DataFrame:
+    """size, threshold, precision, recall, f1, f2, partitions: the threshold curve over the ``size`` most frequent names (0: all).
+
+    ``frequency`` is (name, frequency). With ``clusters`` (name, cluster, score) and
+    ``partitions`` (cluster, start, n), also how many partitions a name looks up on average,
+    each start once. Sizes and thresholds are parameters, one small plan for each size.
+    """
+    out = None
+    for size in sizes:
+        names = frequency.select("name") if not size else frequency.orderBy(F.desc("frequency"), "name").limit(size).select("name")
+        own = actuals.join(names, "name", "left_semi")
+        curve = threshold_curve(own, scored.join(names, "name", "left_semi"), thresholds)
+        if clusters is not None:
+            t = actuals.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
+            met = clusters.join(own.select("name").distinct(), "name", "left_semi").join(F.broadcast(t), F.col("score") >= F.col("threshold")).join(partitions, "cluster")
+            looked = met.groupBy("threshold", "name", "start").agg(F.max("n").alias("n")).groupBy("threshold").agg(F.sum("n").alias("s"))
+            total = own.select("name").distinct().count()
+            curve = curve.join(F.broadcast(looked), "threshold", "left").withColumn("partitions", F.coalesce("s", F.lit(0)) / F.lit(float(max(1, total)))).drop("s")
+        p, r = F.col("precision"), F.col("recall")
+        curve = curve.withColumns({"f1": F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)), "f2": F.when(4 * p + r == 0, F.lit(0.0)).otherwise(5 * p * r / (4 * p + r)), "size": F.lit(size).cast("long")})
+        out = curve if out is None else out.unionByName(curve)
+    return out
+
+
 def curve_area(precisions: list[float], recalls: list[float], distances: bool = False) -> float:
     """Area under a precision-recall curve given by ascending thresholds.
 

@@ -923,19 +923,26 @@ def agglomerative(spark, d):
 
 @query()
 def greedy_cluster(spark, d):
-    """[C10, C11]"""
+    """[C10] every fiftieth name is a nickname of the name before it"""
     v = tables.vectors(spark, d).withColumn("rank", F.col("name"))
-    return clusters.greedy(v.select("name", "rank", "vector"), 0.8)
+    return clusters.greedy(v.select("name", "rank", "vector", F.when(F.col("name") % 50 == 49, F.array(F.col("name") - 1)).alias("heads")), 0.8)
 
 
 @query()
 def phonebook(spark, d):
-    """[C4, C6, C12-C17, J33]"""
+    """[C6, C12-C17] partitions of all codes and of names of one letter; codes with like spelling are near"""
     p = tables.preferred(spark, d).withColumn("cluster", coders.soundex(F.col("name"))).groupBy("cluster").agg(F.sum("frequency").alias("size"))
     sizes = [(r["cluster"], float(r["size"])) for r in p.collect()]
     total = sum(s for _, s in sizes)
-    got = clusters.phonebook(sizes, [], {c: c[:2] for c, _ in sizes}, 40, total / 30)
-    return spark.createDataFrame([(c, i) for c, ids in got.items() for i in ids], "cluster string, partition long")
+    near = [(r["name"], r["alt_name"], r["similarity"]) for r in augment.similar_name_pairs(p.select(F.col("cluster").alias("name")), 0.75).where(F.substring("name", 2, 3) == F.substring("alt_name", 2, 3)).collect()]
+    got = clusters.phonebook(sizes, near, {c: c[:3] for c, _ in sizes}, 40, total / 30)
+    loads: dict[int, float] = {}
+    for c, s in sizes:
+        for i in got[c]:
+            loads[i] = loads.get(i, 0.0) + s / len(got[c])
+    letters = tables.preferred(spark, d).groupBy(F.substring("name", 1, 1).alias("name")).agg(F.count("*").alias("frequency")).collect()
+    singles = clusters.place_single_letters(loads, [(r["name"], float(r["frequency"])) for r in letters])
+    return spark.createDataFrame([(c, i) for c, ids in got.items() for i in ids] + sorted(singles.items()), "cluster string, partition long")
 
 
 # encoders, sampling and further evaluation

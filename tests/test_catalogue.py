@@ -1,6 +1,6 @@
 import pytest
 
-from eponym.plans import catalogue
+from eponym.plans import catalogue, services  # noqa: F401
 
 from .oracle import same
 
