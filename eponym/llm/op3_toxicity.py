@@ -100,7 +100,7 @@ class Sentences:
         gap = np.concatenate([kind[1:] == 2, [False]]) | np.concatenate([points[1:] == 0, [True]])
         ends = (points == 0) | (points == 10) | ((kind == 1) & gap)
         keep = (kind >= 2) | ends
-        points, ends, doc = points[keep], ends[keep], np.cumsum(points == 0)[keep]
+        points, ends, doc = points[keep], ends[keep], np.cumsum(points == 0, dtype=np.int32)[keep]
         letter = kind[keep] == 3
         doc = doc - (points == 0)
         # a run of white space and ends becomes one gap, which ends the sentence if any of it does
@@ -108,7 +108,7 @@ class Sentences:
         run = np.flatnonzero(first)
         closes = np.zeros(len(points), dtype=bool)
         if len(run):
-            total = np.concatenate([[0], np.cumsum(ends)])
+            total = np.concatenate([[0], np.cumsum(ends, dtype=np.int32)])
             past = np.append(run[1:], len(points))
             closes[run] = total[past] > total[run]
         keep = letter | first
@@ -123,8 +123,8 @@ class Sentences:
         keep[at[single]] = False
         points, closes, letter, doc = points[keep], closes[keep], letter[keep], doc[keep]
         # ends of sentences become a gap, zeros, and a gap
-        times = np.where(closes, PAD + 2, 1)
-        place = np.cumsum(times) - times
+        times = np.where(closes, np.int32(PAD + 2), np.int32(1))
+        place = np.cumsum(times, dtype=np.int64) - times
         codes = np.zeros(int(times.sum()) + 2 + PAD, dtype=np.uint32)
         codes[1 + place] = np.where(letter, points + np.uint32(2), np.uint32(1))
         codes[1 + (place + PAD + 1)[closes]] = 1
@@ -134,9 +134,9 @@ class Sentences:
         far = np.diff(gaps)
         word = (far > 1) & (codes[np.minimum(gaps[:-1] + 1, len(codes) - 1)] > 1)
         self.start, self.stop = gaps[:-1][word], gaps[1:][word]
-        owner = np.zeros(len(codes), dtype=np.int64)
+        owner = np.zeros(len(codes), dtype=np.int32)
         owner[1 + place] = doc
-        self.doc = owner[self.start + 1] if len(self.start) else np.zeros(0, np.int64)
+        self.doc = owner[self.start + 1].astype(np.int64)
         self.together = self.stop[:-1] == self.start[1:]  # a word and the next one are of one sentence
 
     def words(self) -> list[str]:
@@ -249,7 +249,17 @@ class Model:
         first = np.flatnonzero(np.concatenate([[True], ~sentences.together]))
         return sentences.doc[first], np.maximum.reduceat(values.max(axis=1), first) + self.constant
 
-    def document_features(self, texts) -> np.ndarray:
+    def document_features(self, texts, most_chars: int = 250_000) -> np.ndarray:
+        """Values of the worst and the second worst sentence of each text; some texts at once, to hold few arrays."""
+        parts, first, chars = [], 0, 0
+        for k, t in enumerate(texts):
+            if chars and chars + len(t or "") > most_chars:
+                parts.append(self._features(texts[first:k]))
+                first, chars = k, 0
+            chars += len(t or "")
+        return np.concatenate([*parts, self._features(texts[first:])])
+
+    def _features(self, texts) -> np.ndarray:
         doc, value = self.sentence_values(Sentences(texts))
         out = np.full((len(texts), 2), NONE)
         value = np.clip(value, NONE, 3)
@@ -404,8 +414,7 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 700, negatives: int = 80
         positives = list(dict.fromkeys(well_held + found))[: negatives // 4] or positives
         taken = set(positives)
         clean_windows = [w for w in dict.fromkeys(clean_windows + list(hard)) if w not in taken and not (w in strong and holders[w] <= 0.1 * worst[w])]
-    texts = [t for (t, _), c in zip(sample, calibrates) if c]
-    x = np.concatenate([model.document_features(texts[at : at + 200]) for at in range(0, len(texts), 200)])
+    x = model.document_features([t for (t, _), c in zip(sample, calibrates) if c])
     model.final = logistic(x, y_all[calibrates], ridge=0.05)
     return model
 
