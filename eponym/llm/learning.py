@@ -51,18 +51,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60,
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, passes: int = 30, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weights (the last for the constant) of a linear SVM with squared hinge loss, by Newton's method."""
-    x1 = np.empty((len(x), x.shape[1] + 1), dtype=np.float32)
-    x1[:, :-1], x1[:, -1] = x, 1.0
+    """Weights of a linear SVM with squared hinge loss, by Newton's method; a column of ones in ``x`` gives the constant."""
     sign = np.where(y == 1, 1.0, -1.0).astype(np.float32)
     c = (cost * (np.ones(len(y)) if weight is None else weight)).astype(np.float32)
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1])
     for _ in range(passes):
-        inside = np.flatnonzero(sign * (x1 @ w.astype(np.float32)) < 1)
+        inside = np.flatnonzero(sign * (x @ w.astype(np.float32)) < 1)
         h, g = np.eye(len(w)), np.zeros(len(w))
         for at in range(0, len(inside), 2000):  # in blocks, as the rows are copied
             rows = inside[at : at + 2000]
-            a = x1[rows]
+            a = x[rows]
             g += 2.0 * (a.T @ (c[rows] * sign[rows]))
             h += 2.0 * (a.T @ (a * c[rows][:, None]))
         new = np.linalg.solve(h, g)

@@ -389,7 +389,10 @@ def fit(sample: list[tuple[str, int]], landmarks: int = 700, negatives: int = 80
         held = np.sqrt([evidence[w] for w in positives] + list(taught.values()))
         y = np.array([1] * len(held) + [0] * len(clean_windows))
         weight = np.concatenate([held / held.mean() * max(1.0, len(clean_windows) / (4 * len(held))), np.ones(len(clean_windows))])
-        svm = linear_svm(landmark.kernel(windows) @ root, y, cost=1.0, weight=weight)
+        x = np.ones((len(windows), root.shape[1] + 1), dtype=np.float32)
+        for at in range(0, len(windows), 2000):
+            x[at : at + 2000, :-1] = landmark.kernel(windows[at : at + 2000]) @ root
+        svm = linear_svm(x, y, cost=1.0, weight=weight)
         model = Model(landmark.weights(root @ svm[:-1]), float(svm[-1]))
         value = data.values(model.weight) + model.constant
         size = value.argmax(axis=1)
