@@ -95,7 +95,7 @@ def outer_settled(text: str) -> tuple[int, int, int, int] | None:
 class ChunkEncoder:
     """Encodes whole texts, each distinct chunk and window once."""
 
-    def __init__(self, path: str, chunk_bits: int = 9, most_chars: int = 12_000_000):
+    def __init__(self, path: str, chunk_bits: int = 10, most_chars: int = 12_000_000):
         self.library = tokenizer(path)
         self.mask, self.most_chars = np.uint32((1 << chunk_bits) - 1), most_chars
         self.known: dict[str, Chunk] = {}
