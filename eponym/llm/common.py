@@ -51,6 +51,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return merged(df).checkpoint(eager=True)
 
 
+def lowest_hashes(rows: DataFrame, hashed, n: int, most: int) -> DataFrame:
+    """Of ``n`` rows, those with the lowest values of a 64-bit hash, about twice ``most``; all if there are few more.
+
+    An ordered limit after it has that many rows to sort, however many partitions there are.
+    """
+    if n <= 4 * most:
+        return rows
+    return rows.where(hashed < F.lit(int(2 * most / n * 2.0**64) - (1 << 63)))
+
+
 def crc_mod(col, n: int):
     """crc32(doc_id as text) mod n."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, lowest_hashes
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, most_chars: int) -> list[tuple[str, int]]:
@@ -19,8 +19,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     texts gives the smallest of them.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where((crc_mod(F.col("doc_id"), folds) != held_out) & F.col("y").isin(0, 1)).distinct()
-    order = [F.xxhash64(F.col("doc_id"), F.lit(label)), F.col("doc_id")]
-    ids = [(r["doc_id"], r["y"]) for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(*order).limit(per_class).collect()]
+    hashed = F.xxhash64(F.col("doc_id"), F.lit(label))
+    held = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    ids = [(r["doc_id"], r["y"]) for y in (0, 1) for r in lowest_hashes(usable.where(F.col("y") == y), hashed, held.get(y, 0), per_class).orderBy(hashed, F.col("doc_id")).limit(per_class).collect()]
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")

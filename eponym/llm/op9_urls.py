@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lowest_hashes, table
 from .learning import sigmoid
 
 #: (verdict, host, path), fixed values.
@@ -180,9 +180,11 @@ def labelled_urls(pages: DataFrame, rules=RULES, most: int = 20_000) -> list[tup
 
     1: a rule blocks it. 0: a rule allows it, or none fits, as only rules say what is unwanted.
     """
-    rows = with_rules(_urls(pages).where(F.col("url").contains("://")), rules).select("page_id", "url", (F.col("rule_verdict") == "block").alias("y"))
-    order = [F.xxhash64("page_id", "url"), F.col("url"), F.col("page_id")]
-    return [(r["url"], int(bool(r["y"]))) for r in rows.orderBy(*order).limit(most).collect()]
+    urls = _urls(pages).where(F.col("url").contains("://"))
+    hashed = F.xxhash64("page_id", "url")
+    some = lowest_hashes(urls, hashed, urls.count(), most).select("page_id", "url", hashed.alias("h"))
+    rows = with_rules(some, rules).select("page_id", "url", "h", (F.col("rule_verdict") == "block").alias("y"))
+    return [(r["url"], int(bool(r["y"]))) for r in rows.orderBy("h", "url", "page_id").limit(most).collect()]
 
 
 def train(pages: DataFrame, rules=RULES, most: int = 20_000) -> Model:

@@ -61,6 +61,18 @@ def test_classifier_edges(spark, make, texts, module):
     assert [r["doc_id"] for r in module.score(make(["a"], [None]), model).collect()] == [None]
 
 
+def test_bounded_sample(spark, make):
+    from eponym.llm.learning import labelled_sample
+
+    docs = make([f"text {k}" for k in range(3000)] + ["another text of the first"] * 500, [*range(3000), *[0] * 500])
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(3000)] + [(4, 0)] * 300, "doc_id long, toxic int").repartition(7)
+    got = labelled_sample(docs, labels, "toxic", 4, 2, 50, 1000)
+    usable = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    hashed = {r["id"]: r["h"] for r in spark.range(3000).selectExpr("id", "xxhash64(id, 'toxic') as h").collect()}
+    want = [k for y in (0, 1) for k in sorted((k for k in usable if (k % 10 == 0) == y), key=lambda k: hashed[k])[:50]]
+    assert sorted(got) == sorted((("another text of the first" if k == 0 else f"text {k}"), int(k % 10 == 0)) for k in want)
+
+
 def invented(rng, n):
     syllable = "ba de fi lo mu ra se ti vo na ke".split()
     return ["".join(rng.choice(syllable) for _ in range(rng.randint(2, 4))) for _ in range(n)]
