@@ -186,23 +186,31 @@ def agglomerative(members: DataFrame, scores: DataFrame, least: float, method: s
     up to 1 - ``least``. Buckets are independent, so each is one task's group.
     """
     weighted = "weight" in members.columns
+    kinds = dict(members.dtypes)
+    several = members.groupBy("bucket").agg(F.count("*").alias("m"))
+    alone = members.join(several.where("m = 1"), "bucket", "left_semi").select("bucket", "name", F.lit(0).alias("cluster"))
+    several = several.where("m > 1").select("bucket")
     rows = members.select("bucket", "name", (F.col("weight").cast("double") if weighted else F.lit(1.0)).alias("weight"), F.lit(None).cast("string").alias("alt_name"), F.lit(None).cast("double").alias("score"))
     rows = rows.unionByName(scores.select("bucket", "name", F.lit(None).cast("double").alias("weight"), F.col("alt_name").cast("string").alias("alt_name"), F.col("score").cast("double").alias("score")))
-    kinds = dict(members.dtypes)
+    # a number of its own, as the rows are few bytes for what a group costs
+    rows = rows.join(several, "bucket", "left_semi").repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, "bucket")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[frame["alt_name"].isna()].sort_values("name")
+        pair = frame["alt_name"].notna().to_numpy()
+        own = frame[~pair].sort_values("name")
         names = own["name"].tolist()
         place = {str(x): k for k, x in enumerate(names)}
         d = np.full((len(names), len(names)), missing)
-        for r in frame[frame["alt_name"].notna()].itertuples():
-            i, j = place.get(str(r.name)), place.get(str(r.alt_name))
-            if i is not None and j is not None:
-                d[i, j] = d[j, i] = 1 - r.score
+        if pair.any():
+            known = frame[pair]
+            i, j = (np.array([place.get(str(x), -1) for x in known[c].tolist()]) for c in ("name", "alt_name"))
+            ok = (i >= 0) & (j >= 0)
+            d[i[ok], j[ok]] = d[j[ok], i[ok]] = 1 - known["score"].to_numpy()[ok]
         merges = linkage(d, method, own["weight"].to_numpy() if weighted else None)
         return pd.DataFrame({"bucket": [frame["bucket"].iloc[0]] * len(names), "name": names, "cluster": cut(len(names), merges, 1 - least)})
 
-    return rows.groupBy("bucket").applyInPandas(run, f"bucket {kinds['bucket']}, name {kinds['name']}, cluster int")
+    grouped = rows.groupBy("bucket").applyInPandas(run, f"bucket {kinds['bucket']}, name {kinds['name']}, cluster int")
+    return grouped.unionByName(alone)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import coders, normalize, strings, vectors
 from ..functions import word_lists as lists
 from ..operators import augment, clusters, metrics, pair_statistics, similarity
 from ..sources import files, tables
-from .sql import refined_soundex_sql, soundex_sql, sql
+from .sql import caverphone_sql, refined_soundex_sql, soundex_sql, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -441,7 +441,8 @@ def _buckets(name: str, code, oracle: str | None = None):
 _buckets("soundex", coders.soundex, soundex_sql("name"))
 _buckets("refined_soundex", coders.refined_soundex, refined_soundex_sql("name"))
 _buckets("identity", lambda c: c, "name")
-for _n, _c in (("nysiis", coders.nysiis), ("metaphone", coders.metaphone), ("cologne", coders.cologne), ("caverphone", coders.caverphone), ("match_rating", coders.match_rating_code)):
+_buckets("caverphone", coders.caverphone, caverphone_sql("name"))
+for _n, _c in (("nysiis", coders.nysiis), ("metaphone", coders.metaphone), ("cologne", coders.cologne), ("match_rating", coders.match_rating_code)):
     _buckets(_n, _c)
 
 

@@ -10,7 +10,7 @@ from ..functions import coders, normalize, strings
 from ..operators import augment, clusters, metrics
 from ..sources import files, tables
 from .catalogue import _CURVE, _KNN_EVAL, _actuals, _candidates, _near, query, r6, rounded
-from .sql import refined_soundex_sql, soundex_sql, sql
+from .sql import caverphone_sql, refined_soundex_sql, soundex_sql, sql
 
 _PIECES = "list_filter(regexp_split_to_array(trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
@@ -42,14 +42,7 @@ def frequent_names(spark, d):
     return normalize.frequent_names(raw.select("name", "frequency", "place"), False)
 
 
-def _caverphone_sql(column: str) -> str:
-    out = f"regexp_replace(lower({column}), '[^a-z]', '', 'g')"
-    for pattern, replacement in coders.CAVERPHONE_STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{replacement.replace('$1', chr(92) + '1')}', 'g')"
-    return f"substring({out} || '1111111111', 1, 10)"
-
-
-@query(sql("pref", "select name, " + _caverphone_sql("name") + " as code from pref"))
+@query(sql("pref", "select name, " + caverphone_sql("name") + " as code from pref"))
 def caverphone_codes(spark, d):
     """[F33]"""
     return tables.preferred(spark, d).select("name", coders.caverphone(F.col("name")).alias("code"))

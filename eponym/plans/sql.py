@@ -72,3 +72,12 @@ def soundex_sql(column: str) -> str:
     first_silent = f"(upper({column})[1] in ('H', 'W'))"
     silent = f"list_filter(list_filter({digits}, lambda x, i: i = 1 or x <> ({digits})[i - 1]), lambda x: x <> '0')"
     return f"upper({column})[1] || rpad(substring(array_to_string(case when {first_silent} then {silent} else {kept} end, ''), 1, 3), 3, '0')"
+
+
+def caverphone_sql(column: str) -> str:
+    from ..functions.coders import CAVERPHONE_STEPS
+
+    out = f"regexp_replace(lower({column}), '[^a-z]', '', 'g')"
+    for pattern, replacement in CAVERPHONE_STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
+    return f"substring({out} || '1111111111', 1, 10)"
