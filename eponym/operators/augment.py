@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import levenshtein_at_least, levenshtein_similarity
 from ..functions.vectors import smoothed_score
+from . import deletions
+from .clusters import _kept
 from .pair_statistics import hash_unit, two_sided_counts
 
 
@@ -69,15 +73,19 @@ def same_code_pairs(names: DataFrame, code) -> DataFrame:
     return codes.join(codes.withColumnRenamed("name", "alt_name"), "code").where("name != alt_name").select("name", "alt_name").distinct()
 
 
-def segments(least: float, longest: int) -> list[tuple[int, int, int, int, int, int, int]]:
+def segments(least: float, longest: int, lengths: set[int] | None = None) -> list[tuple[int, int, int, int, int, int, int]]:
     """Rows (shorter, longer, segment, place, size, first, last) of names that may be alike.
 
     At most k = floor((1 - least) * longer) edits leave one of k + 1 segments of the shorter
     name whole; in the longer one it starts between ``first`` and ``last`` (places from 1).
+    Only for names of ``lengths``, where these are given.
     """
     out = []
-    for short in range(1, longest + 1):
-        for long in range(short, min(longest, math.floor(short / least + 1e-9)) + 1):
+    held = sorted(lengths) if lengths else range(1, longest + 1)
+    for short in held:
+        for long in held:
+            if not short <= long <= math.floor(short / least + 1e-9):
+                continue
             k = math.floor((1 - least) * long + 1e-9)
             more = long - short
             for i in range(k + 1):
@@ -89,20 +97,111 @@ def segments(least: float, longest: int) -> list[tuple[int, int, int, int, int,
 
 
 def similar_name_pairs(names: DataFrame, least: float) -> DataFrame:
-    """Unordered pairs (name < alt_name) with edit similarity of at least ``least``.
+    """Unordered pairs (name < alt_name) with edit similarity of at least ``least``, each once.
 
-    Candidates come from an equi-join on a segment of the shorter name that the edits must
-    leave whole, its number, and both lengths; the longer name offers its letters at the few
-    places where that segment can be. A bounded distance decides.
+    Short names of the letters a to z meet by what deletions leave of them (see
+    ``deletions``), all others by segments.
     """
-    own = names.select("name").where(F.length("name") > 0).distinct()
+    own = _kept(names.select("name").where(F.length("name") > 0).distinct())
     longest = own.agg(F.max(F.length("name"))).head()[0] or 0
     if not longest:
         return own.select("name", F.col("name").alias("alt_name"), F.lit(0.0).alias("similarity")).limit(0)
-    parts = own.sparkSession.createDataFrame(segments(least, longest), "shorter int, longer int, segment int, place int, size int, first int, last int")
+    own = own.withColumn("plain", F.col("name").rlike(f"^[a-z]{{1,{deletions.WIDEST}}}$"))
+    plain, odd = own.where("plain").select("name"), own.where("not plain").select("name")
+    out = _by_rests(plain.where(F.length("name") <= deletions.LONGEST), least).unionByName(_by_all_pairs(plain, least))
+    if not odd.isEmpty():
+        rows = segments(least, longest, {r[0] for r in own.select(F.length("name")).distinct().collect()})
+        some = _by_segments(odd, plain, rows, least).unionByName(_by_segments(plain, odd, rows, least)).unionByName(_by_segments(odd, odd, rows, least))
+        out = out.unionByName(some.distinct())
+    return out
+
+
+def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000) -> DataFrame:
+    """Pairs alike of names of a to z whose longer one is too long for ``_by_rests``.
+
+    Blocks of names of one length meet without a shuffle, each as one row of bytes.
+    """
+    rest = [n for n in range(1, deletions.WIDEST + 1) if n not in deletions.lengths(least) and deletions.edits(least, n)]
+    found = pa.schema([("name", pa.string()), ("alt_name", pa.string()), ("similarity", pa.float64())])
+
+    def pack(batches):
+        schema = pa.schema([("size", pa.int32()), ("cells", pa.binary())])
+        by: dict[int, list[str]] = {}
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                by.setdefault(len(x), []).append(x)
+        for n, names in by.items():
+            for at in range(0, len(names), block):
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([deletions.cells_of(names[at : at + block]).tobytes()], pa.binary())], schema=schema)
+
+    def meet(batches):
+        for batch in batches:
+            for n, long, m, short in zip(*(batch.column(c) for c in range(4))):
+                n, m = n.as_py(), m.as_py()
+                p, q = (np.frombuffer(x.as_py(), dtype=np.uint8).reshape(-1, deletions.WIDEST) for x in (long, short))
+                for a, b, d in deletions.all_pairs(p, q, n, m, least):
+                    a, b = deletions.text_of(a), deletions.text_of(b)
+                    rows = [(min(x, y), max(x, y), 1 - z / n) for x, y, z in zip(a, b, d.tolist()) if m < n or x < y]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), found.types)], schema=found)
+
+    n = plain.count()
+    blocks = _kept(plain.repartition(max(1, -(-n // (4 * block))), F.length("name"), F.pmod(F.xxhash64("name"), F.lit(max(1, n // block)))).mapInArrow(pack, "size int, cells binary"))
+    k = max(1, min(blocks.count(), 6 + n // 1_000_000))
+    long = _kept(blocks.where(F.col("size").isin(rest)).repartition(k))
+    short = _kept(blocks.select(F.col("size").alias("short_size"), F.col("cells").alias("short_cells")).repartition(k))
+    met = long.hint("shuffle_replicate_nl").join(short, (F.col("short_size") <= F.col("size")) & (F.col("short_size") >= F.lit(least) * F.col("size") - 1e-9))
+    return met.mapInArrow(meet, "name string, alt_name string, similarity double")
+
+
+def _by_rests(plain: DataFrame, least: float, rows: int = 1_000_000) -> DataFrame:
+    """Pairs alike of names of a to z whose longer one has one of the lengths of ``deletions``.
+
+    Rests are dealt by a hash, as blocks of bytes; a task lists all pairs that meet under its
+    rests and keeps those under their largest common one, so no pairs are shuffled.
+    """
+    sizes = {r["n"]: r["m"] for r in plain.groupBy(F.length("name").alias("n")).agg(F.count("*").alias("m")).collect()}
+    parts = max(1, -(-sum(m * deletions.rests_of(n, least) for n, m in sizes.items()) // rows))
+    parts = max(parts, min(2 * plain.sparkSession.sparkContext.defaultParallelism, sum(sizes.values()) // 1000 + 1))
+    dealt, found = pa.schema([("part", pa.int32()), ("rests", pa.binary())]), pa.schema([("name", pa.string()), ("alt_name", pa.string()), ("similarity", pa.float64())])
+
+    def deal(batches):
+        for batch in batches:
+            some = [r for r in deletions.rests(deletions.packed(batch.column(0).to_pylist()), least)]
+            if not some:
+                continue
+            keys, names = (np.concatenate(x) for x in zip(*some))
+            part = deletions.dealt(keys, parts)
+            order = np.argsort(part, kind="stable")
+            both = np.stack([keys[order], names[order]], axis=1)
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            own = np.flatnonzero(cut[1:] > cut[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([both[cut[p] : cut[p + 1]].tobytes() for p in own.tolist()], pa.binary())], schema=dealt)
+
+    def meet(batches):
+        blocks = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for batch in batches for x in batch.column(1).to_pylist()]
+        if not blocks:
+            return
+        both = np.concatenate(blocks)
+        del blocks
+        for a, b, d, n in deletions.meet(both[:, 0], both[:, 1], least):
+            yield pa.RecordBatch.from_arrays([deletions.text(a), deletions.text(b), pa.array(1 - d / n, pa.float64())], schema=found)
+
+    dealt_rows = plain.mapInArrow(deal, "part int, rests binary").repartition(parts, "part")
+    return dealt_rows.mapInArrow(meet, "name string, alt_name string, similarity double")
+
+
+def _by_segments(left: DataFrame, right: DataFrame, rows: list[tuple], least: float) -> DataFrame:
+    """Pairs alike of a shorter name of ``left`` and a longer one of ``right``, with lengths of ``rows`` (see ``segments``).
+
+    Candidates come from an equi-join on a segment of the shorter name that the edits must
+    leave whole, its number, and both lengths; the longer name offers its letters at the few
+    places where that segment can be. The edit distance decides.
+    """
+    parts = left.sparkSession.createDataFrame(rows, "shorter int, longer int, segment int, place int, size int, first int, last int")
     piece = F.expr("substring(name, place, size)").alias("piece")
-    held = own.join(F.broadcast(parts), F.length("name") == F.col("shorter")).select("shorter", "longer", "segment", piece, F.col("name").alias("a"))
-    spread = own.join(F.broadcast(parts), F.length("name") == F.col("longer")).select("shorter", "longer", "segment", "size", "name", F.explode(F.sequence("first", "last")).alias("place"))
+    held = left.join(F.broadcast(parts), F.length("name") == F.col("shorter")).select("shorter", "longer", "segment", piece, F.col("name").alias("a"))
+    spread = right.join(F.broadcast(parts), F.length("name") == F.col("longer")).select("shorter", "longer", "segment", "size", "name", F.explode(F.sequence("first", "last")).alias("place"))
     offered = spread.select("shorter", "longer", "segment", piece, F.col("name").alias("b")).distinct()
     met = held.join(offered, ["shorter", "longer", "segment", "piece"]).where((F.col("a") != F.col("b")) & ((F.col("shorter") < F.col("longer")) | (F.col("a") < F.col("b"))))
     near = met.where(levenshtein_at_least(F.col("a"), F.col("b"), least)).select(F.least("a", "b").alias("name"), F.greatest("a", "b").alias("alt_name")).distinct()

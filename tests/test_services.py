@@ -53,6 +53,31 @@ def test_tfidf_neighbours_equal_all_pairs(spark, block):
     assert got == want
 
 
+def test_similar_pairs_of_mixed_names_meet_once(spark):
+    rng = random.Random(11)
+    names = names_of(12, 120) + ["".join(rng.choice("aab") for _ in range(rng.randint(2, 9))) for _ in range(120)] + ["Ann", "an n", "bäab", "aab1", "aabb1", "aaaaaaaaaaaab", "aaaaaaaaaaaaab"]
+    names = sorted(set(names))
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    for least in (0.65, 0.75, 0.85):
+        got = [(r["name"], r["alt_name"], round(r["similarity"], 9)) for r in augment.similar_name_pairs(df, least).collect()]
+        want = {(a, b, round(alike(a, b), 9)) for k, a in enumerate(names) for b in names[k + 1 :] if alike(a, b) >= least - 1e-12}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_pairs_meet_by_rests_of_names(spark):
+    """Names that share a common segment only are not compared (before: 3.4e9 candidates for 296,000 names)."""
+    import numpy as np
+
+    from eponym.operators import deletions
+
+    names = ["er" + x + y for x in "abcdfghjkl" for y in ("mnopqr", "stuvwx", "zyxwvu")]
+    keys, rows = (np.concatenate(x) for x in zip(*deletions.rests(deletions.packed(names), 0.75)))
+    assert len(np.unique(keys >> np.uint64(1))) > 0.5 * len(keys)
+    pairs = [p for a, b, d, n in deletions.meet(keys, rows, 0.75) for p in zip(deletions.text(a).to_pylist(), deletions.text(b).to_pylist(), (1 - d / n).tolist())]
+    want = [(a, b, alike(a, b)) for k, a in enumerate(sorted(names)) for b in sorted(names)[k + 1 :] if alike(a, b) >= 0.75]
+    assert sorted(pairs) == sorted(want)
+
+
 def brute_closures(pairs, most):
     up, size = {}, {}
 
