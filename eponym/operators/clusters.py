@@ -5,9 +5,12 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -213,8 +216,70 @@ def agglomerative(members: DataFrame, scores: DataFrame, least: float, method: s
     return grouped.unionByName(alone)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """name, component (its smallest name) of undirected edges (a, b); labels fall and jump until nothing changes."""
+def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches over the edges (u, v)."""
+    label = np.arange(n)
+    while True:
+        x, y = label[u], label[v]
+        differ = x != y
+        if not differ.any():
+            return label
+        u, v, x, y = u[differ], v[differ], x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _stars(edges: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Edges (u, l) that connect within each partition what its edges (u, l) connect: every name with the smallest it reaches."""
+    kind = dict(edges.dtypes)["u"]
+
+    def run(batches):
+        held, m = [], 0
+
+        def reduced():
+            both = pa.concat_arrays([b.column(k) for k in (0, 1) for b in held]).dictionary_encode()
+            order = pc.array_sort_indices(both.dictionary).to_numpy()
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            at = place[both.indices.to_numpy()]
+            label = _roots(at[: len(at) // 2], at[len(at) // 2 :], len(order))
+            some = np.flatnonzero(label != np.arange(len(order)))
+            return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(order[x])) for x in (some, label[some])], names=["u", "l"])
+
+        for batch in batches:
+            held.append(batch)
+            m += batch.num_rows
+            if m > rows + 2 * held[0].num_rows:
+                held = [reduced()]
+                m = held[0].num_rows
+        if held:
+            yield reduced()
+
+    return edges.mapInArrow(run, f"u {kind}, l {kind}")
+
+
+def components(edges: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """name, component (its smallest name) of undirected edges (a, b).
+
+    Partitions are reduced to stars, a few of them together each time while they hold up to
+    ``rows``; if several are left, labels fall and jump until nothing changes.
+    """
+    stars = _kept(_stars(edges.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("l"))))
+    parts = stars.rdd.getNumPartitions()
+    while parts > 1:
+        fewer = max(1, -(-stars.count() // rows))
+        if 2 * fewer > parts:
+            break
+        stars = _kept(_stars(stars.coalesce(fewer)))
+        parts = fewer
+    if parts <= 1:
+        return stars.select(F.col("u").alias("name"), F.col("l").alias("component")).union(stars.select("l", "l").distinct())
+    return _labels(stars.select(F.col("u").alias("a"), F.col("l").alias("b")))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """``components`` by labels that fall and jump until nothing changes."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u != v").distinct()
     both = _kept(both)
     labels = _kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
@@ -227,8 +292,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("u", "l")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; one of its own where a session on one machine has none."""
+def _written(df: DataFrame) -> DataFrame:
+    """Like ``_kept``, for many rows: as compressed columns beside the checkpoints."""
+    folder = f"{_kept_folder(df)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _kept_folder(df: DataFrame) -> str:
+    """The session's checkpoint folder; one of its own where a session on one machine has none."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
@@ -237,6 +309,12 @@ def _kept(df: DataFrame) -> DataFrame:
         if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="eponym-"))
+    return sc.getCheckpointDir()
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder."""
+    _kept_folder(df)
     return df.checkpoint(eager=True)
 
 
@@ -245,15 +323,19 @@ def capped_closures(scored: DataFrame, most: int = 10_000) -> DataFrame:
 
     The order of pairs decides, but only among pairs of one connected component, and the
     cap binds only in components over ``most``. Smaller ones are closures as they are;
-    each larger one is folded in order by a task of its own (one entry per name).
+    each larger one is folded in order by one task (one entry per name, pairs pass by).
     """
     kind = dict(scored.dtypes)["a"]
+    scored = _written(scored.select("a", "b", "distance"))
     whole = _kept(components(scored))
     sizes = whole.groupBy("component").agg(F.count("*").alias("n"))
     over = sizes.where(F.col("n") > most).select("component")
     small = whole.join(sizes.where(F.col("n") <= most).select("component"), "component", "left_semi").select("name", F.col("component").alias("closure"))
+    if over.isEmpty():
+        return small
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches):
+        """Rows come by component and in order; only the names' places and sizes are held."""
         up: dict = {}
         size: dict = {}
 
@@ -263,19 +345,27 @@ def capped_closures(scored: DataFrame, most: int = 10_000) -> DataFrame:
                 x = up[x]
             return x
 
-        for r in frame.sort_values(["distance", "a", "b"]).itertuples():
-            for x in (r.a, r.b):
-                up.setdefault(x, x)
-                size.setdefault(x, 1)
-            i, j = sorted((root(r.a), root(r.b)))
-            if i != j and size[i] + size[j] <= most:
-                up[j] = i
-                size[i] += size[j]
-        names = sorted(up)
-        return pd.DataFrame({"name": names, "closure": [root(x) for x in names]})
-
-    pairs = scored.select("a", "b", "distance").join(whole.withColumnRenamed("name", "a"), "a").join(over, "component", "left_semi")
-    return small.unionByName(pairs.groupBy("component").applyInPandas(fold, f"name {kind}, closure {kind}"))
+        out = None
+        for batch in batches:
+            out = out or pa.schema([("name", batch.schema.field("a").type), ("closure", batch.schema.field("a").type)])
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for x in (a, b):
+                    if x not in up:
+                        up[x] = x
+                        size[x] = 1
+                a, b = root(a), root(b)
+                if a != b and size[a] + size[b] <= most:
+                    i, j = (a, b) if a < b else (b, a)
+                    up[j] = i
+                    size[i] += size[j]
+        if up:
+            names = list(up)
+            yield pa.RecordBatch.from_arrays([pa.array(c, out.field(0).type) for c in (names, [root(x) for x in names])], schema=out)
+
+    # components are independent, so those of one task may be folded together
+    held = whole.join(over, "component", "left_semi").select(F.col("name").alias("a"), F.xxhash64("component").alias("c"))
+    pairs = scored.join(held, "a").repartition("c").sortWithinPartitions("distance", "a", "b").select("a", "b")
+    return small.unionByName(pairs.mapInArrow(fold, f"name {kind}, closure {kind}"))
 
 
 def greedy(ranked: DataFrame, threshold: float) -> DataFrame:

@@ -105,6 +105,18 @@ def test_capped_closures_equal_one_fold(spark, most):
     assert {r["name"]: r["closure"] for r in got} == brute_closures(pairs, most)
 
 
+@pytest.mark.parametrize("rows", [5, 1_000_000])
+def test_components_by_stars(spark, rows):
+    """Stars of partitions join to whole components, with few rows in a task and with many (before: only rounds over all edges)."""
+    rng = random.Random(rows)
+    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(220))] + [("é", "z"), ("z", "n000"), ("q", "q")]
+    df = spark.createDataFrame(edges, "a string, b string").repartition(9)
+    got = {r["name"]: r["component"] for r in clusters.components(df, rows).collect()}
+    assert got == brute_closures([(a, b, 0.0) for a, b in edges if a != b], 10**9)
+    stars = clusters._stars(df.where("a != b").toDF("u", "l").coalesce(1), rows).collect()
+    assert {r["u"]: r["l"] for r in stars} == {a: b for a, b in got.items() if a != b}
+
+
 def test_linkage_equals_whole_searches():
     rng = np.random.default_rng(5)
     for method in ("average", "complete", "single"):
