@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import coders, normalize, strings
 from ..operators import augment, clusters, metrics
 from ..sources import files, tables
-from .catalogue import _CURVE, _KNN_EVAL, _actuals, _candidates, _near, query, r6, rounded
+from .catalogue import _CURVE, _KNN_EVAL, _judged, _near, _totals, query, r6, rounded
 from .sql import caverphone_sql, refined_soundex_sql, soundex_sql, sql
 
 _PIECES = "list_filter(regexp_split_to_array(trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -125,7 +125,7 @@ def validation_sweep(spark, d):
     from .catalogue import _THRESHOLDS
 
     frequency = tables.vectors(spark, d).select("name", (F.col("name") % 7).alias("frequency"))
-    return rounded(metrics.validation_sweep(_actuals(spark, d), _candidates(spark, d), [0, 100], _THRESHOLDS, frequency, _taken(spark, d), _partitions(spark, d)))
+    return rounded(metrics.judged_sweep(_totals(spark, d), _judged(spark, d), [0, 100], _THRESHOLDS, frequency, _taken(spark, d), _partitions(spark, d)))
 
 
 # services: normalise a name, its vector, its standard clusters

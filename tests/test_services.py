@@ -78,6 +78,42 @@ def test_similar_pairs_meet_by_rests_of_names(spark):
     assert sorted(pairs) == sorted(want)
 
 
+def test_blocks_meet_without_a_shuffle(spark):
+    """Blocks are not shuffled to their meetings, and a task keeps only the best of all it met (before: an exchange of all pairs of blocks)."""
+    names = names_of(5, 80)
+    t = similarity.tfidf(spark.createDataFrame([(x,) for x in names], "name string"), strings.char_ngrams(F.col("name")))
+    plan = similarity.tfidf_nearest(t, t, 4, block=9)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") <= 1
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_equals_all_pairs(spark, metric):
+    import numpy as np
+
+    v = np.round(np.random.default_rng(3).normal(size=(70, 5)), 1)
+    v[10:20] = v[:10]  # ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "name long, vector array<float>")
+    for with_self, least in ((True, None), (False, 0.2)):
+        got = {}
+        for r in similarity.nearest(df, df, 6, metric, least=least, with_self=with_self, block=8).orderBy("input_name", "rank").collect():
+            got.setdefault(r["input_name"], []).append(r["candidate_name"])
+        plan = similarity.nearest(df, df, 6, metric, block=8)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan
+        if metric == "cosine":
+            f = v.astype("f4").astype(float)
+            u = f / np.linalg.norm(f, axis=1, keepdims=True)
+            want = {i: [j for _, j in sorted((-round(s, 9), j) for j, s in enumerate(u @ u[i]) if (with_self or j != i) and (least is None or s > least))[:6]] for i in range(70)}
+            assert got == {i: x for i, x in want.items() if x}
+
+
+def test_code_join_gives_each_pair_once(spark):
+    q = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "z"), ("c", "x")], "name string, code string")
+    i = spark.createDataFrame([("m", "x"), ("m", "y"), ("n", "y"), ("n", "z"), ("o", "q")], "name string, code string").select("code", "name")
+    got = clusters.code_join(q, i)
+    assert sorted(map(tuple, got.collect())) == [("a", "m"), ("a", "n"), ("b", "m"), ("b", "n"), ("c", "m")]
+    assert "keys=[name#" not in got._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]  # no pass over all pairs
+
+
 def brute_closures(pairs, most):
     up, size = {}, {}
 
@@ -180,3 +216,15 @@ def test_pieces_and_scripts(spark):
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", strings.edit_script("a", "b").alias("e"), strings.jaro_winkler("a", "b").alias("j")).collect()
     assert len(rows) == len(pairs) and all(r["e"]["cost"] >= 0 and 0 <= r["j"] <= 1 for r in rows)
     assert strings.jaro("aanhaingnt", "erthing") == pytest.approx((4 / 10 + 4 / 7 + 3 / 4) / 3)  # three letters out of place are one transposition
+
+
+def test_totals_and_judged_equal_listed_actuals(spark, sf_dir):
+    """The curve needs no list of all pairs of a label (before: the square of a label's names)."""
+    from eponym.operators import metrics
+    from eponym.plans import catalogue as c
+
+    want = {r["name"]: r["total"] for r in c._actuals(spark, sf_dir).groupBy("name").agg(F.sum("frequency").alias("total")).collect()}
+    assert {r["name"]: r["total"] for r in c._totals(spark, sf_dir).collect()} == want
+    listed = metrics.threshold_curve(c._actuals(spark, sf_dir), c._candidates(spark, sf_dir), [0.2, 0.5]).orderBy("threshold").collect()
+    judged = metrics.judged_curve(c._totals(spark, sf_dir), c._judged(spark, sf_dir), [0.2, 0.5]).orderBy("threshold").collect()
+    assert [[round(x, 9) for x in r] for r in listed] == [[round(x, 9) for x in r] for r in judged]
