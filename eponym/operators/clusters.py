@@ -430,15 +430,26 @@ def augment_clusters(known: DataFrame, unseen: DataFrame, threshold: float) -> D
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         names, cluster = frame["name"].tolist(), frame["cluster"].tolist()
         of = {str(n): c for n, c, r in zip(names, cluster, frame["rank"]) if r < 0}
-        compared = [k for k, r in enumerate(frame["rank"]) if r < 0]
-        for i in range(len(compared), len(names)):
-            b = frame["basename"].iloc[i]
-            if b is not None and b in of:
-                cluster[i] = of[b]
+        first = len(cluster) - int((frame["rank"] >= 0).sum())
+        # which names are compared does not hang on clusters, so all nearest ones before are found first, by blocks
+        bases, there = frame["basename"].tolist(), set(of)
+        by_base = np.zeros(len(names), dtype=bool)
+        for i in range(first, len(names)):
+            by_base[i] = bases[i] is not None and bases[i] in there
+            there.add(str(names[i]))
+        compared = np.flatnonzero(~by_base)
+        m, nearest, score = m[compared], np.full(len(names), -1), np.full(len(names), -np.inf)
+        for low in range(first, len(compared), 128):
+            high = min(len(compared), low + 128)
+            s = m[low:high] @ m[:high].T
+            s[:, low:][np.triu_indices(high - low)] = -np.inf
+            at = s.argmax(axis=1)
+            nearest[compared[low:high]], score[compared[low:high]] = compared[at], s[np.arange(high - low), at]
+        for i in range(first, len(names)):
+            if by_base[i]:
+                cluster[i] = of[bases[i]]
             else:
-                s = m[compared] @ m[i] if compared else np.zeros(0)
-                cluster[i] = cluster[compared[int(s.argmax())]] if len(s) and s.max() >= threshold else str(names[i])
-                compared.append(i)
+                cluster[i] = cluster[nearest[i]] if score[i] >= threshold and np.isfinite(score[i]) else str(names[i])
             of[str(names[i])] = cluster[i]
         seen = (frame["rank"] >= 0).to_numpy()
         return pd.DataFrame({"name": frame["name"][seen], "cluster": np.array(cluster, dtype=object)[seen]})

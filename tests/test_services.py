@@ -189,6 +189,26 @@ def test_cluster_augmentation(spark):
     assert got == {"anne": "A", "zed": "zed", "zeda": "zed", "debob": "B", "dezed": "zed", "deq": "A"}
 
 
+def test_cluster_augmentation_in_blocks_equals_one_after_another(spark):
+    """Several blocks of 128 new names (before: a copy of all vectors for every name)."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 4))
+    known = {f"k{i}": (v[i], f"C{i}") for i in range(60)}
+    new = [(f"n{i}", i, v[i], f"n{rng.integers(60, 400)}" if i % 7 == 0 else None) for i in range(60, 400)]
+    seen, of, want = [(v[i], f"C{i}") for i in range(60)], {k: c for k, (_, c) in known.items()}, {}
+    for name, _, x, base in new:
+        if base in of:
+            c = of[base]
+        else:
+            s = [float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) for y, _ in seen]
+            c = seen[int(np.argmax(s))][1] if max(s) >= 0.9 else name
+            seen.append((x, c))
+        of[name] = want[name] = c
+    a = spark.createDataFrame([(k, x.tolist(), c) for k, (x, c) in known.items()], "name string, vector array<double>, cluster string")
+    b = spark.createDataFrame([(n, r, x.tolist(), y) for n, r, x, y in new], "name string, rank int, vector array<double>, basename string")
+    assert {r["name"]: r["cluster"] for r in clusters.augment_clusters(a, b, 0.9).collect()} == want
+
+
 def test_split_hierarchy():
     children, sizes = {"r": ["a", "b"], "a": ["c", "d"]}, {"r": 100.0, "a": 40.0, "b": 60.0, "c": 30.0, "d": 10.0}
     cut = clusters.split_hierarchy(children, sizes, "r", 35.0, 20.0, 2)
