@@ -31,7 +31,9 @@ hashes of shingles, and never lists the pairs of a group of copies:
 Shuffled data: digests of sets, short lists (a tenth of the sets), and whole sets of
 documents in a proposed pair only. Those are chosen by a bitmap, which like the sketch is
 sized by a count of documents up to a bound (more only costs speed). Every step reads
-checkpointed tables, so lost executors cost a task each.
+checkpointed tables, so lost executors cost a task each. A step's shuffle files go when it
+ends, a checkpoint's when the last step that reads it has ended, so the disk in use is that
+of the largest step.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words;
 null text or a text without words has an empty set, links with nothing and is its own
@@ -55,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, merged, slices, small_batches, table, task_memory, utf8
+from .common import checkpointed, merged, released, shuffles_released, slices, small_batches, table, task_memory, utf8
 
 SCANNED = "kind int, doc_id long, n long, k1 long, k2 long, part int, counts binary"
 PARTS = 64
@@ -392,17 +394,20 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int, broadcas
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, label) for every end of a link; the label is the smallest doc_id reachable."""
+    """(doc_id, label) for every end of a link, checkpointed; the label is the smallest doc_id reachable."""
     both = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u != v").distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "doc_id"))
+    held = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "doc_id"))
     while True:
+        labels = held.select("doc_id", "label")
         near = both.join(labels.select(F.col("doc_id").alias("v"), F.col("label").alias("l")), "v").groupBy(F.col("u").alias("doc_id")).agg(F.min("l").alias("l"))
         new = labels.join(near, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = new.select(F.col("doc_id").alias("label"), F.col("label").alias("further"))
         new = checkpointed(new.join(jump, "label", "left").select("doc_id", "old", F.coalesce("further", "label").alias("label")))
+        released(held)
         if new.where("old != label").isEmpty():
-            return new.select("doc_id", "label")
-        labels = new.select("doc_id", "label")
+            released(both)
+            return new
+        held = new
 
 
 def search_long(lists: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, block: int) -> DataFrame | None:
@@ -412,13 +417,14 @@ def search_long(lists: DataFrame, labels: DataFrame, docs: DataFrame, words: int
     may have, and by hash within a step. A query goes to the blocks of its step and of those
     beside it only; a document of the index goes to one block.
     """
-    known = lists.join(labels, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    known = lists.join(labels.select("doc_id", "label"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     sizes = known.groupBy("token", "label").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).where("top.m < all")
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) if percent < 100 else 1e-9) + 1e-9).cast("long")
     rows = known.join(largest, "token").select("token", "doc_id", "n", "label", step.alias("step"), (F.col("label") != F.col("top.label")).alias("query"))
     rows = checkpointed(rows)
     if rows.isEmpty():
+        released(rows)
         return None
     sets = checkpointed(whole_sets(docs, words, rows.select("doc_id").distinct()))
     blocks = rows.groupBy("token", "step").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
@@ -455,22 +461,31 @@ def search_long(lists: DataFrame, labels: DataFrame, docs: DataFrame, words: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = checkpointed(dealt.mapInArrow(run, "a long, b long").distinct())
+    released(rows, sets)
+    return found
 
 
 def join(docs: DataFrame, percent: int = 90, words: int = 3, extra: int = 2, short_list: int = 96, block: int = 250_000, sketch_bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    with shuffles_released(docs.sparkSession):
+        return _join(docs, percent, words, extra, short_list, block, sketch_bits)
+
+
+def _join(docs: DataFrame, percent: int, words: int, extra: int, short_list: int, block: int, sketch_bits: int | None) -> DataFrame:
     sketch_bits = sketch_bits or min(25, max(12, (32 * max(1, docs.count())).bit_length()))
     scanned = checkpointed(scan(docs, words, sketch_bits))
-    every = scanned.where("kind = 0").select("doc_id", "n", "k1", "k2")
+    bits = frequent_bits(scanned, sketch_bits)
+    every = checkpointed(scanned.where("kind = 0").select("doc_id", "n", "k1", "k2"))
+    released(scanned)
     real = every.where("n > 0 and doc_id is not null")
     classes = checkpointed(real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("head")))
-    bits = frequent_bits(scanned, sketch_bits)
     some = checkpointed(prefixes(docs, words, bits, sketch_bits, percent, extra).join(classes.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     postings = some.select(F.explode("prefix").alias("token"), "doc_id", "n")
     # written, so that the join reads both sides from exchanges of its own and a hot shingle's postings can be split
     lists = checkpointed(postings.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1"))
     shared = checkpointed(postings.join(lists, "token"))
+    released(some, lists)
     short = shared.where(F.col("m") <= short_list).groupBy("token").agg(F.sort_array(F.collect_set(F.struct("doc_id", "n"))).alias("d")).where("size(d) > 1")
     stars = shared.where((F.col("m") > short_list) & (F.col("doc_id") != F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("bn"))
     proposed = checkpointed(propose(short, percent, extra).union(stars.distinct()).groupBy("a", "b").agg(F.max("bn").alias("bn")))
@@ -479,15 +494,17 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, extra: int = 2, sho
     several = real.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.min("k2").alias("low2"), F.max("k2").alias("high2")).where("low != high or low2 != high2").select("doc_id")
     tied = real.join(several, "doc_id").join(classes, ["k1", "k2", "n"]).select("doc_id", F.col("head").alias("b")).distinct()
     ties = tied.join(tied.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b")
-    links = checkpointed(verify(proposed, checkpointed(whole_sets(docs, words, ends)), percent, block).union(ties.where("a != b")))
+    sets = checkpointed(whole_sets(docs, words, ends))
+    links = checkpointed(verify(proposed, sets, percent, block).union(ties.where("a != b")))
+    released(sets, proposed)
     labels = components(links)
     long = shared.where(F.col("m") > short_list).select("token", "doc_id", "n").distinct()
     more = None if long.isEmpty() else search_long(long, labels, docs, words, percent, block)
-    if more is not None:
-        more = checkpointed(more)
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b")).union(more))
-    heads = classes.join(labels.withColumnRenamed("doc_id", "head"), "head", "left").select("k1", "k2", F.col("n").alias("__n"), F.coalesce("label", "head").alias("__c"))
+    released(shared, links)
+    if more is not None and not more.isEmpty():
+        first, labels = labels, components(labels.select(F.col("label").alias("a"), F.col("doc_id").alias("b")).union(more))
+        released(first, more)
+    heads = classes.join(labels.select(F.col("doc_id").alias("head"), "label"), "head", "left").select("k1", "k2", F.col("n").alias("__n"), F.coalesce("label", "head").alias("__c"))
     named = every.join(heads, (every.k1 == heads.k1) & (every.k2 == heads.k2) & (every.n == heads["__n"]), "left")
     return merged(named).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("__c", "doc_id")).alias("component_id"))
 

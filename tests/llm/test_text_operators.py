@@ -217,6 +217,31 @@ def test_merge_skip_equals_counting():
             assert list(op5_jaccard.merge_skip(lists, need)) == sorted((x, c) for x, c in counts.items() if c >= need)
 
 
+def test_join_gives_disk_back(spark, make):
+    """Of all checkpoints and shuffles only what the result reads is left (before: all of them, until the driver collected its garbage)."""
+    import pathlib
+    import time
+
+    from eponym.llm.common import shared_dir
+
+    shared_dir(spark)
+    top = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles()) if f.getName().startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, written, before = set(top.iterdir()), shuffles(), spark.conf.get(key)
+    found = op5_jaccard.join(make(near_texts()), short_list=2, block=300)
+    assert spark.conf.get(key) == before
+    assert len(set(top.iterdir()) - held) <= 4
+    for _ in range(50):
+        if not shuffles() - written:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - written
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
+    assert got == brute_components(list(enumerate(near_texts())))
+
+
 def test_hot_shingles_of_many_sizes(make):
     """A passage in every document, so all lists of it are long, and groups of near copies besides."""
     rng = random.Random(21)
