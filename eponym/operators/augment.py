@@ -102,27 +102,57 @@ def similar_name_pairs(names: DataFrame, least: float) -> DataFrame:
     Short names of the letters a to z meet by what deletions leave of them (see
     ``deletions``), all others by segments.
     """
-    own = _kept(names.select("name").where(F.length("name") > 0).distinct())
-    longest = own.agg(F.max(F.length("name"))).head()[0] or 0
-    if not longest:
+    own, plain, odd = _plain_and_odd(names)
+    if own.isEmpty():
         return own.select("name", F.col("name").alias("alt_name"), F.lit(0.0).alias("similarity")).limit(0)
-    own = own.withColumn("plain", F.col("name").rlike(f"^[a-z]{{1,{deletions.WIDEST}}}$"))
-    plain, odd = own.where("plain").select("name"), own.where("not plain").select("name")
     out = _by_rests(plain.where(F.length("name") <= deletions.LONGEST), least).unionByName(_by_all_pairs(plain, least))
-    if not odd.isEmpty():
-        rows = segments(least, longest, {r[0] for r in own.select(F.length("name")).distinct().collect()})
-        some = _by_segments(odd, plain, rows, least).unionByName(_by_segments(plain, odd, rows, least)).unionByName(_by_segments(odd, odd, rows, least))
-        out = out.unionByName(some.distinct())
+    return out if odd.isEmpty() else out.unionByName(_odd_pairs(plain, odd, least))
+
+
+def _plain_and_odd(names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All names, those of a to z that ``deletions`` takes, and the others."""
+    own = _kept(names.select("name").where(F.length("name") > 0).distinct())
+    marked = own.withColumn("plain", F.col("name").rlike(f"^[a-z]{{1,{deletions.WIDEST}}}$"))
+    return own, marked.where("plain").select("name"), marked.where("not plain").select("name")
+
+
+def _odd_pairs(plain: DataFrame, odd: DataFrame, least: float) -> DataFrame:
+    lengths = {r[0]: r[1] for r in plain.select(F.length("name"), F.lit(False)).union(odd.select(F.length("name"), F.lit(True))).distinct().collect()}
+    rows = segments(least, max(lengths), set(lengths))
+    some = _by_segments(odd, plain, rows, least).unionByName(_by_segments(plain, odd, rows, least)).unionByName(_by_segments(odd, odd, rows, least))
+    return some.distinct()
+
+
+FOUND = pa.schema([("name", pa.string()), ("alt_name", pa.string()), ("similarity", pa.float64())])
+
+
+def _listed(pairs):
+    """Batches of (name, alt_name, similarity), name < alt_name, of pairs in words (see ``deletions.words``)."""
+    for a, a_more, b, b_more, similarity in pairs:
+        swap = (a > b) | ((a == b) & (a_more > b_more))
+        low, low_more, high, high_more = np.where(swap, b, a), np.where(swap, b_more, a_more), np.where(swap, a, b), np.where(swap, a_more, b_more)
+        yield pa.RecordBatch.from_arrays([deletions.text(low, low_more), deletions.text(high, high_more), pa.array(similarity, pa.float64())], schema=FOUND)
+
+
+def _first_ones(k: int, without: np.ndarray):
+    """Batches of (name, alt_name, similarity), both ways, of the ``k`` first partners that each name has among a task's pairs."""
+
+    def out(pairs):
+        chosen = deletions.Chosen(k, without)
+        for pair in pairs:
+            chosen.add(*pair)
+        for columns in chosen.rows():
+            yield pa.RecordBatch.from_arrays(list(columns), schema=FOUND)
+
     return out
 
 
-def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000) -> DataFrame:
+def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000, upper: float = 1.0, out=_listed, tasks: int | None = None) -> DataFrame:
     """Pairs alike of names of a to z whose longer one is too long for ``_by_rests``.
 
     Blocks of names of one length meet without a shuffle, each as one row of bytes.
     """
     rest = [n for n in range(1, deletions.WIDEST + 1) if n not in deletions.lengths(least) and deletions.edits(least, n)]
-    found = pa.schema([("name", pa.string()), ("alt_name", pa.string()), ("similarity", pa.float64())])
 
     def pack(batches):
         schema = pa.schema([("size", pa.int32()), ("cells", pa.binary())])
@@ -134,16 +164,17 @@ def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000) -> DataFra
             for at in range(0, len(names), block):
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([deletions.cells_of(names[at : at + block]).tobytes()], pa.binary())], schema=schema)
 
-    def meet(batches):
+    def pairs(batches):
         for batch in batches:
             for n, long, m, short in zip(*(batch.column(c) for c in range(4))):
                 n, m = n.as_py(), m.as_py()
                 p, q = (np.frombuffer(x.as_py(), dtype=np.uint8).reshape(-1, deletions.WIDEST) for x in (long, short))
-                for a, b, d in deletions.all_pairs(p, q, n, m, least):
-                    a, b = deletions.text_of(a), deletions.text_of(b)
-                    rows = [(min(x, y), max(x, y), 1 - z / n) for x, y, z in zip(a, b, d.tolist()) if m < n or x < y]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), found.types)], schema=found)
+                for a, b, d in deletions.all_pairs(p, q, n, m, least, upper):
+                    four = [*deletions.words(a), *deletions.words(b)]
+                    # all names of one length meet both ways
+                    once = np.full(len(d), True) if m < n else (four[0] < four[2]) | ((four[0] == four[2]) & (four[1] < four[3]))
+                    if once.any():
+                        yield *(x[once] for x in four), 1 - d[once] / n
 
     n = plain.count()
     blocks = _kept(plain.repartition(max(1, -(-n // (4 * block))), F.length("name"), F.pmod(F.xxhash64("name"), F.lit(max(1, n // block)))).mapInArrow(pack, "size int, cells binary"))
@@ -151,10 +182,11 @@ def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000) -> DataFra
     long = _kept(blocks.where(F.col("size").isin(rest)).repartition(k))
     short = _kept(blocks.select(F.col("size").alias("short_size"), F.col("cells").alias("short_cells")).repartition(k))
     met = long.hint("shuffle_replicate_nl").join(short, (F.col("short_size") <= F.col("size")) & (F.col("short_size") >= F.lit(least) * F.col("size") - 1e-9))
-    return met.mapInArrow(meet, "name string, alt_name string, similarity double")
+    met = met.coalesce(max(tasks, k)) if tasks else met
+    return met.mapInArrow(lambda batches: out(pairs(batches)), "name string, alt_name string, similarity double")
 
 
-def _by_rests(plain: DataFrame, least: float, rows: int = 1_000_000) -> DataFrame:
+def _by_rests(plain: DataFrame, least: float, rows: int = 1_000_000, upper: float = 1.0, out=_listed) -> DataFrame:
     """Pairs alike of names of a to z whose longer one has one of the lengths of ``deletions``.
 
     Rests are dealt by a hash, as blocks of bytes; a task lists all pairs that meet under its
@@ -163,7 +195,7 @@ def _by_rests(plain: DataFrame, least: float, rows: int = 1_000_000) -> DataFram
     sizes = {r["n"]: r["m"] for r in plain.groupBy(F.length("name").alias("n")).agg(F.count("*").alias("m")).collect()}
     parts = max(1, -(-sum(m * deletions.rests_of(n, least) for n, m in sizes.items()) // rows))
     parts = max(parts, min(2 * plain.sparkSession.sparkContext.defaultParallelism, sum(sizes.values()) // 1000 + 1))
-    dealt, found = pa.schema([("part", pa.int32()), ("rests", pa.binary())]), pa.schema([("name", pa.string()), ("alt_name", pa.string()), ("similarity", pa.float64())])
+    dealt = pa.schema([("part", pa.int32()), ("rests", pa.binary())])
 
     def deal(batches):
         for batch in batches:
@@ -178,17 +210,19 @@ def _by_rests(plain: DataFrame, least: float, rows: int = 1_000_000) -> DataFram
             own = np.flatnonzero(cut[1:] > cut[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([both[cut[p] : cut[p + 1]].tobytes() for p in own.tolist()], pa.binary())], schema=dealt)
 
-    def meet(batches):
+    def pairs(batches):
         blocks = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for batch in batches for x in batch.column(1).to_pylist()]
         if not blocks:
             return
         both = np.concatenate(blocks)
         del blocks
-        for a, b, d, n in deletions.meet(both[:, 0], both[:, 1], least):
-            yield pa.RecordBatch.from_arrays([deletions.text(a), deletions.text(b), pa.array(1 - d / n, pa.float64())], schema=found)
+        for a, b, d, n in deletions.meet(both[:, 0], both[:, 1], least, upper=upper):
+            if len(a):
+                none = np.zeros(len(a), dtype=np.uint64)
+                yield a, none, b, none, 1 - d / n
 
     dealt_rows = plain.mapInArrow(deal, "part int, rests binary").repartition(parts, "part")
-    return dealt_rows.mapInArrow(meet, "name string, alt_name string, similarity double")
+    return dealt_rows.mapInArrow(lambda batches: out(pairs(batches)), "name string, alt_name string, similarity double")
 
 
 def _by_segments(left: DataFrame, right: DataFrame, rows: list[tuple], least: float) -> DataFrame:
@@ -208,15 +242,42 @@ def _by_segments(left: DataFrame, right: DataFrame, rows: list[tuple], least: fl
     return near.select("name", "alt_name", levenshtein_similarity(F.col("name"), F.col("alt_name")).alias("similarity"))
 
 
-def near_negatives(names: DataFrame, positives: DataFrame, lower: float, upper: float, k: int) -> DataFrame:
-    """Per name up to ``k`` names alike within a band and attached in neither order, chosen by hash."""
-    both = positives.select(F.col("tree_name").alias("name"), F.col("record_name").alias("alt_name")).union(positives.select("record_name", "tree_name"))
-    found = similar_name_pairs(names, lower).where(F.col("similarity") <= upper + 1e-12)
-    found = found.union(found.select("alt_name", "name", "similarity")).join(both.distinct(), ["name", "alt_name"], "left_anti")
+def near_negatives(names: DataFrame, positives: DataFrame, lower: float, upper: float, k: int, most: int = 1_000_000) -> DataFrame:
+    """Per name up to ``k`` names alike within a band and attached in neither order, chosen by hash.
+
+    Attached pairs are few once they must be alike too. Up to ``most`` of them, all tasks know
+    them, so each task of the search leaves the first ``k`` of a name only; beyond that,
+    all pairs found are joined with them.
+    """
+    alike = positives.where(levenshtein_at_least(F.col("tree_name"), F.col("record_name"), lower)).select("tree_name", "record_name")
+    both = alike.select(F.inline(F.array(F.struct(F.col("tree_name").alias("name"), F.col("record_name").alias("alt_name")), F.struct(F.col("record_name").alias("name"), F.col("tree_name").alias("alt_name")))))
+    both = _kept(both.distinct())
+    own, plain, odd = _plain_and_odd(names)
+    short, few = plain.where(F.length("name") <= deletions.LONGEST), both.count() <= most
+    out = _first_ones(k, _words_of_pairs(both)) if few else _listed
+    # the more pairs a task sees, the fewer it leaves
+    tasks = 2 * names.sparkSession.sparkContext.defaultParallelism if few else None
+    found = _by_rests(short, lower, 2_500_000, upper, out).unionByName(_by_all_pairs(plain, lower, upper=upper, out=out, tasks=tasks))
+    rest = None if few else found
+    if not odd.isEmpty():
+        more = _odd_pairs(plain, odd, lower).where(F.col("similarity") <= upper + 1e-12)
+        rest = more if rest is None else rest.unionByName(more)
+    if rest is not None:
+        ways = rest.select(F.inline(F.array(F.struct("name", "alt_name", "similarity"), F.struct(F.col("alt_name").alias("name"), F.col("name").alias("alt_name"), "similarity"))))
+        rest = ways.join(both, ["name", "alt_name"], "left_anti")
+        found = found.unionByName(rest) if few else rest
     order = W.partitionBy("name").orderBy(F.md5(F.concat_ws(",", "name", "alt_name")), "alt_name")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("name", "alt_name", "similarity")
 
 
+def _words_of_pairs(pairs: DataFrame) -> np.ndarray:
+    """Four words a row of the pairs of names of a to z that ``deletions`` takes."""
+    plain = f"^[a-z]{{1,{deletions.WIDEST}}}$"
+    rows = pairs.where(F.col("name").rlike(plain) & F.col("alt_name").rlike(plain)).toArrow()
+    sides = [deletions.words(deletions.cells_of(rows.column(c).to_pylist())) for c in range(2)]
+    return deletions.Chosen.table(np.stack([*sides[0], *sides[1]], axis=1))
+
+
 def learner_votes(learners: list[DataFrame], least: int = 3) -> DataFrame:
     """Pairs that at least ``least`` learners propose, with their votes less one."""
     every = None

@@ -22,6 +22,11 @@ def edits(least: float, longer: int) -> int:
     return math.floor((1 - least) * longer + 1e-9)
 
 
+def fewest_edits(upper: float, longer: int) -> int:
+    """The fewest edits between names no more alike than ``upper``, of which the longer has ``longer`` letters."""
+    return next(d for d in range(longer + 1) if 1 - d / longer <= upper + 1e-12)
+
+
 def lengths(least: float, most: int = 220) -> list[int]:
     """Lengths of a longer name for which no name has more than ``most`` rests."""
     return [n for n in range(1, LONGEST + 1) if 0 < (k := edits(least, n)) < n and max(math.comb(m, k - n + m) for m in range(max(1, n - k), n + 1)) <= most]
@@ -63,16 +68,109 @@ def letters(v: np.ndarray) -> np.ndarray:
     return np.stack([((v >> np.uint64(5 * (LONGEST - 1 - i))) & np.uint64(31)).astype(np.uint8) for i in range(LONGEST)])
 
 
-def text(v: np.ndarray):
-    """The names again, as an Arrow array of strings."""
+def text(v: np.ndarray, more: np.ndarray | None = None):
+    """The names again, as an Arrow array of strings; ``more`` has letters 13 to 24."""
     import pyarrow as pa
 
-    cells = np.ascontiguousarray(letters(v).T)
+    cells = np.ascontiguousarray((letters(v) if more is None else np.concatenate([letters(v), letters(more)])).T)
     there = cells > 0
     ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
     return pa.StringArray.from_buffers(len(v), pa.py_buffer(ends), pa.py_buffer((cells[there] + np.uint8(96)).tobytes()))
 
 
+def words(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters 1 to 12 and 13 to 24 of names (rows of codes), packed like those of ``packed``."""
+    out = []
+    for first in (0, LONGEST):
+        v = np.zeros(len(cells), dtype=np.uint64)
+        for i in range(first, first + LONGEST):
+            v = (v << np.uint64(5)) | cells[:, i].astype(np.uint64)
+        out.append(v)
+    return out[0], out[1]
+
+
+class Chosen:
+    """Per name the ``k`` first partners by the MD5 of "name,partner", of pairs added both ways.
+
+    Pairs of ``without`` (four sorted words a row: name, its rest, partner, its rest) do not count.
+    """
+
+    def __init__(self, k: int, without: np.ndarray, room: int = 1 << 20):
+        self.k, self.without, self.room = k, without, room
+        self.keys, self.new, self.n, self.held = self.key(without.T), [], 0, None
+
+    @staticmethod
+    def key(four) -> np.ndarray:
+        h = np.zeros(len(four[0]), dtype=np.uint64)
+        for x in four:
+            h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    @staticmethod
+    def table(rows: np.ndarray) -> np.ndarray:
+        """``rows`` of four words in the order in which they are looked up."""
+        return rows[np.argsort(Chosen.key(rows.T), kind="stable")]
+
+    def excluded(self, four) -> np.ndarray:
+        out = np.zeros(len(four[0]), dtype=bool)
+        if len(self.keys):
+            h = self.key(four)
+            at = np.searchsorted(self.keys, h)
+            left = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == h))
+            at = at[left]
+            while len(left):  # rows of one key stand side by side
+                same = np.logical_and.reduce([self.without[at, c] == four[c][left] for c in range(4)])
+                out[left[same]] = True
+                left, at = left[~same], at[~same] + 1
+                more = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == h[left])
+                left, at = left[more], at[more]
+        return out
+
+    def add(self, a, a_more, b, b_more, similarity) -> None:
+        four = [np.concatenate(x) for x in ((a, b), (a_more, b_more), (b, a), (b_more, a_more))]
+        there = ~self.excluded(four)
+        self.new.append([*(x[there] for x in four), np.concatenate([similarity, similarity])[there]])
+        self.n += int(there.sum())
+        if self.n > self.room:
+            self.cut()
+
+    def cut(self) -> None:
+        """Keeps the first of every name."""
+        from hashlib import md5
+
+        import pyarrow.compute as pc
+
+        if self.new:
+            some = [np.concatenate(x) for x in zip(*self.new)]
+            both = pc.binary_join_element_wise(text(some[0], some[1]).cast("binary"), text(some[2], some[3]).cast("binary"), b",").to_pylist()
+            digests = np.frombuffer(b"".join([md5(x).digest() for x in both]), dtype=">u8").reshape(-1, 2)
+            some += [digests[:, 0].astype(np.uint64), digests[:, 1].astype(np.uint64)]
+            self.held = some if self.held is None else [np.concatenate(x) for x in zip(self.held, some)]
+        if self.held is None:
+            return
+        name, more, _, _, _, high, low = self.held
+        order = np.lexsort((low, high, more, name) if more.any() else (high, name))
+        new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (more[order][1:] != more[order][:-1])])
+        if (~new[1:] & (high[order][1:] == high[order][:-1])).any():
+            order = np.lexsort((low, high, more, name))
+        first = np.flatnonzero(new)
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        self.held, self.new = [x[order[place < self.k]] for x in self.held], []
+        # where most names have no more than k, cutting again soon would cost only
+        self.n = 0
+
+    def rows(self):
+        """(name, partner, similarity) as Arrow arrays, in chunks."""
+        import pyarrow as pa
+
+        self.cut()
+        if self.held is not None:
+            for at in range(0, len(self.held[0]), 50_000):
+                name, more, other, rest, similarity = (x[at : at + 50_000] for x in self.held[:5])
+                yield text(name, more), text(other, rest), pa.array(similarity, pa.float64())
+
+
 def dealt(keys: np.ndarray, parts: int) -> np.ndarray:
     """A part for every key, the same for both roles."""
     h = (keys >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -148,10 +246,11 @@ def first_rest(a: np.ndarray, b: np.ndarray, m: int, n: int, k: int) -> np.ndarr
     return np.zeros(len(a), dtype=np.uint64) if got is None else np.where(got != none, got - np.uint64(1), none)
 
 
-def meet(keys: np.ndarray, names: np.ndarray, least: float, most: int = 1 << 16):
+def meet(keys: np.ndarray, names: np.ndarray, least: float, most: int = 1 << 16, upper: float = 1.0):
     """(smaller, larger, distance, letters of the longer one) in chunks, of alike names that meet under a key.
 
     A pair that meets under several keys is returned under the largest rest only, so once in all.
+    Pairs more alike than ``upper`` are left out.
     """
     if not len(keys):
         return
@@ -172,6 +271,9 @@ def meet(keys: np.ndarray, names: np.ndarray, least: float, most: int = 1 << 16)
     for longer in np.unique(kind).tolist():
         own = kind == longer
         at, cut, k = first[own], np.concatenate([[0], np.cumsum(partners[own])]), edits(least, longer)
+        fewest = fewest_edits(upper, longer)
+        if fewest > k:
+            continue
         for low in range(0, int(cut[-1]), most):
             place = np.arange(low, min(int(cut[-1]), low + most))
             row = np.searchsorted(cut, place, side="right") - 1
@@ -181,7 +283,7 @@ def meet(keys: np.ndarray, names: np.ndarray, least: float, most: int = 1 << 16)
                 of = sizes[j] == shorter
                 b, a, key = names[i[of]], names[j[of]], keys[i[of]]
                 d = distance(a, b, shorter, longer, k)
-                good = np.flatnonzero(d <= k)
+                good = np.flatnonzero((d <= k) & (d >= fewest))
                 a, b, d = a[good], b[good], d[good]
                 here = first_rest(a, b, shorter, longer, k) == ((key[good] & ((np.uint64(1) << np.uint64(57)) - np.uint64(1))) >> np.uint64(1))
                 a, b, d = a[here], b[here], d[here]
@@ -215,27 +317,38 @@ def text_of(cells: np.ndarray) -> list[str]:
     return [x.decode("ascii") for x in np.ascontiguousarray(raw).view(f"S{WIDEST}").ravel().tolist()]
 
 
-def all_pairs(longer: np.ndarray, shorter: np.ndarray, n: int, m: int, least: float, rows: int = 1 << 21):
+def all_pairs(longer: np.ndarray, shorter: np.ndarray, n: int, m: int, least: float, upper: float = 1.0, rows: int = 1 << 16):
     """(cells, cells, distance) of the alike among all names of n and of m letters; one order only where n is m.
 
     Letters that one bag has and the other lacks bound the edits from below; the distance of what is left decides.
+    Bags meet a few at a time, so that what is counted stays in a processor's cache.
     """
-    k = edits(least, n)
-    if k - (n - m) < 0 or not k:
+    k, fewest = edits(least, n), fewest_edits(upper, n)
+    if k - (n - m) < 0 or not k or fewest > k or not len(longer) or not len(shorter):
         return
     own, other = bags(longer), bags(shorter)
-    step = max(1, rows // max(1, len(other)))
-    lacks = ~other
+    lacks, step = ~other, max(1, rows // len(other))
+    both, gone, near = np.empty((step, len(other)), np.uint64), np.empty((step, len(other)), np.uint8), np.empty((step, len(other)), bool)
+    found, met = [], 0
     for low in range(0, len(own), step):
         some = own[low : low + step, None]
-        i, j = np.nonzero(np.bitwise_count(some & lacks[None, :]) <= k)
-        i += low
-        good = np.bitwise_count(other[j] & ~own[i]) <= k - (n - m)
-        i, j = i[good], j[good]
-        for at in range(0, len(i), 1 << 16):
-            p, q = longer[i[at : at + (1 << 16)]], shorter[j[at : at + (1 << 16)]]
-            d = distance_of(np.ascontiguousarray(q.T), np.ascontiguousarray(p.T), m, n, k)
-            good = d <= k
-            p, q, d = p[good], q[good], d[good]
-            if len(d):
-                yield p, q, d
+        r = len(some)
+        np.bitwise_and(some, lacks, out=both[:r])
+        np.bitwise_count(both[:r], out=gone[:r])
+        np.less_equal(gone[:r], k, out=near[:r])
+        flat = np.flatnonzero(near[:r])
+        if len(flat):
+            i, j = flat // len(other) + low, flat % len(other)
+            good = np.bitwise_count(other[j] & ~own[i]) <= k - (n - m)
+            found.append((i[good], j[good]))
+            met += len(found[-1][0])
+        if met >= rows or (met and low + step >= len(own)):
+            i, j = (np.concatenate(x) for x in zip(*found))
+            found, met = [], 0
+            for at in range(0, len(i), rows):
+                p, q = longer[i[at : at + rows]], shorter[j[at : at + rows]]
+                d = distance_of(np.ascontiguousarray(q.T), np.ascontiguousarray(p.T), m, n, k)
+                good = (d <= k) & (d >= fewest)
+                p, q, d = p[good], q[good], d[good]
+                if len(d):
+                    yield p, q, d

@@ -64,6 +64,40 @@ def test_similar_pairs_of_mixed_names_meet_once(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_near_negatives_equal_all_pairs(spark, most):
+    import hashlib
+
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("aab") for _ in range(rng.randint(2, 15))) for _ in range(160)} | {"Ann", "an n", "aab1", "a" * 25, "a" * 18 + "b" * 7})
+    attached = [(a, b) for a in names for b in rng.sample(names, 12) if a != b]
+    known = {*attached, *((b, a) for a, b in attached)}
+    want = set()
+    for a in names:
+        near = [(hashlib.md5(f"{a},{b}".encode()).hexdigest(), b, round(alike(a, b), 9)) for b in names if a != b and 0.65 - 1e-12 <= alike(a, b) <= 0.75 + 1e-12 and (a, b) not in known]
+        want |= {(a, b, s) for _, b, s in sorted(near)[:5]}
+    got = augment.near_negatives(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(attached, "tree_name string, record_name string"), 0.65, 0.75, 5, most)
+    rows = [(r["name"], r["alt_name"], round(r["similarity"], 9)) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_near_negatives_search_once(spark):
+    """Pairs are sought once and a task leaves the first of a name only (before: twice, and all pairs sorted)."""
+    import numpy as np
+
+    from eponym.operators import deletions
+
+    names = spark.createDataFrame([(x,) for x in names_of(6, 80)], "name string").where("name rlike '^[a-z]{1,24}$'")
+    got = augment.near_negatives(names, spark.createDataFrame([], "tree_name string, record_name string"), 0.65, 0.75, 5)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+    chosen = deletions.Chosen(5, np.zeros((0, 4), np.uint64), room=50)
+    for x in range(1, 90):
+        a, b, none = np.full(1, 7 << 55, np.uint64), np.full(1, (8 + x % 18 << 55) | (1 + x // 18 << 50), np.uint64), np.zeros(1, np.uint64)
+        chosen.add(a, none, b, none, np.full(1, 0.7))
+    chosen.cut()
+    assert int((chosen.held[0] == np.uint64(7 << 55)).sum()) == 5
+
+
 def test_similar_pairs_meet_by_rests_of_names(spark):
     """Names that share a common segment only are not compared (before: 3.4e9 candidates for 296,000 names)."""
     import numpy as np
