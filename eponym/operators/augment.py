@@ -147,7 +147,7 @@ def _first_ones(k: int, without: np.ndarray):
     return out
 
 
-def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000, upper: float = 1.0, out=_listed, tasks: int | None = None) -> DataFrame:
+def _by_all_pairs(plain: DataFrame, least: float, block: int = 2_000, upper: float = 1.0, out=_listed, tasks: int | None = None) -> DataFrame:
     """Pairs alike of names of a to z whose longer one is too long for ``_by_rests``.
 
     Blocks of names of one length meet without a shuffle, each as one row of bytes.
@@ -168,8 +168,8 @@ def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000, upper: flo
         for batch in batches:
             for n, long, m, short in zip(*(batch.column(c) for c in range(4))):
                 n, m = n.as_py(), m.as_py()
-                p, q = (np.frombuffer(x.as_py(), dtype=np.uint8).reshape(-1, deletions.WIDEST) for x in (long, short))
-                for a, b, d in deletions.all_pairs(p, q, n, m, least, upper):
+                (p, own), (q, other) = (deletions.read(x.as_py()) for x in (long, short))
+                for a, b, d in deletions.all_pairs(p, q, n, m, least, upper, known=(own, other)):
                     four = [*deletions.words(a), *deletions.words(b)]
                     # all names of one length meet both ways
                     once = np.full(len(d), True) if m < n else (four[0] < four[2]) | ((four[0] == four[2]) & (four[1] < four[3]))
@@ -177,7 +177,7 @@ def _by_all_pairs(plain: DataFrame, least: float, block: int = 8_000, upper: flo
                         yield *(x[once] for x in four), 1 - d[once] / n
 
     n = plain.count()
-    blocks = _kept(plain.repartition(max(1, -(-n // (4 * block))), F.length("name"), F.pmod(F.xxhash64("name"), F.lit(max(1, n // block)))).mapInArrow(pack, "size int, cells binary"))
+    blocks = _kept(plain.repartition(max(1, -(-n // (16 * block))), F.length("name"), F.pmod(F.xxhash64("name"), F.lit(max(1, n // block)))).mapInArrow(pack, "size int, cells binary"))
     k = max(1, min(blocks.count(), 6 + n // 1_000_000))
     long = _kept(blocks.where(F.col("size").isin(rest)).repartition(k))
     short = _kept(blocks.select(F.col("size").alias("short_size"), F.col("cells").alias("short_cells")).repartition(k))

@@ -317,16 +317,23 @@ def text_of(cells: np.ndarray) -> list[str]:
     return [x.decode("ascii") for x in np.ascontiguousarray(raw).view(f"S{WIDEST}").ravel().tolist()]
 
 
-def all_pairs(longer: np.ndarray, shorter: np.ndarray, n: int, m: int, least: float, upper: float = 1.0, rows: int = 1 << 16):
+@functools.lru_cache(maxsize=256)
+def read(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of letters and bags of a block, which meets many others."""
+    cells = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDEST)
+    return cells, bags(cells)
+
+
+def all_pairs(longer: np.ndarray, shorter: np.ndarray, n: int, m: int, least: float, upper: float = 1.0, rows: int = 1 << 16, known: tuple | None = None):
     """(cells, cells, distance) of the alike among all names of n and of m letters; one order only where n is m.
 
     Letters that one bag has and the other lacks bound the edits from below; the distance of what is left decides.
-    Bags meet a few at a time, so that what is counted stays in a processor's cache.
+    Bags (``known``, where they are) meet a few at a time, so that what is counted stays in a processor's cache.
     """
     k, fewest = edits(least, n), fewest_edits(upper, n)
     if k - (n - m) < 0 or not k or fewest > k or not len(longer) or not len(shorter):
         return
-    own, other = bags(longer), bags(shorter)
+    own, other = known or (bags(longer), bags(shorter))
     lacks, step = ~other, max(1, rows // len(other))
     both, gone, near = np.empty((step, len(other)), np.uint64), np.empty((step, len(other)), np.uint8), np.empty((step, len(other)), bool)
     found, met = [], 0

@@ -81,6 +81,25 @@ def test_near_negatives_equal_all_pairs(spark, most):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_all_pairs_reads_bags_once_for_a_block():
+    """Blocks meet a few bags at a time, with bags read once for a block (before: made anew whenever two blocks met)."""
+    import numpy as np
+
+    from eponym.operators import deletions
+
+    rng = random.Random(2)
+    a, b = (sorted({"".join(rng.choice("abc") for _ in range(n)) for _ in range(90)}) for n in (14, 13))
+    (p, own), (q, other) = (deletions.read(deletions.cells_of(x).tobytes()) for x in (a, b))
+    assert deletions.read(p.tobytes())[1] is own
+    want = sorted((x, y, lev(y, x)) for x in a for y in b if lev(y, x) <= 3)
+    for rows in (1, 64, 1 << 16):
+        found = deletions.all_pairs(p, q, 14, 13, 0.75, rows=rows, known=(own, other))
+        assert sorted((x, y, int(z)) for c, e, d in found for x, y, z in zip(deletions.text_of(c), deletions.text_of(e), d)) == want
+    some = [z for _, _, d in deletions.all_pairs(p, q, 14, 13, 0.75, 0.8) for z in d.tolist()]
+    assert len(some) == sum(z == 3 for _, _, z in want) and len(want) > len(some) > 0
+    assert np.array_equal(deletions.bags(q), other)
+
+
 def test_near_negatives_search_once(spark):
     """Pairs are sought once and a task leaves the first of a name only (before: twice, and all pairs sorted)."""
     import numpy as np
