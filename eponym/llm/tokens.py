@@ -7,6 +7,7 @@ words it has met in a bounded table; only new ones go to the library, in batches
 
 from __future__ import annotations
 
+import codecs
 import contextlib
 import functools
 import gc
@@ -52,10 +53,19 @@ def no_collector():
             gc.enable()
 
 
-#: Marks that the tokenizer splits from the letters before them.
-MARKS = ".,!?;:|"
-#: Letters whose lower case is one letter again.
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Marks that a tokenizer may split from the letters before them; an encoder takes those that its own does split.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Of each line, the letters it begins with whose lower case is one letter again, and the rest.
+LETTERS = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]*)(.*)$", re.MULTILINE).findall
+#: The character that byte-level tokenizers write for each byte; a space stays one.
+BYTE_CHARS = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)]
+for _k, _b in enumerate([b for b in range(256) if BYTE_CHARS[b] is None]):
+    BYTE_CHARS[_b] = chr(256 + _k) if _b != 32 else " "
+BYTE_CHARS = "".join(BYTE_CHARS)
+
+
+def byte_chars(text: str) -> str:
+    return text if text.isascii() else codecs.charmap_decode(text.encode(), "strict", BYTE_CHARS)[0]
 
 
 class WordEncoder:
@@ -63,7 +73,7 @@ class WordEncoder:
 
     New words are split into letters and end marks where that is the tokenizer's own split;
     the letters go to the library many at a time, and come apart again at the ids that end
-    a word. All other words go to it one by one.
+    a word. A run of marks goes to it once for all words that end in it; all other words go one by one.
     """
 
     def __init__(self, path: str, most_words: int = 500_000, longest_word: int = 48, kept_words: int = 80_000):
@@ -73,12 +83,14 @@ class WordEncoder:
         self.most_words, self.longest_word = most_words, longest_word
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.bare = self._bare(path)
+        letters, *marked = self._each(["ab", *(f"ab{m}" for m in MARKS)])
+        self.marks = "".join(m for m, ids, alone in zip(MARKS, marked, self._each(list(MARKS))) if ids == letters + alone)
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _bare(self, path: str):
-        """The same vocabulary without normalising and splitting, for lower-case letters only.
+        """The same vocabulary split at spaces only, for lower-case letters written by ``byte_chars``.
 
-        Where its ids for a few words differ from the whole tokenizer's, that one is used.
+        None where its ids for a few words differ from the whole tokenizer's, which then takes the letters too.
         """
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -86,9 +98,9 @@ class WordEncoder:
         bare.no_truncation()
         bare.no_padding()
         bare.normalizer = None
-        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        trial = "the quick brown fox jumps ébène größe señor a zzyzx thnttian"
-        return bare if bare.encode(trial, add_special_tokens=False).ids == self.library.encode(trial, add_special_tokens=False).ids else self.library
+        bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        trial = "the quick brown fox jumps ébène größe señor a zzyzx thnttian à"
+        return bare if bare.encode(byte_chars(trial), add_special_tokens=False).ids == self.library.encode(trial, add_special_tokens=False).ids else None
 
     def _each(self, words: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(words, add_special_tokens=False)
@@ -97,8 +109,10 @@ class WordEncoder:
     def _letters(self, words: list[str], group: int = 256) -> list[bytes]:
         """Ids of words of letters only."""
         groups = [words[i : i + group] for i in range(0, len(words), group)]
+        texts = [" ".join(g).lower() for g in groups]
+        got = (self.bare or self.library).encode_batch_fast([byte_chars(t) for t in texts] if self.bare else texts, add_special_tokens=False)
         out: list[bytes] = []
-        for some, e in zip(groups, self.bare.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False)):
+        for some, e in zip(groups, got):
             ids = np.array(e.ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some) or cut[-1] != len(ids):
@@ -110,26 +124,23 @@ class WordEncoder:
 
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
-        split, stems, tails, others = [], {}, set(), []
-        for w in new:
-            text = w.decode("utf-8", "surrogatepass")
-            stem = text.rstrip(MARKS)
-            if stem.isalpha() and (stem.isascii() or LATIN(stem)):
-                if marks := len(text) - len(stem):
-                    stem_bytes, tail = w[:-marks], w[-marks:]
+        split, stems, tails, others = [], {}, {}, []
+        for some in itertools.batched(new, 10_000):
+            for w, (stem, tail) in zip(some, LETTERS(b"\n".join(some).decode("utf-8", "surrogatepass"))):
+                if stem and not tail:
+                    stems[w] = stem
+                elif stem and (tail in tails or not tail.strip(self.marks)):
+                    stem_bytes = w[: -len(tail)]
+                    tails[tail] = b""
                     split.append((w, stem_bytes, tail))
-                    tails.add(tail)
                     if stem_bytes not in known:
                         stems[stem_bytes] = stem
                 else:
-                    stems[w] = stem
-            else:
-                others.append((w, text))
+                    others.append((w, stem + tail))
         known.update(zip(stems, self._letters(list(stems.values()))))
-        tails.difference_update(known.keys())
-        known.update(zip(tails, self._each([t.decode() for t in tails])))
+        tails = dict(zip(tails, self._each(list(tails))))
         for w, s, t in split:
-            known[w] = known[s] + known[t]
+            known[w] = known[s] + tails[t]
         known.update(zip((w for w, _ in others), self._each([t for _, t in others])))
 
     def clear(self) -> None:

@@ -29,6 +29,25 @@ def test_words_once_equal_library():
         e.clear()
 
 
+def test_words_with_marks_equal_library():
+    rng = random.Random(5)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    some = [" ".join("".join(rng.choices(letters, k=rng.randint(0, 9)) + rng.choices(marks, k=rng.randint(0, 4))) for _ in range(200)) for _ in range(100)]
+    some += [" ".join(c * k + m for c in letters for k in (1, 2)) for m in ("", *marks, "<|", "|>", "'s", "'s#", "#'s", "\u0301#", "<|endoftext|>", "#<|endoftext|>")]
+    assert [np.frombuffer(i, "<u4").tolist() for i in WordEncoder(WORD).encode(some)] == [plain(WORD, t) for t in some]
+
+
+def test_marked_words_do_not_go_one_by_one():
+    e, alone = WordEncoder(WORD), []
+    assert e.bare and {*".,!?;:|#*$%&_"} <= {*e.marks}
+    each = e._each
+    e._each = lambda words: alone.extend(words) or each(words)
+    some = [" ".join(f"{a}{b}ß{m}" for a in "abcdefgh" for b in "xyzéà" for m in (",", "###", ".$$$", "%%%", ")&"))]
+    assert [np.frombuffer(i, "<u4").tolist() for i in e.encode(some)] == [plain(WORD, t) for t in some]
+    assert sorted(alone) == sorted([",", "###", ".$$$", "%%%", ")&"])
+
+
 @pytest.mark.parametrize("bits,most", [(2, 2_000), (4, 10**6), (8, 10**6)])
 def test_chunks_equal_library(bits, most):
     e = op4_bpe.ChunkEncoder(BYTE, chunk_bits=bits, most_chars=most)
