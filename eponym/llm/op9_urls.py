@@ -35,7 +35,7 @@ from .common import lowest_hashes, table
 from .learning import sigmoid
 
 #: (verdict, host, path), fixed values.
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 def split_url(url: str | None) -> tuple[str, str, str]:
     """Host, path and the rest, as the rules see them."""
