@@ -139,6 +139,14 @@ def test_blocks_meet_without_a_shuffle(spark):
     assert "CartesianProduct" in plan and plan.count("Exchange") <= 1
 
 
+def test_a_meeting_holds_few_bytes_of_candidates(spark):
+    """Spark holds a task's candidates on the heap, so tasks get them by size (before: up to 64 blocks of any size, here all 40 of 105 MB)."""
+    df = spark.range(400).select(F.col("id").alias("name"), F.expr("transform(sequence(1, 32768), x -> cast(x + id as float))").alias("vector"))
+    met = similarity._meetings(similarity._blocks(df.where("name < 10"), 10, "i"), similarity._blocks(df, 10, "c"))
+    held = met.groupBy(F.spark_partition_id().alias("task"), "c_block").agg(F.max(F.size("c_cells")).alias("n")).groupBy("task").agg(F.sum("n").alias("n")).collect()
+    assert sum(r["n"] for r in held) == 400 * 32768 and max(r["n"] for r in held) * 4 <= 1.6 * (16 << 20)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_nearest_equals_all_pairs(spark, metric):
     import numpy as np
