@@ -175,6 +175,16 @@ def test_code_join_gives_each_pair_once(spark):
     assert "keys=[name#" not in got._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]  # no pass over all pairs
 
 
+def test_pairs_of_a_frequent_code_are_shared_by_tasks(spark):
+    """Blocks of one code go to many tasks (before: a single task had all its pairs); pairs with several common codes come once."""
+    names = spark.range(600).select(F.concat(F.lit("n"), "id").alias("name"), F.explode(F.when(F.col("id") < 10, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x")))).alias("code"))
+    got = clusters.code_join(names, names, block=50)
+    rows = got.groupBy("name", "candidate").count()
+    assert rows.count() == 600 * 600 and rows.where("count > 1").isEmpty()
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 600 * 600 and max(tasks) < 0.3 * 600 * 600
+
+
 def brute_closures(pairs, most):
     up, size = {}, {}
 
