@@ -53,6 +53,38 @@ def test_tfidf_neighbours_equal_all_pairs(spark, block):
     assert got == want
 
 
+def test_tfidf_search_scores_few_pairs_whole():
+    """The search finds the best of all pairs and scores few of them whole (before: every pair)."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, parts = random.Random(7), ["er", "an", "the", "und", "schpf", "tion", "lo", "ga", "bo", "eux", "ing", "ha", "ver", "que", "ad", "ri"]
+    names = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(2, 5))) for _ in range(1500)})
+    grams = [sorted({x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}) for x in names]
+    known = {g: i for i, g in enumerate(sorted({g for x in grams for g in x}))}
+    m = np.zeros((len(names), len(known)))
+    for i, x in enumerate(grams):
+        m[i, [known[g] for g in x]] = 1
+    m *= np.log(len(names) / m.sum(0)) + 1
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cells = [np.flatnonzero(row) for row in m]
+    row = [[names], [[len(c) for c in cells]], [np.concatenate(cells).tolist()], [np.concatenate([m[i, c] for i, c in enumerate(cells)]).tolist()]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=list("nsgw"))
+    a, b, looked = similarity._Grams(batch, 0, 0), similarity._Grams(batch, 0, 0), []
+    b.index()
+    b.scores = lambda own, places: looked.append(len(places)) or similarity._Grams.scores(b, own, places)
+    s = np.round(m @ m.T, 9)
+    np.fill_diagonal(s, -1)
+    tenth = -np.sort(-s, axis=1)[:, 9]
+    for edge in (np.full(len(names), -np.inf), tenth - 1e-9):
+        looked.clear()
+        found = {i: dict(zip(p.tolist(), x.tolist())) for i, p, x in similarity._best_by_grams(a, b, edge, 10, 0.0)}
+        for i in range(len(names)):
+            want = set(np.flatnonzero((s[i] >= tenth[i]) & (s[i] > 0)).tolist())
+            assert want <= set(found[i]) and all(abs(found[i][j] - s[i, j]) < 1e-8 for j in want)
+        assert sum(looked) < 0.2 * len(names) ** 2
+
+
 def test_similar_pairs_of_mixed_names_meet_once(spark):
     rng = random.Random(11)
     names = names_of(12, 120) + ["".join(rng.choice("aab") for _ in range(rng.randint(2, 9))) for _ in range(120)] + ["Ann", "an n", "bäab", "aab1", "aabb1", "aaaaaaaaaaaab", "aaaaaaaaaaaaab"]
